@@ -92,8 +92,24 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
     return [(basis[:, j].round().astype(np.int64), max(0.0, often[j])) for j in range(k)]
 
 
-def pack_shard(lengths: np.ndarray, room: int, groups: int = 48, large: float = 1 / 10) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of every piece."""
+#: Numbers of groups that a shard tries: few leave gaps that small pieces fill, many round less.
+GROUPS = (16, 12, 24, 32)
+
+
+def pack_shard(lengths: np.ndarray, room: int, large: float = 1 / 4) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of every piece, with the number of groups that needs the fewest sequences."""
+    best, least = None, -(-int(lengths.sum()) // room)
+    for groups in GROUPS:
+        found = pack_grouped(lengths, room, groups, large)
+        if best is None or found[0].max(initial=-1) < best[0].max(initial=-1):
+            best = found
+        if best[0].max(initial=-1) + 1 <= least:
+            break
+    return best
+
+
+def pack_grouped(lengths: np.ndarray, room: int, groups: int, large: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of every piece: linear grouping of lengths over ``room * large``, best fit for the others."""
     n = len(lengths)
     sequence, offset = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     used: list[int] = []  # of each sequence
