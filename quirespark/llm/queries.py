@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, quality_rules, token_files
+from . import decontaminate, near_dedup, packing, quality_classifier, quality_rules, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_quality_rules, op3_simhash_near_dedup, op4_template_decontamination, op5_token_files, op10_best_fit_packing]
+    own = [op2_quality_rules, op3_simhash_near_dedup, op4_template_decontamination, op5_token_files, op8_ordinal_quality, op10_best_fit_packing]
     return {f.__name__: f for f in own}
 
 
