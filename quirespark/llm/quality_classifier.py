@@ -94,8 +94,8 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def fit(features: list[np.ndarray], grade: np.ndarray, share: np.ndarray, keep: int = FEATURES, l1: float = 2e-4, rounds: int = 300) -> Model:
-    """features: each document's distinct buckets; share: how much of all ratings each grade has. Proximal AdaGrad."""
+def fit(features: list[np.ndarray], grade: np.ndarray, share: np.ndarray, keep: int = FEATURES, l1: float = 5e-4, rounds: int = 600, pace: float = 0.1) -> Model:
+    """features: each document's distinct buckets; share: how much of all ratings each grade has. Adam with a proximal step, slower and slower."""
     weight = (share / np.maximum(1, np.bincount(grade, minlength=GRADES)))[grade]
     weight /= weight.sum()
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
@@ -113,10 +113,10 @@ def fit(features: list[np.ndarray], grade: np.ndarray, share: np.ndarray, keep:
     inside = new[flat] >= 0
     rows, flat = rows[inside], new[flat[inside]]
     w, theta = np.zeros(len(chosen)), np.log(np.maximum(1e-6, np.cumsum(share)[:-1]) / np.maximum(1e-6, 1 - np.cumsum(share)[:-1]))
-    gw, gt = np.full(len(w), 1e-8), np.full(len(theta), 1e-8)
+    mw, vw, mt, vt = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(theta)), np.zeros(len(theta))
     low, high = grade - 1, grade
     n = len(grade)
-    for _ in range(rounds):
+    for r in range(1, rounds + 1):
         s = np.bincount(rows, w[flat], n)
         cum = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(np.clip(s[:, None] - theta[None, :], -500, 500))), np.ones((n, 1))], axis=1)  # P(grade <= k - 1)
         below, upto = cum[np.arange(n), low + 1], cum[np.arange(n), high + 1]
@@ -127,12 +127,13 @@ def fit(features: list[np.ndarray], grade: np.ndarray, share: np.ndarray, keep:
         for k in range(len(theta)):
             dt[k] = (weight * (np.where(low == k, d_below, 0) - np.where(high == k, d_upto, 0)) / p).sum()
         g = np.bincount(flat, ds[rows], len(w))
-        gw += g * g
-        gt += dt * dt
-        rate_w = 0.3 / np.sqrt(gw)
-        w = w - rate_w * g
+        mw, vw = 0.9 * mw + 0.1 * g, 0.99 * vw + 0.01 * g * g
+        mt, vt = 0.9 * mt + 0.1 * dt, 0.99 * vt + 0.01 * dt * dt
+        step = pace * (1 - (r - 1) / rounds)
+        rate_w = step / (np.sqrt(vw / (1 - 0.99**r)) + 1e-6)
+        w = w - rate_w * mw / (1 - 0.9**r)
         w = np.sign(w) * np.maximum(0, np.abs(w) - rate_w * l1)
-        theta = np.sort(theta - 0.1 / np.sqrt(gt) * dt)
+        theta = np.sort(theta - step * mt / (1 - 0.9**r) / (np.sqrt(vt / (1 - 0.99**r)) + 1e-6))
     used = w != 0
     return Model(names[chosen][used], w[used], theta)
 
@@ -199,13 +200,13 @@ def scored(docs: DataFrame, model: Model | None, keep_rows: bool = False) -> Dat
     return rows.mapInArrow(make, ", ".join([*fields, "`__expected_grade` double, `__p_top` double, `__p_1` double"]))
 
 
-def graded(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def graded(docs: DataFrame, labels: DataFrame, least: float = 0.75, sample: int = SAMPLE) -> DataFrame:
     """doc_id, expected_grade, p_good (at least grade 1), p_clean (grade 2), kept (p_clean at least ``least``) of every row."""
     found = scored(docs, train(docs, labels, sample))
     return found.select("doc_id", F.col("__expected_grade").alias("expected_grade"), F.col("__p_1").alias("p_good"), F.col("__p_top").alias("p_clean"), (F.col("__p_top") >= least).alias("kept"))
 
 
-def keep_clean(docs: DataFrame, rated: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def keep_clean(docs: DataFrame, rated: DataFrame, labels: DataFrame, least: float = 0.75, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the model keeps, all columns as they are; it is fitted on the texts of ``rated``."""
     found = scored(docs, train(rated, labels, sample), keep_rows=True)
     return found.filter(F.col("__p_top") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
