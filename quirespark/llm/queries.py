@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, quality_classifier, quality_rules, token_files
+from . import chat_format, decontaminate, near_dedup, packing, quality_classifier, quality_rules, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,6 +45,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
+def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotated(table(spark, sf_dir, "conversations"))
+
+
 def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,9 +64,9 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_quality_rules, op3_simhash_near_dedup, op4_template_decontamination, op5_token_files, op8_ordinal_quality, op10_best_fit_packing]
+    own = [op1_jump_hash_shards, op2_quality_rules, op3_simhash_near_dedup, op4_template_decontamination, op5_token_files, op6_perspective_rotation, op8_ordinal_quality, op10_best_fit_packing]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_perspective_rotation": chat_format.ROTATED_SQL}
