@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, pieces
-from .labelled_pages import LABELLED
+from .labelled_pages import FOOT, LABELLED, MENU
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[a-zA-Z/!?][^>]*+>?", re.S | re.I)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
@@ -188,9 +188,10 @@ def shares(node: Node, x: np.ndarray) -> np.ndarray:
 
 
 def training_table() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of all blocks of the labelled pages."""
+    """Features and labels of all blocks of the labelled pages, each also without its menu, its foot, and both."""
     xs, ys = [], []
-    for page, wanted in LABELLED:
+    cut = [(page.replace(a, "").replace(b, ""), wanted) for page, wanted in LABELLED for a, b in (("\0", "\0"), (MENU, "\0"), ("\0", FOOT), (MENU, FOOT))]
+    for page, wanted in dict.fromkeys((p, tuple(sorted(w))) for p, w in cut):
         found = blocks(page)
         xs.append(features(found))
         ys.append(np.array([b.text in wanted for b in found], float))

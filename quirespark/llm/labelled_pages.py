@@ -25,4 +25,12 @@ LABELLED: list[tuple[str, set[str]]] = [
     (f'<body><p>Free for readers</p><div>{LONG}</div><main><p>{MORE}</p><p>{LAST}</p></main><div>Write to the desk</div><p>{LAST} {MORE}</p></body>', {MORE, LAST}),
     (f'<body>{MENU}<article><h1><a href="/t">Linked title</a></h1><p>{LONG}</p><p><a href="/map">Map</a></p><ul><li><a href="/n">North pier</a></li><li><a href="/s">South pier and the old light</a></li></ul><p>Fin.</p><p><a href="/z">All of the piers of the bay on one page with pictures</a></p></article>{FOOT}', {"Linked title", LONG, "Map", "North pier", "South pier and the old light", "Fin.", "All of the piers of the bay on one page with pictures"}),
     (f'<body><main><h1>Ropes</h1><p><a href="/1">Knots</a></p><p><a href="/2">Splices</a></p><p>{MORE}</p><p><a href="/3">Sails</a></p></main><div><a href="/4">Top</a></div></body>', {"Ropes", "Knots", "Splices", MORE, "Sails"}),
+    (f"<article><p>{LONG}</p></article>", {LONG}),
+    ("<p>Short.</p>", {"Short."}),
+    (f"<body><p>{MORE}</p><p>Then rain.</p><p>{LAST}</p></body>", {MORE, "Then rain.", LAST}),
+    (f"<body><article><p>One.</p><p>{LONG}</p><p>Two.</p></article></body>", {"One.", LONG, "Two."}),
+    ("<body><article><h1>Alone</h1></article></body>", {"Alone"}),
+    (f"<body><h1>Plain</h1><p>{LAST}</p><p>Late in the day.</p></body>", {"Plain", LAST, "Late in the day."}),
+    (f"<body>{MENU}<h1>Plain</h1><p>{MORE}</p><p>No more.</p>{FOOT}</body>", {"Plain", MORE, "No more."}),
+    (f'<body><article><p>{LAST}</p><p><a href="/q">Gallery</a></p></article></body>', {LAST, "Gallery"}),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, near_dedup, packing, quality_classifier, quality_rules, sharding, token_files
+from . import chat_format, decontaminate, html_extract, near_dedup, packing, quality_classifier, quality_rules, sharding, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +49,20 @@ def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotated(table(spark, sf_dir, "conversations"))
 
 
+def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, _ = warc.write_archives(table(spark, sf_dir, "pages"), least=0)
+    found = warc.resolved(warc.read_archives(manifest))
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("of_page").alias("refers_to"))
+
+
 def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_block_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -64,7 +74,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_jump_hash_shards, op2_quality_rules, op3_simhash_near_dedup, op4_template_decontamination, op5_token_files, op6_perspective_rotation, op8_ordinal_quality, op10_best_fit_packing]
+    own = [op1_jump_hash_shards, op2_quality_rules, op3_simhash_near_dedup, op4_template_decontamination, op5_token_files, op6_perspective_rotation, op7_content_addressed_warc, op8_ordinal_quality, op9_block_tree_extraction, op10_best_fit_packing]
     return {f.__name__: f for f in own}
 
 
