@@ -97,7 +97,7 @@ def masked(value: Column) -> Column:
 
 
 def author_list(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, "[,;，；、]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, "[,;，；、]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tag_list(value: Column) -> Column:

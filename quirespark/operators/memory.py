@@ -98,6 +98,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\b[A-Za-z][A-Za-z-]{2,}\b"), 0)
 
 
+def _run(size: int):
+    return lambda i: F.slice("w", i, size)
+
+
 def phrases(docs: DataFrame, key: str, text: str = "text", k: int = 60) -> DataFrame:
     """key, phrase and n: two- and three-word phrases without stop words that come twice or more, as first written; the k most frequent.
 
@@ -106,7 +110,7 @@ def phrases(docs: DataFrame, key: str, text: str = "text", k: int = 60) -> DataF
     own = docs.select(key, words(F.col(text)).alias("w"))
     grams = None
     for size in (2, 3):
-        run = own.filter(F.size("w") >= size).select(key, F.lit(size).alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i, s=size: F.slice("w", i, s))).alias("pos", "g"))
+        run = own.filter(F.size("w") >= size).select(key, F.lit(size).alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), _run(size))).alias("pos", "g"))
         grams = run if grams is None else grams.unionByName(run)
     stop = F.array(*[F.lit(w) for w in T.PHRASE_STOP_WORDS])
     kept = grams.filter(~F.exists("g", lambda w: F.array_contains(stop, F.lower(w)))).withColumn("phrase", F.array_join("g", " "))
