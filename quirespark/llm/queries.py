@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, near_dedup, packing, quality_classifier, quality_rules, sharding, token_files, warc
+from . import chat_format, decontaminate, html_extract, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, token_files, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_perspective_rotation": chat_format.ROTATED_SQL}
+    return dict(oracles.ORACLES)
