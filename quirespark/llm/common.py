@@ -74,3 +74,10 @@ def text_key() -> F.Column:
 def columns_of(df: DataFrame, names: list[str]) -> DataFrame:
     """Only the named columns: what else a table holds can't clash with columns that operators add."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def shielded(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all but the needed columns under names that clash with nothing, and a function that gives a result the old ones back."""
+    names = [c if c in needed else f"__col{i}" for i, c in enumerate(df.columns)]
+    old = df.columns
+    return df.toDF(*names), lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(names, old)])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, pieces, text_key, written
+from .common import columns_of, pieces, shielded, text_key, written
 
 WINDOW, RUN, MIN_WORDS = 8, 13, 5
 #: Bits of the window hash that the bitmap tells apart: its size is 2 to this power, however large the benchmark.
@@ -169,4 +169,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """The documents that hold no item of the benchmark, all columns as they are."""
     found = written(leaks(docs, benchmark, window, run).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks")
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_key() == F.col("__key")), "left_anti")
+    rows, back = shielded(docs, ("doc_id", "text"))
+    return back(rows.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_key() == F.col("__key")), "left_anti"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, per_slice, text_key, utf8, written
+from .common import columns_of, per_slice, shielded, text_key, utf8, written
 
 #: Fingerprints that a comparison in full takes at once, on either side.
 FULL = 512
@@ -272,11 +272,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blo
     found = written(near_duplicates(docs, shingle, radius, blocks), "groups")
     keys = found.groupBy("doc_id", "text_key").agg(F.first("keeper").alias("keeper"), F.count("*").alias("n")).filter("not keeper or n > 1")
     marks = written(keys.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "keeper"), "marks")
+    rows, back = shielded(docs, ("doc_id", "text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_key() == F.col("__key"))
-    kept = docs.join(marks, same, "left_anti")
+    kept = rows.join(marks, same, "left_anti")
     again = marks.filter("keeper")
-    if again.isEmpty():
-        return kept
-    key = docs.withColumn("__text_key", text_key())
-    once = key.join(again, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]).drop("__text_key")
-    return kept.unionByName(once)
+    if not again.isEmpty():
+        once = rows.join(again, same, "left_semi").withColumn("__key", text_key()).dropDuplicates(["doc_id", "__key"]).drop("__key")
+        kept = kept.unionByName(once)
+    return back(kept)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, pieces
+from .common import columns_of, pieces, shielded
 
 BITS = 24
 GRADES = 3
@@ -208,5 +208,5 @@ def graded(docs: DataFrame, labels: DataFrame, least: float = 0.75, sample: int
 
 def keep_clean(docs: DataFrame, rated: DataFrame, labels: DataFrame, least: float = 0.75, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the model keeps, all columns as they are; it is fitted on the texts of ``rated``."""
-    found = scored(docs, train(rated, labels, sample), keep_rows=True)
-    return found.filter(F.col("__p_top") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, back = shielded(docs, ("text",))
+    return back(scored(own, train(rated, labels, sample), keep_rows=True).filter(F.col("__p_top") >= least))

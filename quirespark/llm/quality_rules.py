@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_of, per_slice, utf8, written
+from .common import columns_of, per_slice, shielded, utf8, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -185,6 +185,6 @@ def keep_good(docs: DataFrame, reach: float = REACH, min_rows: int = MIN_ROWS) -
     """The documents that the rules keep, all columns as they are. Texts are counted twice rather than shuffled to their counts."""
     limits = written(thresholds(written(with_counts(docs), "counts"), reach, min_rows), "thresholds")
     limits = limits.withColumnsRenamed({c: f"__{c}" for c in ("lang", "source")})
-    rows = with_counts(docs, keep_rows=True)
+    own, back = shielded(docs, ("text", "lang", "source"))
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
-    return rows.join(limits, same, "left").filter(~base_failed("__") & passes("__")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return back(with_counts(own, keep_rows=True).join(limits, same, "left").filter(~base_failed("__") & passes("__")))
