@@ -69,8 +69,8 @@ def outline_paths(blocks: DataFrame, key: str) -> DataFrame:
 
     An ordered fold per document over its headings alone.
     """
-    heads = outline(blocks, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "level", F.trim("text").alias("text")))).alias("h"))
-    fold = """aggregate(h, named_struct('stack', cast(array() as array<string>), 'out', cast(array() as array<struct<idx:int,level:int,text:string,path:string>>)),
+    heads = outline(blocks, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "level", F.trim("text").alias("text")))).alias("__h"))
+    fold = """aggregate(__h, named_struct('stack', cast(array() as array<string>), 'out', cast(array() as array<struct<idx:int,level:int,text:string,path:string>>)),
         (a, x) -> named_struct('stack', concat(slice(a.stack, 1, greatest(x.level - 1, 0)), array(x.text)),
             'out', concat(a.out, array(named_struct('idx', cast(x.idx as int), 'level', x.level, 'text', x.text,
                 'path', array_join(filter(concat(slice(a.stack, 1, greatest(x.level - 1, 0)), array(x.text)), s -> s <> ''), ' > '))))),
@@ -81,10 +81,10 @@ def outline_paths(blocks: DataFrame, key: str) -> DataFrame:
 def section_scope(blocks: DataFrame, key: str, heading: str) -> DataFrame:
     """Blocks from each document's first heading that contains ``heading`` up to the next one of its level or above; none where it is missing."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    starts = blocks.filter((F.col("level") >= 1) & F.contains(low, F.lit(heading.lower()))).groupBy(key).agg(F.min(F.struct("idx", "level")).alias("s"))
-    inside = blocks.join(starts, key).filter(F.col("idx") >= F.col("s.idx"))
-    stop = F.min(F.when((F.col("level") >= 1) & (F.col("level") <= F.col("s.level")) & (F.col("idx") > F.col("s.idx")), F.col("idx"))).over(W.partitionBy(key))
-    return inside.withColumn("stop", stop).filter(F.col("stop").isNull() | (F.col("idx") < F.col("stop"))).drop("s", "stop")
+    starts = blocks.filter((F.col("level") >= 1) & F.contains(low, F.lit(heading.lower()))).groupBy(key).agg(F.min(F.struct("idx", "level")).alias("__s"))
+    inside = blocks.join(starts, key).filter(F.col("idx") >= F.col("__s.idx"))
+    stop = F.min(F.when((F.col("level") >= 1) & (F.col("level") <= F.col("__s.level")) & (F.col("idx") > F.col("__s.idx")), F.col("idx"))).over(W.partitionBy(key))
+    return inside.withColumn("__stop", stop).filter(F.col("__stop").isNull() | (F.col("idx") < F.col("__stop"))).drop("__s", "__stop")
 
 
 def scoped(blocks: DataFrame, key: str, heading: str | None) -> DataFrame:
@@ -99,11 +99,11 @@ def section_text(blocks: DataFrame, key: str, heading: str, offset: int = 0, pag
     """key, paragraph_count, has_more and content of one page of each document's section: no headings' own row, images or empty blocks."""
     own = section_scope(blocks, key, heading)
     first = F.min("idx").over(W.partitionBy(key))
-    kept = own.withColumn("first", first).filter((F.col("idx") > F.col("first")) & (T.first_text("text") != "") & F.col("image_url").isNull())
-    rows = kept.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy("idx"))).withColumn("total", F.count("*").over(W.partitionBy(key)))
-    shown = rows.filter((F.col("k") > offset) & (F.col("k") <= offset + page))
+    kept = own.withColumn("__first", first).filter((F.col("idx") > F.col("__first")) & (T.first_text("text") != "") & F.col("image_url").isNull())
+    rows = kept.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy("idx"))).withColumn("__total", F.count("*").over(W.partitionBy(key)))
+    shown = rows.filter((F.col("__k") > offset) & (F.col("__k") <= offset + page))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda s: s["text"]), "\n")
-    return shown.groupBy(key).agg(F.first("total").alias("paragraph_count"), (F.first("total") > offset + page).alias("has_more"), body.alias("content"))
+    return shown.groupBy(key).agg(F.first("__total").alias("paragraph_count"), (F.first("__total") > offset + page).alias("has_more"), body.alias("content"))
 
 
 def paragraph_context(blocks: DataFrame, key: str, targets: DataFrame, window: int = 2) -> DataFrame:
@@ -117,11 +117,11 @@ def paragraph_context(blocks: DataFrame, key: str, targets: DataFrame, window: i
 
 
 def section_snippets(blocks: DataFrame, key: str, most: int = 4, limit: int = 260) -> DataFrame:
-    """key, start_index, k and snippet: the first paragraphs of each section, clipped."""
+    """key, start_index, nth and snippet: the first paragraphs of each section, clipped."""
     start = F.last(F.when(F.col("level") >= 1, F.col("idx")), ignorenulls=True).over(W.partitionBy(key).orderBy("idx"))
     rows = blocks.withColumn("start_index", start).filter((F.col("level") == 0) & (T.first_text(F.trim("text")) != "") & F.col("start_index").isNotNull())
-    k = F.row_number().over(W.partitionBy(key, "start_index").orderBy("idx"))
-    return rows.withColumn("k", k).filter(F.col("k") <= most).select(key, "start_index", "k", T.clip(F.col("text"), limit).alias("snippet"))
+    nth = F.row_number().over(W.partitionBy(key, "start_index").orderBy("idx"))
+    return rows.withColumn("nth", nth).filter(F.col("nth") <= most).select(key, "start_index", "nth", T.clip(F.col("text"), limit).alias("snippet"))
 
 
 def reading_view(blocks: DataFrame) -> DataFrame:

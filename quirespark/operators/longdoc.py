@@ -46,12 +46,12 @@ def parent_status(jobs: DataFrame, parent: str = "parent_job_id") -> DataFrame:
     """
     done, active = F.count_if(F.col("status") == "completed"), ~F.col("status").isin("completed", "failed", "pending", "waiting_term_review")
     rolled = jobs.filter(F.col(parent).isNotNull()).groupBy(parent).agg(
-        F.count("*").alias("n"), done.alias("done"), F.bool_or(F.col("status") == "failed").alias("failed"), F.bool_or(F.col("status") == "waiting_term_review").alias("waiting"),
-        F.min(F.when(active, F.struct("chapter_index", "status", "progress"))).alias("a"),
+        F.count("*").alias("__n"), done.alias("__done"), F.bool_or(F.col("status") == "failed").alias("__failed"), F.bool_or(F.col("status") == "waiting_term_review").alias("__waiting"),
+        F.min(F.when(active, F.struct("chapter_index", "status", "progress"))).alias("__a"),
     )
-    status = F.when(F.col("failed"), "failed").when(F.col("waiting"), "waiting_term_review").when(F.col("done") == F.col("n"), "completed").when(F.col("a").isNotNull(), F.col("a.status")).otherwise("pending")
-    progress = F.floor((F.col("done") * 100 + F.coalesce(F.col("a.progress"), F.lit(0))) / F.col("n")).cast("int")
-    return rolled.select(parent, status.alias("status"), F.when(F.col("done") == F.col("n"), 100).otherwise(progress).alias("progress"))
+    status = F.when(F.col("__failed"), "failed").when(F.col("__waiting"), "waiting_term_review").when(F.col("__done") == F.col("__n"), "completed").when(F.col("__a").isNotNull(), F.col("__a.status")).otherwise("pending")
+    progress = F.floor((F.col("__done") * 100 + F.coalesce(F.col("__a.progress"), F.lit(0))) / F.col("__n")).cast("int")
+    return rolled.select(parent, status.alias("status"), F.when(F.col("__done") == F.col("__n"), 100).otherwise(progress).alias("progress"))
 
 
 def chapter_rows(parents: DataFrame, ranges: DataFrame, key: str, inherited: list[str]) -> DataFrame:
@@ -66,5 +66,5 @@ def merged_children(children: DataFrame, parent: str) -> DataFrame:
     """
     head = F.array(F.struct(F.lit(1).alias("level"), F.col("title").alias("text")))
     parts = F.array_sort(F.collect_list(F.struct("chapter_index", F.concat(head, F.col("body")).alias("body"), F.coalesce("refs", F.array().cast("array<string>")).alias("refs"))))
-    whole = children.groupBy(parent).agg(parts.alias("p"), F.bool_and(F.col("body").isNotNull()).alias("ok")).filter("ok")
-    return whole.select(parent, F.flatten(F.transform("p", lambda x: x["body"])).alias("body"), F.array_distinct(F.filter(F.flatten(F.transform("p", lambda x: x["refs"])), lambda r: T.first_text(r) != "")).alias("refs"))
+    whole = children.groupBy(parent).agg(parts.alias("__p"), F.bool_and(F.col("body").isNotNull()).alias("__ok")).filter("__ok")
+    return whole.select(parent, F.flatten(F.transform("__p", lambda x: x["body"])).alias("body"), F.array_distinct(F.filter(F.flatten(F.transform("__p", lambda x: x["refs"])), lambda r: T.first_text(r) != "")).alias("refs"))

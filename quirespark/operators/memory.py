@@ -21,8 +21,8 @@ TERMS = 50_000
 def glossary(user: DataFrame, domain: DataFrame) -> DataFrame:
     """en, zh and status of the user's terms, and of the domain's terms whose lower-case form the user hasn't; those have the status 'translate'."""
     own = user.select(F.col("foreign_term").alias("en"), F.col("zh_term").alias("zh"), "status")
-    mine = own.select(F.lower("en").alias("k")).distinct()
-    other = domain.join(mine, F.lower("en_term") == F.col("k"), "left_anti").select(F.col("en_term").alias("en"), F.col("zh_term").alias("zh"), F.lit("translate").alias("status"))
+    mine = own.select(F.lower("en").alias("__low")).distinct()
+    other = domain.join(mine, F.lower("en_term") == F.col("__low"), "left_anti").select(F.col("en_term").alias("en"), F.col("zh_term").alias("zh"), F.lit("translate").alias("status"))
     return own.unionByName(other)
 
 
@@ -82,7 +82,7 @@ def acronyms(docs: DataFrame, key: str, text: str = "text", k: int = 80) -> Data
     full = F.regexp_replace(F.regexp_replace(F.col("x.full"), r"\s+", " "), r"^[ ,;:]+|[ ,;:]+$", "")
     rows = pairs.select(key, "pos", F.col("x.abbr").alias("abbr"), full.alias("definition")).filter(~F.col("abbr").isin(T.COMMON_ACRONYMS) & (F.length("definition") >= 4))
     first = rows.groupBy(key, "abbr").agg(F.min_by("definition", "pos").alias("definition"))
-    return first.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy("abbr"))).filter(F.col("k") <= k).drop("k")
+    return first.withColumn("__k", F.row_number().over(W.partitionBy(key).orderBy("abbr"))).filter(F.col("__k") <= k).drop("__k")
 
 
 def symbols(docs: DataFrame, key: str, text: str = "text", k: int = 80) -> DataFrame:
@@ -91,7 +91,7 @@ def symbols(docs: DataFrame, key: str, text: str = "text", k: int = 80) -> DataF
     names = F.regexp_extract_all(text, F.lit(r"\b[A-Za-z][A-Za-z0-9]*[_^][A-Za-z0-9{}\\]+\b"), 0)
     rows = docs.select(key, F.explode(F.concat(spans, names)).alias("symbol")).select(key, F.trim("symbol").alias("symbol")).distinct()
     order = W.partitionBy(key).orderBy(F.length("symbol"), "symbol")
-    return rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k).drop("k")
+    return rows.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= k).drop("__k")
 
 
 def words(text: Column) -> Column:
@@ -116,7 +116,7 @@ def phrases(docs: DataFrame, key: str, text: str = "text", k: int = 60) -> DataF
     kept = grams.filter(~F.exists("g", lambda w: F.array_contains(stop, F.lower(w)))).withColumn("phrase", F.array_join("g", " "))
     counted = kept.groupBy(key, F.lower("phrase").alias("low")).agg(F.count("*").alias("n"), F.min(F.struct("size", "pos", "phrase")).alias("first"))
     order = W.partitionBy(key).orderBy(F.desc("n"), "first.size", "first.pos")
-    return counted.filter("n >= 2").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k).select(key, F.col("first.phrase").alias("phrase"), "n")
+    return counted.filter("n >= 2").withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= k).select(key, F.col("first.phrase").alias("phrase"), "n")
 
 
 def distinct_in_order(rows: DataFrame, key: str, text: str = "text", pos: str = "pos") -> DataFrame:
@@ -126,7 +126,7 @@ def distinct_in_order(rows: DataFrame, key: str, text: str = "text", pos: str =
 
 def sections(blocks: DataFrame, key: str) -> DataFrame:
     """start_index, end_index, path and summary of every section: the summary joins its snippets, clipped."""
-    snippets = B.section_snippets(blocks, key).groupBy(key, "start_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "snippet"))), lambda s: s["snippet"]), " ").alias("gist"))
+    snippets = B.section_snippets(blocks, key).groupBy(key, "start_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "snippet"))), lambda s: s["snippet"]), " ").alias("gist"))
     paths = B.outline_paths(blocks, key).select(key, F.col("idx").alias("start_index"), "path")
     joined = B.section_ends(blocks, key).join(paths, [key, "start_index"]).join(snippets, [key, "start_index"], "left")
     return joined.select(key, "start_index", "end_index", "path", T.clip(F.coalesce("gist", F.lit("")), 700).alias("summary"))

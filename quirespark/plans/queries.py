@@ -166,8 +166,8 @@ FLAT = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
 
 
 @query(f"""with {I.BLOCKS}, s as (select *, last_value(case when level >= 1 then idx end ignore nulls) over (partition by doc_id order by idx) as start_index from blocks),
-k as (select *, row_number() over (partition by doc_id, start_index order by idx)::int as k from s where level = 0 and trim(coalesce(text, '')) <> '' and start_index is not null)
-select doc_id, start_index, k, {CLIP.format(t=FLAT, n=260)} as snippet from k where k <= 4""")
+k as (select *, row_number() over (partition by doc_id, start_index order by idx)::int as nth from s where level = 0 and trim(coalesce(text, '')) <> '' and start_index is not null)
+select doc_id, start_index, nth, {CLIP.format(t=FLAT, n=260)} as snippet from k where nth <= 4""")
 def section_snippets(spark, sf):
     return B.section_snippets(I.blocks(spark, sf), "doc_id")
 
