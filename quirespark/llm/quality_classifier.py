@@ -200,13 +200,13 @@ def scored(docs: DataFrame, model: Model | None, keep_rows: bool = False) -> Dat
     return rows.mapInArrow(make, ", ".join([*fields, "`__expected_grade` double, `__p_top` double, `__p_1` double"]))
 
 
-def graded(docs: DataFrame, labels: DataFrame, least: float = 0.75, sample: int = SAMPLE) -> DataFrame:
+def graded(docs: DataFrame, labels: DataFrame, least: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """doc_id, expected_grade, p_good (at least grade 1), p_clean (grade 2), kept (p_clean at least ``least``) of every row."""
     found = scored(docs, train(docs, labels, sample))
     return found.select("doc_id", F.col("__expected_grade").alias("expected_grade"), F.col("__p_1").alias("p_good"), F.col("__p_top").alias("p_clean"), (F.col("__p_top") >= least).alias("kept"))
 
 
-def keep_clean(docs: DataFrame, rated: DataFrame, labels: DataFrame, least: float = 0.75, sample: int = SAMPLE) -> DataFrame:
+def keep_clean(docs: DataFrame, rated: DataFrame, labels: DataFrame, least: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the model keeps, all columns as they are; it is fitted on the texts of ``rated``."""
     own, back = shielded(docs, ("text",))
     return back(scored(own, train(rated, labels, sample), keep_rows=True).filter(F.col("__p_top") >= least))
