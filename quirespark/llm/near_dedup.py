@@ -261,8 +261,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     each = written(rows.groupBy("fp").agg(first.alias("first")), "distinct")
     roots = components(links(each, radius, blocks))
-    grouped = each.join(roots, each.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = grouped.groupBy("root").agg(F.min("first").alias("keep"))
+    grouped = written(each.join(roots, each.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    firsts = written(grouped.groupBy("root").agg(F.min("first").alias("keep")), "firsts")  # a table, so that the join below can split a large group
     labels = grouped.join(firsts, "root").select("fp", F.col("keep.doc_id").alias("component_id"), F.col("keep.text_key").alias("keep_key"))
     return rows.join(labels, "fp").select("doc_id", "text_key", "fp", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keep_key"))).alias("keeper"))
 
