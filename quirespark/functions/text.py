@@ -157,3 +157,24 @@ def stage_progress(stage: str, done: Column, total: Column) -> Column:
     """Percent reached when ``done`` of ``total`` parts of a stage are through."""
     start, width = {"clean": (20, 30), "classify": (55, 5), "translate": (60, 30), "images": (91, 4)}[stage]
     return (F.lit(start) + F.floor(done / total * width)).cast("int")
+
+
+def exclusive_tags(tags: Column, groups: dict[str, list[str]], none: str = "unclassified") -> Column:
+    """Of tags in the order chosen: the last one of each exclusive group, all others once; ``none``, if chosen last, alone, else dropped."""
+    of = F.create_map(*[F.lit(x) for g, names in groups.items() for n in names for x in (n, g)])
+    last = lambda t, i: ~F.exists(F.slice(tags, i + 2, F.size(tags)), lambda u: (u == t) | (F.coalesce(of[u], u) == F.coalesce(of[t], t)))
+    kept = F.filter(tags, lambda t, i: last(t, i) & (t != none))
+    return F.when(F.element_at(tags, -1) == none, F.array(F.lit(none))).otherwise(kept)
+
+
+def tool_calls(text: Column) -> Column:
+    """Calls written out in a text as <invoke name="..."><parameter name="...">...</parameter></invoke>: array of (name, arguments map)."""
+    names = F.regexp_extract_all(text, F.lit(r'(?s)<invoke name="([^"]+)">(.*?)</invoke>'), 1)
+    bodies = F.regexp_extract_all(text, F.lit(r'(?s)<invoke name="([^"]+)">(.*?)</invoke>'), 2)
+    pattern = F.lit(r'(?s)<parameter name="([^"]+)"[^>]*>(.*?)</parameter>')
+    arguments = lambda b: F.map_from_arrays(F.regexp_extract_all(b, pattern, 1), F.regexp_extract_all(b, pattern, 2))
+    return F.transform(F.arrays_zip(names.alias("name"), bodies.alias("body")), lambda x: F.struct(x["name"].alias("name"), arguments(x["body"]).alias("arguments")))
+
+
+def clamped(progress: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(100), progress))

@@ -6,6 +6,7 @@ Blocks are rows with a key column, ``idx`` (the position), ``level`` (0 for para
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,20 +28,35 @@ def classified(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return own.select(key, "idx", kind.alias("type"), F.when(image, 0).otherwise(level).alias("level"), F.when(image, F.lit(None)).when(level > 0, T.heading_text(line)).otherwise(line).alias("text"), F.when(image, T.image_url(line)).alias("url"))
 
 
+def chunk_numbers(words: pd.Series, heads: pd.Series, most: int) -> pd.Series:
+    """The chunk of every line, by the numbers of words and whether lines are headings. One pass; a built-in fold would copy its list for every line."""
+    out = []
+    for n, head in zip(words, heads):
+        chunk, total, own = 0, 0, []
+        for i, (w, h) in enumerate(zip(n, head)):
+            if i and (h or total + w > most):
+                chunk, total = chunk + 1, 0
+            total += int(w)
+            own.append(chunk)
+        out.append(own)
+    return pd.Series(out)
+
+
 def chunks(docs: DataFrame, key: str, text: str = "text", max_words: int = 1500) -> DataFrame:
     """key, chunk and text: greedy chunks of whole lines.
 
     A heading begins a chunk, and so does a line that would bring one over ``max_words`` words; a longer line stays whole. Blank chunks go.
-    One pass over each document's lines, which carries only the count of words and the number of the chunk.
+    Only counts and flags of lines go to Python.
     """
-    line = F.transform(F.split(text, r"\R"), lambda x: F.struct(x.alias("line"), F.rlike(x, F.lit(r"^#{1,6}\s")).alias("head"), F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")).alias("n")))
-    step = f"""aggregate(lines, cast(array() as array<struct<chunk:int,words:int>>), (a, x) -> concat(a, array(
-        case when size(a) = 0 then named_struct('chunk', 0, 'words', x.n)
-             when x.head or element_at(a, -1).words + x.n > {max_words} then named_struct('chunk', element_at(a, -1).chunk + 1, 'words', x.n)
-             else named_struct('chunk', element_at(a, -1).chunk, 'words', element_at(a, -1).words + x.n) end)))"""
-    # the carried array is only as long as the document has lines; chunk numbers without text may fall out below
-    placed = docs.select(key, line.alias("lines")).withColumn("at", F.expr(step))
-    rows = placed.select(key, F.posexplode(F.arrays_zip("lines", "at")).alias("idx", "x")).select(key, "idx", F.col("x.lines.line").alias("line"), F.col("x.at.chunk").alias("chunk"))
+
+    def number(words: pd.Series, heads: pd.Series) -> pd.Series:
+        return chunk_numbers(words, heads, max_words)
+
+    own = docs.select(key, F.split(text, r"\R").alias("__lines"))
+    words = F.transform("__lines", lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")))
+    heads = F.transform("__lines", lambda x: F.rlike(x, F.lit(r"^#{1,6}\s")))
+    placed = own.filter("__lines is not null").withColumn("__at", F.pandas_udf(number, "array<int>")(words, heads))
+    rows = placed.select(key, F.posexplode(F.arrays_zip("__lines", "__at")).alias("idx", "x")).select(key, "idx", F.col("x.__lines").alias("line"), F.col("x.__at").alias("chunk"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line"))), lambda s: s["line"]), "\n")
     whole = rows.groupBy(key, "chunk").agg(joined.alias("text")).filter(F.trim(F.regexp_replace("text", r"\s+", "")) != "")
     return whole.select(key, (F.row_number().over(W.partitionBy(key).orderBy("chunk")) - 1).alias("chunk"), "text")

@@ -120,3 +120,42 @@ def restart_failed(jobs: DataFrame) -> DataFrame:
     failed = F.col("status") == "failed"
     fresh = {"status": F.lit("pending"), "progress": F.lit(0), "current_stage": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string")}
     return jobs.withColumns({c: F.when(failed, v).otherwise(F.col(c)) for c, v in fresh.items() if c in jobs.columns})
+
+
+# --- single papers and their parts ---------------------------------------------------------------------------------------
+
+
+def metadata(papers: DataFrame, key: str, value) -> DataFrame:
+    """What is known of one paper; empty strings count as missing."""
+    shown = ["title", "title_zh", "authors", "abstract", "abstract_zh", "keywords", "doi", "year", "paper_type", "journal", "division", "domain"]
+    texts = {f.name for f in papers.schema if f.dataType.simpleString() == "string"}
+    return papers.filter(F.col(key) == value).limit(1).select(key, *[F.nullif(c, F.lit("")).alias(c) if c in texts else c for c in shown if c in papers.columns])
+
+
+def of_latest_result(rows: DataFrame, results: DataFrame, paper: str = "paper_id", result: str = "result_id") -> DataFrame:
+    """Rows (annotations, references, blocks) that belong to the latest result of each paper."""
+    newest = latest(results.select(paper, F.col("id").alias(result), "created_at"), paper, "created_at", result).select(paper, result)
+    return rows.drop(paper).join(newest, result)
+
+
+def pending_terms(jobs: DataFrame) -> DataFrame:
+    """id, en and zh of terms that await review, from the JSON text of jobs in that state."""
+    terms = F.from_json("pending_terms", "array<struct<en:string,zh:string>>")
+    return jobs.filter("status = 'waiting_term_review'").select("id", F.inline(terms))
+
+
+def snapshot_terms(terms: DataFrame, key: str) -> DataFrame:
+    """One row a job with its glossary as it is now: an array of (en, zh, status) in the order of terms."""
+    return terms.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("en", "zh", "status"))).alias("glossary"))
+
+
+def changed_row(rows: DataFrame, key: str, value, **columns) -> DataFrame:
+    """One row with other values in some columns: terms, folder names, annotations, the operation log."""
+    hit = F.col(key) == value
+    return rows.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in columns.items()})
+
+
+def image_work(images: DataFrame, key: str, translations: str = "translations") -> DataFrame:
+    """key, text and new text of image texts to replace: not those that are never translated, nor those that stay as they are."""
+    each = images.select(key, F.explode(translations).alias("text", "t"))
+    return each.filter((F.col("t.action") != "never_translate") & (F.col("t.translated") != F.col("text"))).select(key, "text", F.col("t.translated").alias("translated"))

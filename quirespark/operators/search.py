@@ -39,11 +39,15 @@ def search_document(blocks: DataFrame, key: str, query: str, section: str | None
 def search_all(blocks: DataFrame, key: str, query: str, k: int = 10) -> DataFrame:
     """The best blocks of all documents with heading context, and ``total``, the number of blocks that match.
 
-    The context needs the headings of documents with a match only; the total is a scalar subquery, not a window over everything.
+    Scores and the total take a scan each and no shuffle of blocks; the context is worked out for the documents of the k best alone, whose keys
+    (at most k) are broadcast.
     """
     rows = blocks.withColumn("score", T.word_score(F.col("text"), query))
     total = rows.filter("score > 0").select(F.count("*")).scalar()
-    return top(heading_context(rows, key), k, key, "idx").withColumn("total", total)
+    best = top(rows, k, key, "idx")
+    own = blocks.join(F.broadcast(best.select(key).distinct()), key, "left_semi")
+    context = heading_context(own, key).select(key, "idx", "context")
+    return best.join(context, [key, "idx"]).withColumn("total", total).orderBy(F.desc("score"), key, "idx")
 
 
 def search_annotations(annotations: DataFrame, results: DataFrame, papers: DataFrame, query: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import arrow as A
 from ..functions import text as T
 from ..operators import blocks as B
@@ -702,3 +703,67 @@ def sql_front_door(spark, sf):
 def sql_front_door_join(spark, sf):
     front_door.register(spark, {n: table(spark, sf, n) for n in ("region", "nation")})
     return front_door.query(spark, "select n_name, r_name, row_number() over (partition by r_name order by n_name) as k from nation join region on n_regionkey = r_regionkey order by r_name, n_name")
+
+
+# --- single papers, terms, tags ------------------------------------------------------------------------------------------
+
+
+@query("""select c_custkey, c_name as title, nullif(c_mktsegment, '') as journal, c_nationkey as year from customer where c_custkey = 7""")
+def paper_metadata(spark, sf):
+    papers = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("title"), F.col("c_mktsegment").alias("journal"), F.col("c_nationkey").alias("year"))
+    return L.metadata(papers, "c_custkey", 7).select("c_custkey", "title", "journal", "year")
+
+
+@query("""with newest as (select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1)
+select l_orderkey as result_id, l_linenumber, o_custkey as paper_id from lineitem join newest on o_orderkey = l_orderkey""")
+def annotations_of_latest(spark, sf):
+    results = table(spark, sf, "orders").select(F.col("o_custkey").alias("paper_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"))
+    notes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("result_id"), "l_linenumber")
+    return L.of_latest_result(notes, results).select("result_id", "l_linenumber", "paper_id")
+
+
+@query("""select n_nationkey as id, n_name as en, 'z' as zh from nation where n_regionkey = 1 union all select n_nationkey, 'b', null from nation where n_regionkey = 1""")
+def pending_terms(spark, sf):
+    text = F.concat(F.lit('[{"en": "'), "n_name", F.lit('", "zh": "z"}, {"en": "b"}]'))
+    jobs = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_regionkey") == 1, "waiting_term_review").otherwise("pending").alias("status"), text.alias("pending_terms"))
+    return L.pending_terms(jobs)
+
+
+@query(f"with {I.TERMS} select item_id % 5 as job, string_agg(en || '|' || zh || '|' || status, ';' order by en, zh, status) as glossary from terms group by 1")
+def snapshot_terms(spark, sf):
+    made = L.snapshot_terms(I.terms(spark, sf).withColumn("job", F.col("item_id") % 5), "job")
+    return made.select("job", F.array_join(F.transform("glossary", lambda t: F.concat_ws("|", t["en"], t["zh"], t["status"])), ";").alias("glossary"))
+
+
+@query("select r_regionkey, case when r_regionkey = 2 then 'renamed' else r_name end as r_name from region")
+def renamed_row(spark, sf):
+    return L.changed_row(table(spark, sf, "region"), "r_regionkey", 2, r_name="renamed").select("r_regionkey", "r_name")
+
+
+@query("select p_partkey, p_name as text, upper(p_name) as translated from part where p_partkey % 3 = 0 and upper(p_name) <> p_name")
+def image_work_items(spark, sf):
+    action = F.when(F.col("p_partkey") % 3 == 0, "translate").otherwise("never_translate")
+    texts = F.create_map(F.col("p_name"), F.struct(action.alias("action"), F.upper("p_name").alias("translated")), F.lit("same"), F.struct(F.lit("translate").alias("action"), F.lit("same").alias("translated")))
+    return L.image_work(table(spark, sf, "part").select("p_partkey", texts.alias("translations")), "p_partkey")
+
+
+@query("select n_nationkey, case n_regionkey when 0 then 'SCI|Q2' when 1 then 'unclassified' else 'SCI|Q1' end as tags, least(100, greatest(0, n_nationkey * 10 - 20))::int as progress from nation")
+def tag_choices(spark, sf):
+    chosen = F.when(F.col("n_regionkey") == 0, F.array(F.lit("Q1"), F.lit("SCI"), F.lit("Q2"))).when(F.col("n_regionkey") == 1, F.array(F.lit("Q1"), F.lit("unclassified"))).otherwise(F.array(F.lit("unclassified"), F.lit("Q2"), F.lit("SCI"), F.lit("Q1")))
+    rows = table(spark, sf, "nation").select("n_nationkey", chosen.alias("chosen"))
+    return rows.select("n_nationkey", F.array_join(T.exclusive_tags(F.col("chosen"), {"jcr": T.JOURNAL_TAGS["jcr"]}), "|").alias("tags"), T.clamped(F.col("n_nationkey") * 10 - 20).alias("progress"))
+
+
+@query("select item_id, 'find' as name, text[:20] as q from benchmark")
+def written_tool_calls(spark, sf):
+    text = F.concat(F.lit('ok <invoke name="find"><parameter name="q" string="true">'), F.substring("text", 1, 20), F.lit('</parameter></invoke> end'))
+    return table(spark, sf, "benchmark").select("item_id", F.explode(T.tool_calls(text)).alias("c")).select("item_id", F.col("c.name").alias("name"), F.col("c.arguments")["q"].alias("q"))
+
+
+@query(f"with {I.BLOCKS} select doc_id, (idx)::int as pos, text from blocks where text is not null")
+def references_in_order(spark, sf):
+    """Nested result documents with Chinese keys, read back as references."""
+    body = I.blocks(spark, sf).filter("text is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("r"))
+    made = body.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("paper_id"), F.to_json(F.struct(F.transform("r", lambda x: F.concat(x["idx"], F.lit("#"), x["text"])).alias("参考文献"))).alias("structure_json"))
+    found = schema.references(made)
+    return found.select(F.col("paper_id").cast("long").alias("doc_id"), F.regexp_extract("text", r"^(\d+)#", 1).cast("int").alias("pos"), F.regexp_replace("text", r"^\d+#", "").alias("text"))
