@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,11 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = getattr(spark.sparkContext, "_quire_dir", None)
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="quire-")
+            base = "file://" + (own := tempfile.mkdtemp(prefix="quire-"))
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
             spark.sparkContext._quire_dir = base
     return f"{base.rstrip('/')}/quire/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes everything that this application's operators have written to the shared folder; their results can't be read afterwards."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark).rpartition("/")[0])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{what}"

@@ -32,6 +32,8 @@ FULL = 512
 SAMPLE = 4096
 #: Most fingerprints at home in one shard of a tree; larger shards are dealt anew by a salt.
 SHARD = 16_384
+#: Most levels that deal to shards, so that trees and counts of shards stay small on the driver.
+LEVELS = 12
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -193,7 +195,7 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 4, shard: int = SH
     spark = distinct.sparkSession
     n = distinct.count()
     seen = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
-    depth = max(0, math.ceil(math.log2(max(1, n) / shard)))
+    depth = min(LEVELS, max(0, math.ceil(math.log2(max(1, n) / shard))))
     near, masks = radius // blocks, block_masks(blocks)
     trees = spark.sparkContext.broadcast([fit_tree(seen, m, depth) for m in masks])
     n_leaves = 2**depth
@@ -211,11 +213,12 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 4, shard: int = SH
                 yield pa.RecordBatch.from_arrays([pa.array(leaf + t * n_leaves, pa.int32()), pa.array(fps[rows].view(np.int64)), pa.array(leaf == home[rows])], names=["shard", "fp", "home"])
 
     dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
-    large = {r.shard: math.ceil(r.n / shard / 2) for r in dealt.groupBy("shard").agg(F.count_if("home").alias("n")).filter(F.col("n") > 2 * shard).collect()}
+    sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("n")).filter(F.col("n") > 2 * shard)
+    large = [(r.shard, math.ceil(r.n / shard)) for r in sizes.collect()]  # at most blocks * 2 ** LEVELS
     if large:  # members are dealt by a salt, and each also visits the other salts
-        salts = F.create_map(*[F.lit(x) for kv in large.items() for x in kv])
-        dealt = dealt.withColumn("of", F.coalesce(F.element_at(salts, F.col("shard")), F.lit(1))).withColumn("salt", F.explode(F.expr("sequence(0, of - 1)")))
-        dealt = dealt.withColumn("home", F.col("home") & (F.col("salt") == F.pmod(F.xxhash64("fp"), F.col("of"))))
+        salts = spark.createDataFrame(large, "shard int, of int")
+        dealt = dealt.join(F.broadcast(salts), "shard", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("salt", F.explode(F.expr("sequence(0, of - 1)")))
+        dealt = dealt.withColumn("home", F.col("home") & (F.col("salt") == F.pmod(F.xxhash64("fp"), F.col("of")))).select("shard", "salt", "fp", "home")
     else:
         dealt = dealt.withColumn("salt", F.lit(0))
 
