@@ -1,7 +1,7 @@
 """Quality by ordinal regression: one score per text, ordered thresholds that cut it into grades (cumulative link, logistic).
 
 P(grade <= k) = 1 / (1 + exp(score - threshold_k)). The score sums weights of hashed features that a text has: its words,
-their runs of four and five characters, and steps of a few shares (symbols, capitals, distinct words). The weights are shared by all
+their runs of four and five characters, their first five to eight characters, and steps of a few shares (symbols, capitals, distinct words). The weights are shared by all
 grades and mostly zero (L1). From them come the expected grade and the tail probability of the best grade, by which texts are kept.
 
 Ratings: ``labels`` has quality and toxic; grade 0 is low quality, 1 good but toxic, 2 good and clean. The model is fitted on a bounded
@@ -41,7 +41,8 @@ def word_features(word: str) -> list[int]:
     word = word.strip(MARKS).lower()
     if not word:
         return []
-    return [bucket("=" + word), *(bucket(word[i : i + n]) for n in (4, 5) for i in range(len(word) - n + 1))]
+    starts = (bucket("^" + word[:n]) for n in range(5, min(9, len(word))))
+    return [bucket("=" + word), *starts, *(bucket(word[i : i + n]) for n in (4, 5) for i in range(len(word) - n + 1))]
 
 
 def step_features(text: str, words: list[str], distinct: int) -> list[int]:
@@ -94,24 +95,25 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def fit(features: list[np.ndarray], grade: np.ndarray, share: np.ndarray, keep: int = FEATURES, l1: float = 5e-4, rounds: int = 600, pace: float = 0.1) -> Model:
-    """features: each document's distinct buckets; share: how much of all ratings each grade has. Adam with a proximal step, slower and slower."""
+def fit(features: list[np.ndarray], grade: np.ndarray, share: np.ndarray, keep: int = FEATURES, least: int = 3, l1: float = 5e-4, rounds: int = 1000, pace: float = 0.1) -> Model:
+    """features: each document's distinct buckets; share: how much of all ratings each grade has; least: documents that a feature needs. Adam with a proximal step, slower and slower."""
     weight = (share / np.maximum(1, np.bincount(grade, minlength=GRADES)))[grade]
     weight /= weight.sum()
-    rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    flat = np.concatenate(features) if features else np.array([], np.int64)
-    names, flat = np.unique(flat, return_inverse=True)
-    seen = np.stack([np.bincount(flat[grade[rows] == g], minlength=len(names)) for g in range(GRADES)])
     sizes = np.bincount(grade, minlength=GRADES).astype(float)
+    each = [np.unique(np.concatenate([np.array([], np.int32), *(f for f, g in zip(features, grade) if g == k)]), return_counts=True) for k in range(GRADES)]
+    names = np.unique(np.concatenate([v for v, _ in each]))
+    seen = np.zeros((GRADES, len(names)), np.int32)
+    for k, (values, n) in enumerate(each):
+        seen[k, np.searchsorted(names, values)] = n
+    often = seen.sum(0) >= least
+    names, seen = names[often], seen[:, often]
     all_share = seen.sum(0) / max(1, len(grade))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rate = np.where(sizes[:, None] > 0, seen / np.maximum(1, sizes)[:, None], all_share)
-        chi = (sizes[:, None] * (rate - all_share) ** 2).sum(0) / np.maximum(1e-9, all_share * (1 - all_share) + 1 / max(1, len(grade)))
+    rate = np.where(sizes[:, None] > 0, seen / np.maximum(1, sizes)[:, None], all_share)
+    chi = (sizes[:, None] * (rate - all_share) ** 2).sum(0) / np.maximum(1e-9, all_share * (1 - all_share) + 1 / max(1, len(grade)))
     chosen = np.sort(np.argsort(-chi, kind="stable")[:keep])
-    new = np.full(len(names), -1)
-    new[chosen] = np.arange(len(chosen))
-    inside = new[flat] >= 0
-    rows, flat = rows[inside], new[flat[inside]]
+    inside = [np.searchsorted(names[chosen], f[np.isin(f, names[chosen], assume_unique=True)]) for f in features]
+    rows = np.repeat(np.arange(len(features)), [len(f) for f in inside])
+    flat = np.concatenate([np.array([], np.int64), *inside]).astype(np.int64)
     w, theta = np.zeros(len(chosen)), np.log(np.maximum(1e-6, np.cumsum(share)[:-1]) / np.maximum(1e-6, 1 - np.cumsum(share)[:-1]))
     mw, vw, mt, vt = np.zeros(len(w)), np.zeros(len(w)), np.zeros(len(theta)), np.zeros(len(theta))
     low, high = grade - 1, grade
@@ -200,13 +202,13 @@ def scored(docs: DataFrame, model: Model | None, keep_rows: bool = False) -> Dat
     return rows.mapInArrow(make, ", ".join([*fields, "`__expected_grade` double, `__p_top` double, `__p_1` double"]))
 
 
-def graded(docs: DataFrame, labels: DataFrame, least: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+def graded(docs: DataFrame, labels: DataFrame, least: float = 0.65, sample: int = SAMPLE) -> DataFrame:
     """doc_id, expected_grade, p_good (at least grade 1), p_clean (grade 2), kept (p_clean at least ``least``) of every row."""
     found = scored(docs, train(docs, labels, sample))
     return found.select("doc_id", F.col("__expected_grade").alias("expected_grade"), F.col("__p_1").alias("p_good"), F.col("__p_top").alias("p_clean"), (F.col("__p_top") >= least).alias("kept"))
 
 
-def keep_clean(docs: DataFrame, rated: DataFrame, labels: DataFrame, least: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+def keep_clean(docs: DataFrame, rated: DataFrame, labels: DataFrame, least: float = 0.65, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the model keeps, all columns as they are; it is fitted on the texts of ``rated``."""
     own, back = shielded(docs, ("text",))
     return back(scored(own, train(rated, labels, sample), keep_rows=True).filter(F.col("__p_top") >= least))
