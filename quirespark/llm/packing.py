@@ -167,7 +167,7 @@ def pack_grouped(lengths: np.ndarray, room: int, groups: int, large: float) -> t
     return sequence, offset
 
 
-def pack(pieces: DataFrame, length: int = 4096, shard: int = 8_192) -> DataFrame:
+def pack(pieces: DataFrame, length: int = 4096, shard: int = 4_096) -> DataFrame:
     """The pieces with sequence_id and offset; needs row, piece and length, and keeps other columns."""
     pieces = written(pieces, "pieces")
     shards = max(1, math.ceil(pieces.count() / shard))
