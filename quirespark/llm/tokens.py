@@ -23,8 +23,9 @@ PLAIN = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 #: Characters that are encoded at once; a longer text is cut between words.
 CUT = 1 << 18
-#: Words kept, twice over: those met since the table last filled up, and those of the time before.
-KEPT = 400_000
+#: Words kept. A full table stays as it is, since frequent words come early, until RENEWED words more weren't in it.
+KEPT = 700_000
+RENEWED = 2_000_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -35,14 +36,14 @@ def _byte_letters() -> dict[int, int]:
 
 
 class WordIds(dict):
-    """word -> packed ids. A word not met lately is looked up among the older ones, then encoded.
+    """word -> packed ids; a word that isn't there is encoded, and kept while there is room.
 
     ``spaced``: a word stands for itself with a space before it, unless it begins with a line feed. ``lower``: lower case first.
     """
 
     def __init__(self, tokenizer: Tokenizer, dtype: str, spaced: bool, lower: bool):
         self.encode, self.split, self.code = tokenizer.encode, tokenizer.model.tokenize, "H" if dtype == "<u2" else "I"
-        self.spaced, self.lower, self.older, self.letters = spaced, lower, {}, _byte_letters()
+        self.spaced, self.lower, self.missed, self.letters = spaced, lower, 0, _byte_letters()
 
     def packed(self, text: str) -> bytes:
         return array(self.code, self.encode(text, add_special_tokens=False).ids).tobytes()
@@ -63,14 +64,15 @@ class WordIds(dict):
         return self.part(" " + letters if self.spaced else letters)
 
     def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            found = self.new(word)
-        if len(word) <= 64:
-            if len(self) >= KEPT:
-                self.older = dict(self)
+        found = self.new(word)
+        if len(self) < KEPT:
+            if len(word) <= 64:
+                self[word] = found
+        else:
+            self.missed += 1
+            if self.missed >= RENEWED:
+                self.missed = 0
                 self.clear()
-            self[word] = found
         return found
 
 

@@ -35,6 +35,7 @@ def test_odd_texts(encoder, text):
 
 def test_long_texts_and_full_table(encoder, monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 50)
+    monkeypatch.setattr(tokens, "RENEWED", 500)
     monkeypatch.setattr(tokens, "CUT", 1000)
     for text in (" ".join(f"word{chr(97 + i % 26)}x{'y' * (i % 9)}," for i in range(3000)), "\tx y" * 2000, "x" * 5000):
         assert encoder(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
