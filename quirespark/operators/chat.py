@@ -116,7 +116,7 @@ def distinct_citations(citations: DataFrame, key: str, pos: str = "pos") -> Data
 
 
 def grouped_citations(citations: DataFrame, key: str, pos: str = "pos") -> DataFrame:
-    """One row a paper, in the order of first mention, with its label and the places cited."""
+    """One row a paper, in the order of first mention, with its label and the places cited; places of one position by block, none first."""
     g = citations.groupBy(key, "paper_id").agg(F.min(pos).alias("first"), F.min_by("authors", pos).alias("authors"), F.array_sort(F.collect_list(F.struct(pos, "block_idx"))).alias("items"))
     return g.select(key, "paper_id", "first", T.author_label(F.col("authors")).alias("label"), F.array_join(F.transform("items", lambda i: F.coalesce(i["block_idx"].cast("string"), F.lit("-"))), ",").alias("places"))
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.arrow import similarity_of
 from .blocks import heading_context, scoped
 
 #: Most queries that a similarity search holds at once; more are taken in blocks.
@@ -68,33 +69,59 @@ def search_history(messages: DataFrame, sessions: DataFrame, query: str, k: int
     return found.join(titles, "session_id").withColumn("snippet", T.snippet(F.col("content"), query)).orderBy(F.desc("created_at"), F.desc("id")).limit(k)
 
 
-def similar_titles(library: DataFrame, queries: list[tuple], key: str, title: str, least: float = 0.6) -> DataFrame:
-    """(query, key, title, similarity) of all titles at least that similar to one of the stated queries (id, title).
+def plain_title(title: Column | str) -> Column:
+    return F.lower(F.regexp_replace(title, r"(?U)^\s+|\s+$", ""))
 
-    The queries are few and go to every task, in blocks; pairs are first held against upper bounds of the ratio, which rule out
-    none that qualifies.
+
+def similar_texts(texts: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(asked, plain, similarity) of all texts at least that similar to a query text; both tables have one column of distinct texts.
+
+    Query texts go to every task in blocks of QUERIES. Pairs are first held against upper bounds of the ratio, by length and by
+    shared letters, which rule out none that qualifies.
     """
-    spark = library.sparkSession
-    rows = library.select(key, title)
-    kind = dict(library.dtypes)[key]
+    spark = texts.sparkSession
     found = None
-    for at in range(0, max(1, len(queries)), QUERIES):
-        shared = spark.sparkContext.broadcast([(q, (t or "").strip().lower()) for q, t in queries[at : at + QUERIES]])
+    asked = queries.toLocalIterator()
+    while block := [r[0] for r in islice(asked, QUERIES)]:
+        shared = spark.sparkContext.broadcast(block)
 
         def match(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 out = []
-                for k, t in zip(frame.iloc[:, 0], frame.iloc[:, 1]):
-                    matcher = difflib.SequenceMatcher(None, "", (t or "").strip().lower())
-                    for q, text in shared.value:
-                        matcher.set_seq1(text)
-                        if text and matcher.b and matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (s := similarity_of(text, t)) >= least:
-                            out.append((q, k, t, s))
-                yield pd.DataFrame(out, columns=["query", key, title, "similarity"])
-
-        part = rows.mapInPandas(match, f"query bigint, {key} {kind}, {title} string, similarity double")
+                for text in frame.iloc[:, 0]:
+                    matcher = difflib.SequenceMatcher(None, "", text)
+                    for q in shared.value:
+                        matcher.set_seq1(q)
+                        if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (s := matcher.ratio()) >= least:
+                            out.append((q, text, s))
+                yield pd.DataFrame(out, columns=["asked", "plain", "similarity"])
+
+        part = texts.mapInPandas(match, "asked string, plain string, similarity double")
         found = part if found is None else found.unionByName(part)
-    return found
+    return found if found is not None else spark.createDataFrame([], "asked string, plain string, similarity double")
+
+
+def similar_titles(library: DataFrame, queries: DataFrame, key: str, titles: list[str], least: float = 0.6, most: int = 5) -> DataFrame:
+    """(query, key, title, similarity): for each query the ``most`` most similar rows of the library, of those at least that similar; ties by key.
+
+    ``titles`` are the columns of both tables that hold a title (in another language, say); the best of all pairings counts. Titles that are equal
+    without case and outer white space are compared once, and of each only the ``most`` smallest keys can be among the best; so copies,
+    however many, add rows to no task. Null and empty titles are similar to nothing.
+    """
+    each = F.explode(F.array(*titles)).alias("__title")
+    rows = library.select(F.col(key).alias("__key"), each).withColumn("plain", plain_title("__title")).filter("plain <> ''")
+    own = queries.select("query", each).select("query", plain_title("__title").alias("asked")).filter("asked <> ''").distinct()
+    pairs = similar_texts(rows.select("plain").distinct(), own.select("asked").distinct(), least)
+    first = rows.groupBy("plain", "__key").agg(F.min("__title").alias("__title"))
+    first = first.withColumn("__k", F.row_number().over(W.partitionBy("plain").orderBy("__key"))).filter(F.col("__k") <= most).drop("__k")
+
+    def best(found: DataFrame, by: str) -> DataFrame:
+        one = found.groupBy(by, "__key").agg(F.max("similarity").alias("similarity"), F.max_by("__title", F.struct("similarity", "__title")).alias("__title"))
+        rank = F.row_number().over(W.partitionBy(by).orderBy(F.desc("similarity"), "__key"))
+        return one.withColumn("__k", rank).filter(F.col("__k") <= most).drop("__k")
+
+    found = best(own.join(best(pairs.join(first, "plain"), "asked"), "asked"), "query")
+    return found.select("query", F.col("__key").alias(key), F.col("__title").alias("title"), "similarity")
 
 
 def citations(found: dict[str, DataFrame], most: dict[str, int]) -> DataFrame:

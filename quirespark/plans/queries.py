@@ -53,11 +53,11 @@ def search_across_documents(spark, sf):
     return S.search_all(I.blocks(spark, sf), "doc_id", WORDS, 50).select("doc_id", "idx", "level", "score", "context", "total")
 
 
-@query(f"""select doc_id, source, lang, {score_sql('src1 en th', "concat_ws(' ', source, lang, text[:300])")} as score from documents
+@query(f"""select doc_id, source, lang, {score_sql('src1 en th', "concat_ws(' ', source, lang, text)")} as score from documents
 where lang is null or lang = '' or contains(lower(lang), 'e') order by score desc, doc_id limit 40""")
 def search_documents_meta(spark, sf):
     docs = table(spark, sf, "documents").withColumn("domain", F.col("lang"))
-    return S.search_library(docs, "src1 en th", ["source", "lang", F.substring("text", 1, 300)], "doc_id", "E", 40).select("doc_id", "source", "lang", "score")
+    return S.search_library(docs, "src1 en th", ["source", "lang", "text"], "doc_id", "E", 40).select("doc_id", "source", "lang", "score")
 
 
 @query(f"""with {I.BLOCKS}, heads as (select doc_id, min(idx) as start from blocks where level >= 1 and contains(lower(text), 'the') group by doc_id),
@@ -91,10 +91,10 @@ def chat_history_search(spark, sf):
 
 @query()
 def duplicate_titles(spark, sf):
-    """Stated queries (every 500th part's name) against the names of all parts."""
+    """Stated queries (the names of parts whose key is divisible by 20) against the names of all parts; the five best of each."""
     titles = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
-    queries = [(r.id, r.title) for r in titles.filter("id % 500 = 0").toLocalIterator()]
-    return S.similar_titles(titles, queries, "id", "title", 0.6)
+    queries = titles.filter("id % 20 = 0").withColumnRenamed("id", "query")
+    return S.similar_titles(titles, queries, "id", ["title"])
 
 
 @query("""select item_id, contains(lower(text), 'tion') or contains(lower(text), 'qu') as relevant, false as none, true as every from benchmark""")
@@ -362,10 +362,10 @@ def name_projections(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", T.masked(n).alias("masked"), T.session_title(n).alias("title"), T.export_name(n, "both").alias("file"), T.block_number(n).alias("number"), T.stage_progress("translate", F.col("c_nationkey"), F.lit(25)).alias("progress"))
 
 
-@query("""select doc_id, regexp_replace('[' || doc_id || '] ' || text[:40], '^\\s*(?:\\[\\d+\\]|\\(\\d+\\)|\\d+[.)]\\s*)\\s*', '') as bare, case when lang in ('en','fr','de','ja','ko','es','ru','ar','pt','it') then lang else 'en' end as lang,
+@query("""select doc_id, regexp_replace('[' || doc_id || '] ' || text, '^\\s*(?:\\[\\d+\\]|\\(\\d+\\)|\\d+[.)]\\s*)\\s*', '') as bare, case when lang in ('en','fr','de','ja','ko','es','ru','ar','pt','it') then lang else 'en' end as lang,
 array_to_string(list_filter(list_transform(string_split_regex(source || ', ' || lang || '；、 ', '[,;，；、]'), lambda x: trim(x)), lambda x: x <> ''), '|') as authors from documents""")
 def document_projections(spark, sf):
-    bare = T.without_reference_number(F.concat(F.lit("["), "doc_id", F.lit("] "), F.substring("text", 1, 40)))
+    bare = T.without_reference_number(F.concat(F.lit("["), "doc_id", F.lit("] "), "text"))
     return table(spark, sf, "documents").select("doc_id", bare.alias("bare"), T.language(F.col("lang")).alias("lang"), F.array_join(T.author_list(F.concat("source", F.lit(", "), "lang", F.lit("；、 "))), "|").alias("authors"))
 
 
@@ -643,15 +643,15 @@ def chat_micro(spark, sf):
     return C.micro(m, "conv_id").select("conv_id", "turn", "role", "content")
 
 
-CITES = "cites as (select l_orderkey, l_linenumber * 10000000 + l_partkey as pos, l_suppkey % 7 as paper_id, case when l_quantity > 25 then (l_quantity::int) % 5 end as block_idx, l_returnflag as text from lineitem where l_orderkey % 20 = 1)"
+CITES = "cites as (select l_orderkey, l_linenumber * 10000000 + l_partkey as pos, l_suppkey % 7 as paper_id, case when l_quantity > 25 then (l_quantity::int) % 5 end as block_idx, l_returnflag as text from lineitem)"
 
 
 def _cites(spark, sf):
-    return table(spark, sf, "lineitem").filter("l_orderkey % 20 = 1").select("l_orderkey", (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("pos"), (F.col("l_suppkey") % 7).alias("paper_id"), F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("int") % 5).alias("block_idx"), F.col("l_returnflag").alias("text"), F.lit("block").alias("type"))
+    return table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("pos"), (F.col("l_suppkey") % 7).alias("paper_id"), F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("int") % 5).alias("block_idx"), F.col("l_returnflag").alias("text"), F.lit("block").alias("type"))
 
 
 @query(f"""with {CITES}, d as (select * from cites qualify row_number() over (partition by l_orderkey, paper_id, coalesce(block_idx::varchar, text[:60]) order by pos) = 1)
-select l_orderkey, paper_id, min(pos) as first, case when paper_id % 3 = 0 then 'A' when paper_id % 3 = 1 then 'A & B' else 'A et al.' end as label, string_agg(coalesce(block_idx::varchar, '-'), ',' order by pos) as places from d group by 1, 2""")
+select l_orderkey, paper_id, min(pos) as first, case when paper_id % 3 = 0 then 'A' when paper_id % 3 = 1 then 'A & B' else 'A et al.' end as label, string_agg(coalesce(block_idx::varchar, '-'), ',' order by pos, block_idx nulls first) as places from d group by 1, 2""")
 def citation_groups(spark, sf):
     people = F.slice(F.array(F.lit("A"), F.lit("B"), F.lit("C")), 1, (F.col("paper_id") % 3 + 1).cast("int"))
     found = C.distinct_citations(_cites(spark, sf), "l_orderkey").withColumn("authors", people)
@@ -754,9 +754,9 @@ def tag_choices(spark, sf):
     return rows.select("n_nationkey", F.array_join(T.exclusive_tags(F.col("chosen"), {"jcr": T.JOURNAL_TAGS["jcr"]}), "|").alias("tags"), T.clamped(F.col("n_nationkey") * 10 - 20).alias("progress"))
 
 
-@query("select item_id, 'find' as name, text[:20] as q from benchmark")
+@query("select item_id, 'find' as name, text as q from benchmark")
 def written_tool_calls(spark, sf):
-    text = F.concat(F.lit('ok <invoke name="find"><parameter name="q" string="true">'), F.substring("text", 1, 20), F.lit('</parameter></invoke> end'))
+    text = F.concat(F.lit('ok <invoke name="find"><parameter name="q" string="true">'), "text", F.lit('</parameter></invoke> end'))
     return table(spark, sf, "benchmark").select("item_id", F.explode(T.tool_calls(text)).alias("c")).select("item_id", F.col("c.name").alias("name"), F.col("c.arguments")["q"].alias("q"))
 
 

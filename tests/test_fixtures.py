@@ -136,11 +136,23 @@ def test_similarity():
     assert [round(A.similarity_of(a, b), 2) for a, b, _ in pairs] == [s for *_, s in pairs]
 
 
-def test_similar_titles_prunes_nothing(spark):
-    titles = ["red tide", "Red Tides", "tide", "diet", "", None]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "id bigint, title string")
-    got = {(r["query"], r.id) for r in S.similar_titles(rows, [(7, "red tide"), (8, "tide")], "id", "title", 0.5).collect()}
-    assert got == {(q, i) for q, a in ((7, "red tide"), (8, "tide")) for i, b in enumerate(titles) if A.similarity_of(a, b) >= 0.5}
+def test_similar_titles_against_brute_force(spark):
+    titles = ["red tide", "Red Tides", "tide", "diet", "", None, "\tRED TIDE\n", "red tide", "red tide", "blue moon", "tidered"]
+    others = [None, "tide", "", "diets", "red", "blue", "tide", "blue tide", None, "red tide", "moon"]
+    library = list(zip(range(len(titles)), titles, others))
+    rows = spark.createDataFrame(library, "id bigint, title string, other string")
+    asked = [(7, "red tide", None), (8, "tide", "blue moon"), (9, "Red tide", "red tide"), (10, "", ""), (11, None, None), (12, "zzz", "")]
+    queries = spark.createDataFrame(asked, "query bigint, title string, other string")
+    for most in (2, 5, 100):
+        want = set()
+        for q, *mine in asked:
+            score = {i: max(A.similarity_of(a, b) for a in mine for b in own) for i, *own in library}
+            near = sorted((-s, i) for i, s in score.items() if s >= 0.5)
+            want |= {(q, i, -s) for s, i in near[:most]}
+        got = [(r["query"], r.id, r.similarity) for r in S.similar_titles(rows, queries, "id", ["title", "other"], 0.5, most).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert S.similar_titles(rows, queries.limit(0), "id", ["title"]).count() == 0
+    assert S.similar_titles(rows.limit(0), queries, "id", ["title"]).count() == 0
 
 
 def test_glossary(spark):
