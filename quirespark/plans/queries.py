@@ -389,8 +389,10 @@ def measurement_spans(spark, sf):
     return docs.select("doc_id", A.delatex("text").alias("text"))
 
 
-@query()
+@query("""with l as (select doc_id, string_split(text, chr(10)) as l from documents)
+select doc_id, array_to_string(list_transform(range(1, len(l) + 1), lambda i: case when i % 2 = 1 then l[i] when i < len(l) then '$$' || trim(l[i]) || '$$' else '$' || chr(10) || l[i] end), chr(10)) as text from l""")
 def display_math(spark, sf):
+    """A line of one dollar sign before every line but the first: every second line lies between two of them."""
     docs = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n$\n")).alias("text"))
     return docs.select("doc_id", A.display_math("text").alias("text"))
 
@@ -635,8 +637,11 @@ def chat_to_summarise(spark, sf):
     return C.to_summarise(I.messages(spark, sf), "conv_id")
 
 
-@query()
+@query(f"""with {RECENT}, f as (select a.conv_id, a.turn, substr(t.content, 1, 50) as found from recent a join recent t on t.conv_id = a.conv_id and t.turn = a.turn + 1 where a.role = 'assistant' and not a.recent and t.role = 'system' and not t.recent)
+select r.conv_id, r.turn, case r.role when 'system' then 'tool' else r.role end as role, case when r.role <> 'assistant' then r.content when r.recent then '' else '[工具调用] search(q=1) → ' || coalesce(f.found, '') end as content
+from recent r left join f on f.conv_id = r.conv_id and f.turn = r.turn where not exists (select 1 from f u where u.conv_id = r.conv_id and u.turn + 1 = r.turn)""")
 def chat_micro(spark, sf):
+    """Assistants as callers of a tool, system messages as results of the call before them."""
     calls = F.when(F.col("role") == "assistant", F.array(F.struct(F.concat(F.lit("c"), "turn").alias("id"), F.lit("search").alias("name"), F.lit("q=1").alias("arguments"))))
     m = I.messages(spark, sf).withColumn("tool_calls", calls).withColumn("tool_call_id", F.when(F.col("role") == "system", F.concat(F.lit("c"), F.col("turn") - 1)))
     m = m.withColumn("role", F.when(F.col("role") == "system", "tool").otherwise(F.col("role"))).withColumn("content", F.when(F.col("role") == "assistant", "").otherwise(F.col("content")))
