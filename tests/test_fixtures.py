@@ -334,3 +334,18 @@ def test_models(spark):
 def test_library_filter(spark):
     papers = spark.createDataFrame([("a_c", None, 2000, "p", "normal"), ("abc", "Z", 2001, "p", "normal"), ("abc", None, 2000, "p", "long_chapter")], "title string, title_zh string, year int, paper_type string, document_role string")
     assert L.library_filter(papers, "A_C").count() == 1 and L.library_filter(papers, "A_C", wildcards=True).count() == 2 and L.library_filter(papers, "z").count() == 1
+
+
+def test_memory_and_passage_context(spark):
+    lines = [(0, 1, "Intro"), (1, 0, "alpha one"), (2, 1, "Methods"), (3, 0, "beta two"), (4, 2, "Data"), (5, 0, "gamma three")]
+    blocks = spark.createDataFrame([(1, i, level, text, None) for i, level, text in lines], "k int, idx int, level int, text string, image_url string")
+    docs = spark.createDataFrame([(1, "red tide rises, red tide falls"), (2, None)], "k int, text string")
+    rows = {r.k: r for r in M.memory(blocks, docs, "k").collect()}
+    assert [(s.start_index, s.end_index, s.path, s.summary) for s in rows[1].sections] == [(0, 1, "Intro", "alpha one"), (2, 3, "Methods", "beta two"), (4, 5, "Methods > Data", "gamma three")]
+    assert [(o.idx, o.path) for o in rows[1].outline] == [(0, "Intro"), (2, "Methods"), (4, "Methods > Data")]
+    assert [(p.phrase, p.n) for p in rows[1].phrases] == [("red tide", 2)]
+    assert rows[2].outline is None and rows[2].phrases is None
+    context = {r.idx: (r.path, r.gist, r.previous or "", r.next or "") for r in M.passage_context(blocks, "k").collect()}
+    assert context[1] == ("Intro", "alpha one", "Intro", "Methods")
+    assert context[3] == ("Methods", "beta two", "Methods", "Data")
+    assert context[5] == ("Methods > Data", "gamma three", "Data", "")
