@@ -3,8 +3,11 @@
 Words are canonical: lower case, without marks around them. Numbers become one placeholder, and units after a number another
 (template 1); template 2 also replaces names, that is words with a capital (a sentence's first word among them). Windows of a template are hashed and
 joined: those of all documents, thinned by a bitmap of fixed size, with those of the benchmark. Windows of one document and one item
-that lie on one diagonal make a run. A run of ``run`` words (or of the whole item if it is shorter) is a leak
-if its slots agree: each value of the item stands for one value of the document, and the other way round.
+that lie on one diagonal and follow one another make a run while their slots agree: each value of the item stands for one value of the
+document, and the other way round. A window whose slots conflict with those before it ends the run. If names conflict (they are guesses: a sentence's
+first word is no name) the next run begins after the last window that conflicts; if numbers or units do, it begins with this window. Windows
+with equal slot values, and those of template 1, are judged alone too, so that what lies beyond a quotation can't spoil it. A run of ``run``
+words (or of the whole item if it is shorter) is a leak.
 
 Defined results: null and empty texts have no windows. Items of under MIN_WORDS words are not looked for; those of under ``window`` words
 only whole. Repeated rows give one result. A null doc_id or item_id is a value of its own. Other columns are ignored.
@@ -13,6 +16,7 @@ only whole. Repeated rows give one result. A null doc_id or item_id is a value o
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,7 @@ UNITS = "mm cm dm m km inch inches foot feet ft yard yards mile miles mg g kg gr
 NUMBER = re.compile(r"[+\-$€£]?\d+(?:[.,:/]\d+)*[%°€$£]?|\d+(?:st|nd|rd|th)|\d[\d.,]*[a-z]{1,4}")
 EDGE = re.compile(r"^[^\w+\-$€£%°]+|[^\w%°€$£]+$")
 IS_NUMBER, IS_UNIT, IS_CAPITAL = 1, 2, 4
+PLAIN, NAMES = 1, 2  # the templates
 _NUMBERS, _UNITS = frozenset(NUMBER_WORDS.split()), frozenset(UNITS.split())
 
 
@@ -58,8 +63,8 @@ _MASK = np.uint64(2**64 - 16)
 _SLOTS = {k: np.uint64(xxhash.xxh64_intdigest(k) & ~15) for k in ("<number>", "<unit>", "<name>")}
 
 
-def templates(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, is a slot) of the words under template 1, and under template 2 where it differs."""
+def templates(words: list[str]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(template, hashes, is a slot, is a name) of the words under template 1, and under template 2 where it differs."""
     value = np.fromiter(map(_canonical.__getitem__, words), np.uint64, len(words))
     flag = value & np.uint64(15)
     number = flag & np.uint64(IS_NUMBER) > 0
@@ -68,18 +73,24 @@ def templates(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     hashes = value & _MASK
     if number.any():
         hashes[number], hashes[unit] = _SLOTS["<number>"], _SLOTS["<unit>"]
-    found = [(hashes, number | unit)]
+    found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]] = [(PLAIN, hashes, number | unit, None)]
     name = flag & np.uint64(IS_CAPITAL) > 0
     if name.any():
         hashes = hashes.copy()
         hashes[name] = _SLOTS["<name>"]
-        found.append((hashes, number | unit | name))
+        found.append((NAMES, hashes, number | unit | name, name))
     return found
 
 
-def windows(words: list[str], sizes: tuple[int, ...], bitmap: np.ndarray | None) -> Iterator[tuple[int, int, int, list[str]]]:
-    """(position, size, hash, slot values) of the windows, or of those that the bitmap lets through. At most half of the words are slots."""
-    for t, (hashes, slot) in enumerate(templates(words) if len(words) >= min(sizes) else []):
+def inside(marks: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """How many marked words the windows have that begin at ``at``."""
+    before = np.concatenate(([0], np.cumsum(marks)))
+    return before[at + size] - before[at]
+
+
+def windows(words: list[str], sizes: tuple[int, ...], bitmap: np.ndarray | None) -> Iterator[tuple[int, int, int, int, list[str]]]:
+    """(template, position, size, hash, slot values) of the windows, or of those that the bitmap lets through. At most half of the words are slots. Template 2 has windows with a name only: others are as in template 1."""
+    for t, hashes, slot, name in templates(words) if len(words) >= min(sizes) else []:
         for size in sizes:
             n = len(words) - size + 1
             if n < 1:
@@ -93,18 +104,19 @@ def windows(words: list[str], sizes: tuple[int, ...], bitmap: np.ndarray | None)
             at = np.arange(n) if bitmap is None else np.flatnonzero(bitmap[total >> np.uint64(64 - BITMAP)])
             if not len(at):
                 continue
-            before = np.concatenate(([0], np.cumsum(slot)))
-            slots = before[at + size] - before[at]
-            for i in at[(slots * 2 <= size) & ((slots > 0) | (t == 0))].tolist():
-                yield i, size, int(total[i].astype(np.int64)), [EDGE.sub("", w).lower() for w, s in zip(words[i : i + size], slot[i : i + size]) if s]
+            fit = inside(slot, at, size) * 2 <= size
+            if name is not None:
+                fit &= inside(name, at, size) > 0
+            for i in at[fit].tolist():
+                yield t, i, size, int(total[i].astype(np.int64)), [EDGE.sub("", w).lower() for w, s in zip(words[i : i + size], slot[i : i + size]) if s]
 
 
 def window_table(rows: DataFrame, key: list[str], sizes: tuple[int, ...], bitmap: np.ndarray | None, least: int = 0) -> DataFrame:
-    """key columns, n_words, position, size, hash, slots of the windows of a column text. A text of under ``least`` words has none; one of under the largest size only itself whole."""
+    """key columns, n_words, template, position, size, hash, slots of the windows of a column text. A text of under ``least`` words has none; one of under the largest size only itself whole."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in key), "n_words int, position int, size int, hash long, slots array<string>"])
+    schema = ", ".join([*(f"{k} {types[k]}" for k in key), "n_words int, template int, position int, size int, hash long, slots array<string>"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b, 500)):
@@ -119,32 +131,62 @@ def window_table(rows: DataFrame, key: list[str], sizes: tuple[int, ...], bitmap
                     out.append((len(words), *w))
             if out:
                 taken = [batch.column(i).take(pa.array(at)) for i in range(len(key))]
-                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=[*key, "n_words", "position", "size", "hash", "slots"])
+                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=[*key, "n_words", "template", "position", "size", "hash", "slots"])
 
     return rows.select(*key, "text").mapInArrow(make, schema)
 
 
-def run_of(at: pd.Series, item: pd.Series, doc: pd.Series, size: pd.Series) -> pd.DataFrame:
-    """Of the windows on one diagonal: words of the longest run, where it begins in the item, slots with another value, whether slots agree."""
+def longest(by: list[tuple[int, set[tuple[str, str]]]], size: int) -> tuple[int, int, int]:
+    """Of windows in order, each with its pairs of slot values: words, -changed slots and -position of the longest run without a gap or a conflict; zeros without one."""
+    best, start = (0, 0, 0), 0
+    there: dict[str, str] = {}
+    back: dict[str, str] = {}
+    held: Counter[tuple[str, str]] = Counter()
+
+    def leave(until: int) -> None:
+        nonlocal start
+        for _, pairs in by[start:until]:
+            for x, y in pairs:
+                held[x, y] -= 1
+                if not held[x, y]:
+                    del held[x, y], there[x], back[y]
+        start = until
+
+    for i, (at, pairs) in enumerate(by):
+        if i and at > by[i - 1][0] + 1:
+            leave(i)
+        if not len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs):  # conflicts in itself
+            leave(i)
+            start = i + 1
+            continue
+        while clash := [x for x, y in pairs if there.get(x, y) != y or back.get(y, x) != x]:
+            leave(i if any(_canonical[x] & (IS_NUMBER | IS_UNIT) for x in clash) else start + 1)
+        for x, y in pairs:
+            there[x], back[y] = y, x
+            held[x, y] += 1
+        words = at - by[start][0] + size
+        if words >= best[0]:
+            best = max(best, (words, -sum(x != y for x, y in there.items()), -by[start][0]))
+    return best
+
+
+def run_of(template: pd.Series, at: pd.Series, item: pd.Series, doc: pd.Series, size: pd.Series) -> pd.DataFrame:
+    """Of the windows on one diagonal: words of the longest run (verbatim, of template 1, or of both), where it begins in the item, slots with another value."""
     out = []
-    for places, items, docs, width in zip(at, item, doc, size):
-        by = sorted(zip(map(int, places), items, docs), key=lambda x: x[0])
-        best, start = (0, 0, []), 0
-        for i in range(len(by)):
-            if i and by[i][0] > by[i - 1][0] + 1:
-                start = i
-            length = by[i][0] - by[start][0] + int(width)
-            if length > best[0]:
-                best = (length, by[start][0], by[start : i + 1])
-        there: dict[str, str] = {}
-        back: dict[str, str] = {}
-        agree = True
-        for _, a, b in best[2]:
-            for x, y in zip(a, b):
-                agree &= there.setdefault(x, y) == y and back.setdefault(y, x) == x
-        out.append((best[0], best[1], sum(x != y for x, y in there.items()), bool(agree)))
-    return pd.DataFrame(out, columns=["run", "first", "changed", "consistent"])
+    for kinds, places, items, docs, width in zip(template, at, item, doc, size):
+        equal: dict[int, set[tuple[str, str]]] = defaultdict(set)
+        plain: dict[int, set[tuple[str, str]]] = defaultdict(set)
+        both: dict[int, set[tuple[str, str]]] = defaultdict(set)
+        for kind, place, a, b in zip(kinds, map(int, places), items, docs):
+            both[place].update(zip(a, b))
+            if kind != NAMES:
+                plain[place].update(zip(a, b))
+                if list(a) == list(b):
+                    equal[place].update(zip(a, b))
+        words, same, first = max(longest(sorted(x.items(), key=lambda w: w[0]), int(width)) for x in (equal, plain, both))
+        out.append((words, -first, -same))
+    return pd.DataFrame(out, columns=["run", "first", "changed"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -158,10 +200,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
     rows = columns_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
     hits = window_table(rows, ["doc_id", "text_key"], sizes or (window,), bitmap).select("doc_id", "text_key", F.col("position").alias("at"), "size", "hash", F.col("slots").alias("doc_slots"))
     met = hits.join(table, ["hash", "size"]).filter(F.size("slots") == F.size("doc_slots"))
-    diagonals = met.groupBy("doc_id", "text_key", "item_id", "n_words", "size", (F.col("at") - F.col("position")).alias("diagonal")).agg(F.collect_set(F.struct("position", "slots", "doc_slots")).alias("w"))
-    judge = F.pandas_udf(run_of, "run int, first int, changed int, consistent boolean")
-    found = diagonals.withColumn("r", judge("w.position", "w.slots", "w.doc_slots", "size"))
-    found = found.filter("r.consistent").filter(F.col("r.run") >= F.least(F.lit(run), "n_words"))
+    diagonals = met.groupBy("doc_id", "text_key", "item_id", "n_words", "size", (F.col("at") - F.col("position")).alias("diagonal")).agg(F.collect_set(F.struct("template", "position", "slots", "doc_slots")).alias("w"))
+    judge = F.pandas_udf(run_of, "run int, first int, changed int")
+    found = diagonals.withColumn("r", judge("w.template", "w.position", "w.slots", "w.doc_slots", "size"))
+    found = found.filter(F.col("r.run") >= F.least(F.lit(run), "n_words"))
     best = found.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct(F.col("r.run").alias("run"), (-F.col("r.changed")).alias("same"), (-F.col("r.first")).alias("first"))).alias("b"))
     return best.select("doc_id", "text_key", "item_id", F.col("b.run").alias("run_words"), (-F.col("b.first")).alias("first_word"), (-F.col("b.same")).alias("changed_slots"), F.when(F.col("b.same") == 0, "verbatim").otherwise("reparameterised").alias("kind"))
 

@@ -37,6 +37,29 @@ def test_run_has_to_be_long(spark):
     assert set(found(spark, rows, [(1, item), (1, item)])) == {(1, 1)}
 
 
+FERRY = "The ferry left the harbour before dawn and crossed the wide bay in calm water. The crew sang."
+
+
+def test_conflict_beyond_a_quotation(spark):
+    quoted = "The ferry left the harbour before dawn and crossed the wide bay in calm water."
+    rows = [
+        (1, quoted + " She slept."),  # 'the' became both 'the' and 'she', but only beyond the quotation
+        (2, "Anna has 15 apples and gives Bob 4 kg of them before 15 noon on that night 16 Anna"),
+        (3, "The ferry left the harbour before dawn. She crossed the wide bay in calm water. The crew sang."),
+    ]
+    items = [(1, FERRY), (2, "Anna has 12 apples and gives Bob 3 kg of them before 12 noon on that night 12 Bob")]
+    assert found(spark, rows, items) == {(1, 1): ("verbatim", 15, 0), (2, 2): ("reparameterised", 17, 2)}
+
+
+def test_longest_run_restarts_after_a_conflict():
+    same = {("a", "a")}
+    assert D.longest([(0, same), (1, same), (2, {("a", "b")}), (3, set()), (4, set()), (5, {("a", "b")})], 8) == (11, -1, -2)
+    assert D.longest([(0, {("the", "she")}), (1, set()), (2, {("the", "the")})], 8) == (9, 0, -1)
+    assert D.longest([(0, {("12", "15")}), (1, set()), (2, {("12", "16")}), (3, set()), (4, set())], 8) == (10, -1, -2)
+    assert D.longest([(3, {("a", "b"), ("a", "c")}), (4, same), (6, same)], 8) == (8, 0, -4)
+    assert D.longest([(0, {("a", "b"), ("c", "b")})], 8) == (0, 0, 0) == D.longest([], 8)
+
+
 def brute(docs, items, run=13):
     grams = {}
     for i, t in items:
