@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates: finds benchmark items in documents, also with other numbers, units and names.
 
 Words are canonical: lower case, without marks around them. Numbers become one placeholder, and units after a number another
-(template 1); template 2 also replaces names, that is words with a capital (a sentence's first word among them). Windows of a template are hashed and
+(template 1); template 2 also replaces names, that is words with a capital (a sentence's first word among them). Windows of which more than half
+would be numbers and units keep their literal words (template 0), so that lists of numbers are found verbatim only. Windows of a template are hashed and
 joined: those of all documents, thinned by a bitmap of fixed size, with those of the benchmark. Windows of one document and one item
 that lie on one diagonal and follow one another make a run while their slots agree: each value of the item stands for one value of the
 document, and the other way round. A window whose slots conflict with those before it ends the run. If names conflict (they are guesses: a sentence's
@@ -37,7 +38,7 @@ UNITS = "mm cm dm m km inch inches foot feet ft yard yards mile miles mg g kg gr
 NUMBER = re.compile(r"[+\-$€£]?\d+(?:[.,:/]\d+)*[%°€$£]?|\d+(?:st|nd|rd|th)|\d[\d.,]*[a-z]{1,4}")
 EDGE = re.compile(r"^[^\w+\-$€£%°]+|[^\w%°€$£]+$")
 IS_NUMBER, IS_UNIT, IS_CAPITAL = 1, 2, 4
-PLAIN, NAMES = 1, 2  # the templates
+EXACT, PLAIN, NAMES = 0, 1, 2  # the templates
 _NUMBERS, _UNITS = frozenset(NUMBER_WORDS.split()), frozenset(UNITS.split())
 
 
@@ -64,7 +65,7 @@ _SLOTS = {k: np.uint64(xxhash.xxh64_intdigest(k) & ~15) for k in ("<number>", "<
 
 
 def templates(words: list[str]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(template, hashes, is a slot, is a name) of the words under template 1, and under template 2 where it differs."""
+    """(template, hashes, is a slot, is a name) of the words under template 1, and under templates 0 and 2 where they differ."""
     value = np.fromiter(map(_canonical.__getitem__, words), np.uint64, len(words))
     flag = value & np.uint64(15)
     number = flag & np.uint64(IS_NUMBER) > 0
@@ -74,6 +75,8 @@ def templates(words: list[str]) -> list[tuple[int, np.ndarray, np.ndarray, np.nd
     if number.any():
         hashes[number], hashes[unit] = _SLOTS["<number>"], _SLOTS["<unit>"]
     found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]] = [(PLAIN, hashes, number | unit, None)]
+    if number.any():
+        found.append((EXACT, value & _MASK, number | unit, None))
     name = flag & np.uint64(IS_CAPITAL) > 0
     if name.any():
         hashes = hashes.copy()
@@ -89,11 +92,11 @@ def inside(marks: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 
 def windows(words: list[str], sizes: tuple[int, ...], bitmap: np.ndarray | None) -> Iterator[tuple[int, int, int, int, list[str]]]:
-    """(template, position, size, hash, slot values) of the windows, or of those that the bitmap lets through. At most half of the words are slots. Template 2 has windows with a name only: others are as in template 1."""
+    """(template, position, size, hash, slot values) of the windows, or of those that the bitmap lets through. At most half of the words are slots, but in template 0 more than half. Template 2 has windows with a name only: others are as in template 1."""
     for t, hashes, slot, name in templates(words) if len(words) >= min(sizes) else []:
         for size in sizes:
             n = len(words) - size + 1
-            if n < 1:
+            if n < 1 or (t == EXACT and not (inside(slot, np.arange(n), size) * 2 > size).any()):
                 continue
             total, factor = np.zeros(n, np.uint64), 1
             for k in range(size):
@@ -104,7 +107,7 @@ def windows(words: list[str], sizes: tuple[int, ...], bitmap: np.ndarray | None)
             at = np.arange(n) if bitmap is None else np.flatnonzero(bitmap[total >> np.uint64(64 - BITMAP)])
             if not len(at):
                 continue
-            fit = inside(slot, at, size) * 2 <= size
+            fit = (inside(slot, at, size) * 2 > size) == (t == EXACT)
             if name is not None:
                 fit &= inside(name, at, size) > 0
             for i in at[fit].tolist():

@@ -60,6 +60,12 @@ def test_longest_run_restarts_after_a_conflict():
     assert D.longest([(0, {("a", "b"), ("c", "b")})], 8) == (0, 0, 0) == D.longest([], 8)
 
 
+def test_lists_of_numbers(spark):
+    items = [(1, "What comes next in 2 4 8 16 32 64 128 256"), (2, "1 1 2 3 5 8"), (3, "Add 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg to the sum of all the others before noon")]
+    rows = [(1, "so: what comes next in 2 4 8 16 32 64 128 256 then"), (2, "what comes next in 2 4 8 16 32 64 128 257"), (3, "x 1 1 2 3 5 8 y"), (4, "x 1 1 2 3 5 9 y"), (5, items[2][1])]
+    assert found(spark, rows, items) == {(1, 1): ("verbatim", 12, 0), (3, 2): ("verbatim", 6, 0), (5, 3): ("verbatim", 22, 0)}
+
+
 def brute(docs, items, run=13):
     grams = {}
     for i, t in items:
