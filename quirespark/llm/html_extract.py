@@ -5,7 +5,8 @@ link density of the block before, itself and the block after; whether it stands
 that is named as something else (menu, advert, comments), in a heading, in a list. A small CART tree, grown on the labelled pages in ``labelled_pages``, keeps or drops it.
 
 Defined results: a null or empty page, or one without main text, gives an empty text. Broken markup is read as it comes: end tags without a
-start are ignored, an end tag closes what is open inside it. Repeated rows and null page_ids give a row each. An empty table gives an empty
+start are ignored, an end tag closes what is open inside it. A head without its end tag ends before the first text or tag that can't stand in one;
+svg and math that are closed in themselves hold nothing. Repeated rows and null page_ids give a row each. An empty table gives an empty
 result. Other columns are ignored.
 """
 
@@ -28,9 +29,10 @@ from .labelled_pages import FOOT, LABELLED, MENU
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[a-zA-Z/!?][^>]*+>?", re.S | re.I)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Tags that bound blocks, tags whose text is never read, and names by which pages mark what isn't their article.
+#: Tags that bound blocks, tags whose text is never read, tags that a head may hold, and names by which pages mark what isn't their article.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 UNREAD = frozenset("audio button canvas datalist embed head iframe map math noscript object select svg template video".split())
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HARD = frozenset("comment comments commentlist disqus respond reply replies related recommended recommendations".split())
 SOFT = frozenset("ad ads adsbygoogle advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline consent cookie cookies copyright dialog disclaimer dropdown footer gdpr latest header login masthead menu menus meta modal nav navbar navigation newsletter notice notification pager pagination paywall popular popup privacy promo promotion search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar tooltip topbar trending widget widgets".split())
@@ -80,8 +82,13 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def end_head() -> None:
+        del stack[next(i for i, s in enumerate(stack) if s[0] == "head") :]
+
     def read(text: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and text.strip():
+            end_head()
         if text and not stack[-1][1]:
             text = html.unescape(text)
             parts.append(text)
@@ -94,6 +101,8 @@ def blocks(page: str) -> list[Block]:
         if not m[3]:
             continue
         tag = m[3].lower()
+        if not m[2] and (tag not in HEAD and stack[-1][0] == "head" or tag == "body" and any(s[0] == "head" for s in stack)):
+            end_head()
         if tag == "a":
             in_link = 0 if m[2] else 1
         elif tag == "br":
@@ -122,7 +131,7 @@ def blocks(page: str) -> list[Block]:
                 own_soft = False
             if main and not own_soft and not own_hard:
                 inside, soft = True, soft and inside
-            if tag in VOID:
+            if tag in VOID or (tag in ("svg", "math") and m[4].endswith("/")):
                 continue
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd") and stack[-1][0] == tag:
                 stack.pop()

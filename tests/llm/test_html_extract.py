@@ -29,6 +29,20 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<html><head><title>T</title><body><article><p>{P}</p></article></body></html>", P),
+    (f"<html><head><meta charset=utf-8><title>T</title><style>p{{}}</style><article><p>{P}</p></article>", P),
+    (f"<html><head><title>T</title><noscript>no<body><article><p>{P}</p></article>", P),
+    (f"<html><head><title>T</title>\n<noscript>no</noscript></head><body><article><p>{P}</p></article>", P),
+    ("<head><title>T</title>plain", "plain"), ("<head><head><link rel=x><b>bold</b> text", "bold text"),
+    ("<p>one <svg/> two</p>", "one two"), (f"<article><p>{P} <math /> {Q}</p></article>", f"{P} {Q}"),
+    (f"<article><svg viewBox='0 0 1 1' role=img /><p>{P}</p></article>", P),
+    (f"<article><p>{P} <svg><path d='M0'/><text>no</text></svg> {Q}</p></article>", f"{P} {Q}"),
+])
+def test_elements_without_an_end_tag(page, text):
+    assert H.main_text(page) == text
+
+
 def test_very_long_page():
     page = "<article>" + f"<p>{P}</p>" * 20_000 + "</article>"
     assert H.main_text(page) == "\n".join([P] * 20_000)
