@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,7 +13,10 @@ LANGUAGES = ["en", "fr", "de", "ja", "ko", "es", "ru", "ar", "pt", "it"]
 JOURNAL_TAGS = {"cas": ["中科院一区", "中科院二区", "中科院三区", "中科院四区"], "jcr": ["Q1", "Q2", "Q3", "Q4"], "index": ["SCI", "SSCI", "EI", "Scopus", "CSCD", "北大核心", "CSSCI"]}
 CONFERENCE_TAGS = {"ccf": ["CCF-A", "CCF-B", "CCF-C", "非CCF"], "core": ["CORE A*", "CORE A", "CORE B", "CORE C"], "index": ["EI", "SCI", "SSCI", "CPCI", "Scopus"]}
 COMMON_ACRONYMS = ["PDF", "DOI", "URL", "HTTP", "DNA", "RNA", "ATP", "AI", "ML", "LLM", "USA", "UK", "WHO", "UN", "EU", "IEEE", "ACM"]
+SUPERSCRIPT = ("0123456789+-.", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻·")
+SUBSCRIPT = ("0123456789+-", "₀₁₂₃₄₅₆₇₈₉₊₋")
 PHRASE_STOP_WORDS = ["the", "and", "for", "with", "from", "that", "this", "were", "are", "was", "into", "than", "then", "have", "has", "had", "using", "used", "between", "among", "paper", "study", "result", "results", "method", "methods", "analysis", "figure", "table", "section", "data"]
+CHINESE = re.compile("[\u4e00-\u9fff]+")
 
 
 def first_text(*columns: Column | str) -> Column:
@@ -27,12 +31,13 @@ def word_score(text: Column, query: str) -> Column:
 
 
 def annotation_tokens(query: str) -> list[str]:
-    """Words of the query, runs of CJK characters in it, and their two- and three-character parts; those of two characters or more, else the query."""
-    import re
-
-    runs = re.findall("[一-鿿]+", query)
-    parts = [r[i : i + n] for r in runs for n in (3, 2) for i in range(len(r) - n + 1)]
-    return sorted({t for t in [*query.split(), *runs, *parts] if len(t) >= 2}) or [query]
+    """What an annotation is searched for: words between blanks, and of Chinese text each run and its neighbouring twos and threes; a query without anything of two characters stands for itself."""
+    wanted = set(query.split())
+    for run in CHINESE.findall(query):
+        wanted.add(run)
+        for width in (2, 3):
+            wanted.update(map("".join, zip(*(run[k:] for k in range(width)))))
+    return sorted(w for w in wanted if len(w) > 1) or [query]
 
 
 def contains_any(text: Column, tokens: list[str]) -> Column:
@@ -84,11 +89,11 @@ def heading_text(line: Column) -> Column:
 
 
 def superscript(text: Column) -> Column:
-    return F.translate(text, "0123456789+-.", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻·")
+    return F.translate(text, *SUPERSCRIPT)
 
 
 def subscript(text: Column) -> Column:
-    return F.translate(text, "0123456789+-", "₀₁₂₃₄₅₆₇₈₉₊₋")
+    return F.translate(text, *SUBSCRIPT)
 
 
 def masked(value: Column) -> Column:

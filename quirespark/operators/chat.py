@@ -25,21 +25,26 @@ def totals(messages: DataFrame, key: str) -> DataFrame:
     return messages.groupBy(key).agg(F.sum(F.length(T.first_text("content"))).cast("long").alias("chars"), F.count_if(F.col("role") == "user").alias("user_turns"))
 
 
+#: The labels of a tool result's index.
+CUT, FOUND, CHAPTERS, BEST, PAPERS, ROWS, LISTED, CHAPTER, PARAGRAPHS, CONTEXT, TARGET, NOTES = "[已压缩]", "找到", "章节", "最高分block", "涉及论文", "结果数", "论文列表", "章节", "段落数", "上下文段落数", "目标block", "批注数"
+MATCHES, FOUND_PAPERS = "处匹配", "篇论文"
+
+
 def index_of(content: Column) -> Column:
     """What a tool's result found and where, without its text: by the shape of its JSON, the more specific shapes first."""
     has = lambda k: F.get_json_object(content, f"$.{k}").isNotNull()
     n = lambda k: F.coalesce(F.json_array_length(F.get_json_object(content, f"$.{k}")), F.lit(0))
     distinct = lambda path: F.slice(F.array_distinct(F.filter(F.from_json(F.get_json_object(content, path), "array<string>"), lambda x: T.first_text(x) != "")), 1, 4)
-    mark = F.lit(True).alias("[已压缩]")
-    matches = F.to_json(F.struct(mark, F.concat(n("matches"), F.lit("处匹配")).alias("找到"), distinct("$.matches[*].heading_context").alias("章节"), F.get_json_object(content, "$.matches[0].block_idx").alias("最高分block")))
-    across = F.to_json(F.struct(mark, F.concat(n("results"), F.lit("处匹配")).alias("找到"), distinct("$.results[*].paper_title").alias("涉及论文")))
-    counted = F.to_json(F.struct(mark, F.get_json_object(content, "$.count").alias("结果数")))
-    papers = F.to_json(F.struct(mark, F.concat(n("results"), F.lit("篇论文")).alias("找到"), distinct("$.results[*].title").alias("论文列表")))
-    section = F.to_json(F.struct(mark, T.first_text(F.get_json_object(content, "$.section_heading_zh"), F.get_json_object(content, "$.section_heading")).alias("章节"), F.get_json_object(content, "$.paragraph_count").alias("段落数"), F.get_json_object(content, "$.has_more").alias("has_more")))
-    context = F.to_json(F.struct(mark, n("context").alias("上下文段落数"), F.get_json_object(content, "$.target_block_idx").alias("目标block")))
-    notes = F.to_json(F.struct(mark, n("annotations").alias("批注数")))
+    mark = F.lit(True).alias(CUT)
+    matches = F.to_json(F.struct(mark, F.concat(n("matches"), F.lit(MATCHES)).alias(FOUND), distinct("$.matches[*].heading_context").alias(CHAPTERS), F.get_json_object(content, "$.matches[0].block_idx").alias(BEST)))
+    across = F.to_json(F.struct(mark, F.concat(n("results"), F.lit(MATCHES)).alias(FOUND), distinct("$.results[*].paper_title").alias(PAPERS)))
+    counted = F.to_json(F.struct(mark, F.get_json_object(content, "$.count").alias(ROWS)))
+    papers = F.to_json(F.struct(mark, F.concat(n("results"), F.lit(FOUND_PAPERS)).alias(FOUND), distinct("$.results[*].title").alias(LISTED)))
+    section = F.to_json(F.struct(mark, T.first_text(F.get_json_object(content, "$.section_heading_zh"), F.get_json_object(content, "$.section_heading")).alias(CHAPTER), F.get_json_object(content, "$.paragraph_count").alias(PARAGRAPHS), F.get_json_object(content, "$.has_more").alias("has_more")))
+    context = F.to_json(F.struct(mark, n("context").alias(CONTEXT), F.get_json_object(content, "$.target_block_idx").alias(TARGET)))
+    notes = F.to_json(F.struct(mark, n("annotations").alias(NOTES)))
     shaped = F.when(has("matches"), matches).when(has("results") & has("keyword"), across).when(has("results") & has("count"), counted).when(has("results"), papers).when(has("content_zh"), section).when(has("context"), context).when(has("annotations"), notes)
-    return F.coalesce(shaped, F.concat(F.substring(content, 1, 150), F.lit("…[已压缩]")))
+    return F.coalesce(shaped, F.concat(F.substring(content, 1, 150), F.lit(f"…{CUT}")))
 
 
 def snipped(messages: DataFrame, key: str, longest: int = 200) -> DataFrame:

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import blocks as B
 
+#: An acronym in brackets after its definition, formulas between dollar signs and what marks one, names with an index, words of phrases.
+ACRONYM = r"([A-Za-z][A-Za-z0-9,\-/ ]{3,80}?)\s*\(([A-Z][A-Z0-9\-]{1,12})\)"
+FORMULA, FORMULA_SIGN = r"\$([^$]{1,80})\$", r"[A-Za-z\\]"
+INDEXED_NAME = r"\b[A-Za-z][A-Za-z0-9]*[_^][A-Za-z0-9{}\\]+\b"
+PHRASE_WORD = r"(?U)\b[A-Za-z][A-Za-z-]{2,}\b"
 #: Glossary terms that one automaton holds; a larger glossary is matched in blocks of this many.
 TERMS = 50_000
 
@@ -77,7 +82,7 @@ def by_handling(matches: DataFrame, terms: DataFrame, key: str) -> DataFrame:
 
 def acronyms(docs: DataFrame, key: str, text: str = "text", k: int = 80) -> DataFrame:
     """key, abbr and definition: the first definition of each acronym, in the order of acronyms, at most k a document."""
-    pattern = F.lit(r"([A-Za-z][A-Za-z0-9,\-/ ]{3,80}?)\s*\(([A-Z][A-Z0-9\-]{1,12})\)")
+    pattern = F.lit(ACRONYM)
     pairs = docs.select(key, F.posexplode(F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("full"), F.regexp_extract_all(text, pattern, 2).alias("abbr"))).alias("pos", "x"))
     full = F.regexp_replace(F.regexp_replace(F.col("x.full"), r"\s+", " "), r"^[ ,;:]+|[ ,;:]+$", "")
     rows = pairs.select(key, "pos", F.col("x.abbr").alias("abbr"), full.alias("definition")).filter(~F.col("abbr").isin(T.COMMON_ACRONYMS) & (F.length("definition") >= 4))
@@ -87,34 +92,33 @@ def acronyms(docs: DataFrame, key: str, text: str = "text", k: int = 80) -> Data
 
 def symbols(docs: DataFrame, key: str, text: str = "text", k: int = 80) -> DataFrame:
     """key and symbol: distinct formulas in $...$ that hold a letter, and names with _ or ^; shortest first, at most k a document."""
-    spans = F.filter(F.regexp_extract_all(text, F.lit(r"\$([^$]{1,80})\$"), 1), lambda s: F.rlike(s, F.lit(r"[A-Za-z\\]")))
-    names = F.regexp_extract_all(text, F.lit(r"\b[A-Za-z][A-Za-z0-9]*[_^][A-Za-z0-9{}\\]+\b"), 0)
+    spans = F.filter(F.regexp_extract_all(text, F.lit(FORMULA), 1), lambda s: F.rlike(s, F.lit(FORMULA_SIGN)))
+    names = F.regexp_extract_all(text, F.lit(INDEXED_NAME), 0)
     rows = docs.select(key, F.explode(F.concat(spans, names)).alias("symbol")).select(key, F.trim("symbol").alias("symbol")).distinct()
     order = W.partitionBy(key).orderBy(F.length("symbol"), "symbol")
     return rows.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= k).drop("__k")
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\b[A-Za-z][A-Za-z-]{2,}\b"), 0)
+    return F.regexp_extract_all(text, F.lit(PHRASE_WORD), 0)
 
 
-def _run(size: int):
-    return lambda i: F.slice("w", i, size)
+def runs(w: str, plain: str, size: int) -> Column:
+    """(size, pos, phrase) of the runs of ``size`` neighbours in the array ``w`` whose flags in ``plain`` all hold; pos from 1."""
+    whole = F.filter(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.forall(F.slice(plain, i, size), lambda x: x))
+    found = F.transform(whole, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.array_join(F.slice(w, i, size), " ").alias("phrase")))
+    return F.when(F.size(w) >= size, found).otherwise(F.array().cast("array<struct<size:int,pos:int,phrase:string>>"))
 
 
 def phrases(docs: DataFrame, key: str, text: str = "text", k: int = 60) -> DataFrame:
     """key, phrase and n: two- and three-word phrases without stop words that come twice or more, as first written; the k most frequent.
 
-    Runs go across lines. Counted per document by lower-case phrase; ties go to the phrase that came first (pairs before triples).
+    Runs go across lines. Counted per document by lower-case phrase; ties go to the phrase that came first (pairs before triples). Both sizes come from
+    one reading of the text, and runs with a stop word are left out before rows are made of them.
     """
-    own = docs.select(key, words(F.col(text)).alias("w"))
-    grams = None
-    for size in (2, 3):
-        run = own.filter(F.size("w") >= size).select(key, F.lit(size).alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), _run(size))).alias("pos", "g"))
-        grams = run if grams is None else grams.unionByName(run)
-    stop = F.array(*[F.lit(w) for w in T.PHRASE_STOP_WORDS])
-    kept = grams.filter(~F.exists("g", lambda w: F.array_contains(stop, F.lower(w)))).withColumn("phrase", F.array_join("g", " "))
-    counted = kept.groupBy(key, F.lower("phrase").alias("low")).agg(F.count("*").alias("n"), F.min(F.struct("size", "pos", "phrase")).alias("first"))
+    own = docs.select(key, words(F.col(text)).alias("w")).withColumn("plain", F.transform("w", lambda x: ~F.lower(x).isin(T.PHRASE_STOP_WORDS)))
+    kept = own.select(key, F.explode(F.concat(runs("w", "plain", 2), runs("w", "plain", 3))).alias("g"))
+    counted = kept.groupBy(key, F.lower("g.phrase").alias("low")).agg(F.count("*").alias("n"), F.min("g").alias("first"))
     order = W.partitionBy(key).orderBy(F.desc("n"), "first.size", "first.pos")
     return counted.filter("n >= 2").withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= k).select(key, F.col("first.phrase").alias("phrase"), "n")
 
