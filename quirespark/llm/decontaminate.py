@@ -1,24 +1,29 @@
 """Benchmark decontamination by templates: finds benchmark items in documents, also with other numbers, units and names.
 
 Words are canonical: lower case, without marks around them. Numbers become one placeholder, and units after a number another
-(template 1); template 2 also replaces names, that is words with a capital (a sentence's first word among them). Windows of which more than half
-would be numbers and units keep their literal words (template 0), so that lists of numbers are found verbatim only. Windows of a template are hashed and
-joined: those of all documents, thinned by a bitmap of fixed size, with those of the benchmark. Windows of one document and one item
+(template 1); template 2 also replaces names, that is words with a capital (a sentence's first word among them). What stands for a placeholder is a slot.
+A window begins or ends at any word and is the shortest stretch from or to there of at least ``window`` words of which half of ``window`` are no slots (at most STRETCH times
+``window`` words): where slots are dense it is longer, so that windows say something and no word is left out for its slots. Where more than half of ``window`` words are
+numbers and units, those words also make a window literally (template 0), so that lists of numbers are found verbatim. Windows are hashed and
+joined: those of all documents, thinned by a bitmap of bounded size, with those of the distinct texts of the benchmark. Windows of one document and one text
 that lie on one diagonal and follow one another make a run while their slots agree: each value of the item stands for one value of the
 document, and the other way round. A window whose slots conflict with those before it ends the run. If names conflict (they are guesses: a sentence's
 first word is no name) the next run begins after the last window that conflicts; if numbers or units do, it begins with this window. Windows
 with equal slot values, and those of template 1, are judged alone too, so that what lies beyond a quotation can't spoil it. A run of ``run``
-words (or of the whole item if it is shorter) is a leak.
+words, or of the whole item if it is shorter, is a leak.
 
-Defined results: null and empty texts have no windows. Items of under MIN_WORDS words are not looked for; those of under ``window`` words
-only whole. Repeated rows give one result. A null doc_id or item_id is a value of its own. Other columns are ignored.
+Defined results: null and empty texts have no windows. An item of under ``window`` words is looked for only whole; one of under MIN_WORDS words (template 3) only where it is a whole
+document, since it says too little inside one. Items of one text are looked for once and all reported. Repeated rows give one result. A null doc_id or item_id
+is a value of its own. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,26 +35,36 @@ from pyspark.sql import functions as F
 from .common import columns_of, pieces, shielded, text_key, written
 
 WINDOW, RUN, MIN_WORDS = 8, 13, 5
-#: Bits of the window hash that the bitmap tells apart: its size is 2 to this power, however large the benchmark.
-BITMAP = 22
-#: Words for numbers, and units.
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half quarter dozen"
-UNITS = "mm cm dm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes lb lbs pound pounds oz ounce ounces ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz w kw mw watt watts v volt volts j joule joules n newton newtons pa bar k c f degree degrees percent % $ € £ dollar dollars euro euros cent cents km/h mph m/s kb mb gb tb bit bits byte bytes"
+#: How much longer than ``window`` a window may get where slots are dense.
+STRETCH = 3
+#: Most bits of the window hash that the bitmap tells apart (2 to this power: 32 MB), and how many bits it has for each window of the benchmark below that.
+BITMAP, EACH = 28, 256
+#: Words for numbers by language (without those that are also articles), and units. Callers can add to both.
+NUMBER_WORDS = {
+    "en": "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half quarter dozen",
+    "de": "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen milliarde milliarden dutzend",
+    "fr": "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent cents mille million millions milliard milliards douzaine",
+    "es": "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones docena",
+}
+UNITS = "mm cm dm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons tonne tonnes lb lbs pound pounds oz ounce ounces ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz w kw mw watt watts v volt volts j joule joules n newton newtons pa bar k c f degree degrees percent % $ € £ dollar dollars euro euros cent cents km/h mph m/s kb mb gb tb bit bits byte bytes meter metern mètre mètres metro metros kilometer kilomètre kilomètres kilómetro kilómetros gramm gramme grammes gramo gramos kilo kilos tonnen tonelada toneladas litro litros sekunde sekunden seconde secondes segundo segundos minuten minuto minutos stunde stunden heure heures hora horas tag tage tagen jour jours día días woche wochen semaine semaines semana semanas monat monate monaten mois mes meses jahr jahre jahren an ans année années año años prozent grad"
 NUMBER = re.compile(r"[+\-$€£]?\d+(?:[.,:/]\d+)*[%°€$£]?|\d+(?:st|nd|rd|th)|\d[\d.,]*[a-z]{1,4}")
 EDGE = re.compile(r"^[^\w+\-$€£%°]+|[^\w%°€$£]+$")
 IS_NUMBER, IS_UNIT, IS_CAPITAL = 1, 2, 4
-EXACT, PLAIN, NAMES = 0, 1, 2  # the templates
-_NUMBERS, _UNITS = frozenset(NUMBER_WORDS.split()), frozenset(UNITS.split())
+EXACT, PLAIN, NAMES, WHOLE = 0, 1, 2, 3  # the templates
+WORDS = {"numbers": frozenset(w for text in NUMBER_WORDS.values() for w in text.split()), "units": frozenset(UNITS.split())}
 
 
 class Canonical(dict):
     """word -> 60 bits of its canonical form's hash, and flags."""
 
+    def __init__(self, numbers: frozenset[str], units: frozenset[str]):
+        self.numbers, self.units = numbers, units
+
     def __missing__(self, word: str) -> int:
         bare = EDGE.sub("", word)
         low = bare.lower()
-        flags = IS_NUMBER if low in _NUMBERS or NUMBER.fullmatch(low) else 0
-        flags |= IS_UNIT if low in _UNITS else 0
+        flags = IS_NUMBER if low in self.numbers or NUMBER.fullmatch(low) else 0
+        flags |= IS_UNIT if low in self.units else 0
         flags |= IS_CAPITAL if bare[:1].isupper() and not flags else 0
         value = xxhash.xxh64_intdigest(low) & ~15 | flags
         if len(word) <= 64:
@@ -59,156 +74,245 @@ class Canonical(dict):
         return value
 
 
-_canonical = Canonical()
+@lru_cache(maxsize=4)
+def canonical(numbers: tuple[str, ...] = (), units: tuple[str, ...] = ()) -> Canonical:
+    """One table of words for each set of added number words and units, kept by a Python worker from task to task."""
+    return Canonical(WORDS["numbers"] | set(numbers), WORDS["units"] | set(units))
+
+
 _MASK = np.uint64(2**64 - 16)
 _SLOTS = {k: np.uint64(xxhash.xxh64_intdigest(k) & ~15) for k in ("<number>", "<unit>", "<name>")}
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=None)  # one entry for each power of two up to the longest text
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2 ** bits powers of the hash's factor, and their inverses modulo 2 ** 64."""
+    both = []
+    for base in (_FACTOR, pow(_FACTOR, -1, 2**64)):
+        out = np.ones(1 << bits, np.uint64)
+        for b in range(bits):
+            out[1 << b : 2 << b] = out[: 1 << b] * np.uint64(pow(base, 1 << b, 2**64))
+        both.append(out)
+    return both[0], both[1]
+
+
+def hashes_of(words: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of words from ``at`` to ``end``, by its polynomial, which differences of running sums give."""
+    up, down = powers(max(14, len(words).bit_length()))
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    total = (sums[end] - sums[at]) * down[at] + (end - at).astype(np.uint64)
+    total ^= total >> np.uint64(29)
+    return total * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def stretches(slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, end) of all windows: the shortest stretch from each word, and to each word, of ``size`` words or more with (size + 1) // 2 or more that are no slots."""
+    at, end = _from_each(slot, size)
+    if not slot.any():
+        return at, at + size
+    back, first = _from_each(slot[::-1], size)
+    back, first = len(slot) - back, len(slot) - first
+    own = np.full(len(slot) + 1, -1)
+    own[at] = end
+    other = own[first] != back
+    return np.concatenate([at, first[other]]), np.concatenate([end, back[other]])
+
+
+def _from_each(slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    n, need = len(slot), (size + 1) // 2
+    at = np.arange(max(0, n - size + 1))
+    literal = np.flatnonzero(~slot)
+    last = np.cumsum(~slot)[at] - ~slot[at] + need - 1  # which literal word ends it
+    fits = last < len(literal)
+    at, last = at[fits], last[fits]
+    end = np.maximum(at + size, literal[last] + 1)
+    fits = end - at <= STRETCH * size
+    return at[fits], end[fits]
+
+
+def inside(marks: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many marked words lie between ``at`` and ``end``."""
+    before = np.concatenate(([0], np.cumsum(marks)))
+    return before[end] - before[at]
 
 
-def templates(words: list[str]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """(template, hashes, is a slot, is a name) of the words under template 1, and under templates 0 and 2 where they differ."""
-    value = np.fromiter(map(_canonical.__getitem__, words), np.uint64, len(words))
-    flag = value & np.uint64(15)
+def windows(words: list[str], sizes: tuple[int, ...], bitmap: tuple[np.ndarray, int] | None, least: int, table: Canonical) -> Iterator[tuple[int, int, int, int, int, list[str]]]:
+    """(template, position, size, words, hash, slot values) of the windows, or of those that the bitmap lets through. Template 2 has windows with a name only: others are as in template 1."""
+    value = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
+    flag, plain = value & np.uint64(15), value & _MASK
+    found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # template, size, words' hashes, slots, firsts, ends
+    if words and len(words) < least:
+        found.append((WHOLE, len(words), plain, np.zeros(len(words), bool), np.array([0]), np.array([len(words)])))
     number = flag & np.uint64(IS_NUMBER) > 0
     unit = np.zeros(len(words), bool)
     unit[1:] = (flag[1:] & np.uint64(IS_UNIT) > 0) & number[:-1] & ~number[1:]
-    hashes = value & _MASK
-    if number.any():
-        hashes[number], hashes[unit] = _SLOTS["<number>"], _SLOTS["<unit>"]
-    found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]] = [(PLAIN, hashes, number | unit, None)]
-    if number.any():
-        found.append((EXACT, value & _MASK, number | unit, None))
     name = flag & np.uint64(IS_CAPITAL) > 0
-    if name.any():
-        hashes = hashes.copy()
-        hashes[name] = _SLOTS["<name>"]
-        found.append((NAMES, hashes, number | unit | name, name))
-    return found
-
-
-def inside(marks: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """How many marked words the windows have that begin at ``at``."""
-    before = np.concatenate(([0], np.cumsum(marks)))
-    return before[at + size] - before[at]
-
-
-def windows(words: list[str], sizes: tuple[int, ...], bitmap: np.ndarray | None) -> Iterator[tuple[int, int, int, int, list[str]]]:
-    """(template, position, size, hash, slot values) of the windows, or of those that the bitmap lets through. At most half of the words are slots, but in template 0 more than half. Template 2 has windows with a name only: others are as in template 1."""
-    for t, hashes, slot, name in templates(words) if len(words) >= min(sizes) else []:
-        for size in sizes:
-            n = len(words) - size + 1
-            if n < 1 or (t == EXACT and not (inside(slot, np.arange(n), size) * 2 > size).any()):
-                continue
-            total, factor = np.zeros(n, np.uint64), 1
-            for k in range(size):
-                factor = factor * 0x9E3779B97F4A7C15 & (2**64 - 1)
-                total += hashes[k : k + n] * np.uint64(factor)
-            total ^= total >> np.uint64(29)
-            total *= np.uint64(0xBF58476D1CE4E5B9)
-            at = np.arange(n) if bitmap is None else np.flatnonzero(bitmap[total >> np.uint64(64 - BITMAP)])
-            if not len(at):
-                continue
-            fit = (inside(slot, at, size) * 2 > size) == (t == EXACT)
-            if name is not None:
-                fit &= inside(name, at, size) > 0
-            for i in at[fit].tolist():
-                yield t, i, size, int(total[i].astype(np.int64)), [EDGE.sub("", w).lower() for w, s in zip(words[i : i + size], slot[i : i + size]) if s]
-
-
-def window_table(rows: DataFrame, key: list[str], sizes: tuple[int, ...], bitmap: np.ndarray | None, least: int = 0) -> DataFrame:
-    """key columns, n_words, template, position, size, hash, slots of the windows of a column text. A text of under ``least`` words has none; one of under the largest size only itself whole."""
+    set_in = plain
+    if number.any():
+        set_in = plain.copy()
+        set_in[number], set_in[unit] = _SLOTS["<number>"], _SLOTS["<unit>"]
+    if named := bool(name.any()):
+        called = set_in.copy()
+        called[name] = _SLOTS["<name>"]
+    for size in sizes if len(words) >= least else ():
+        if len(words) < size:
+            continue
+        found.append((PLAIN, size, set_in, number | unit, *stretches(number | unit, size)))
+        if number.any():
+            at = np.arange(len(words) - size + 1)
+            at = at[inside(number | unit, at, at + size) * 2 > size]
+            found.append((EXACT, size, plain, number | unit, at, at + size))
+        if named:
+            at, end = stretches(number | unit | name, size)
+            own = inside(name, at, end) > 0
+            found.append((NAMES, size, called, number | unit | name, at[own], end[own]))
+    for t, size, own, slot, at, end in found:
+        if not len(at):
+            continue
+        total = hashes_of(own, at, end)
+        if t in (EXACT, WHOLE):
+            total ^= np.uint64(t + 1)  # a literal window is no window of placeholders
+        if bitmap is not None:
+            place = total >> np.uint64(64 - bitmap[1])
+            keep = bitmap[0][place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+            at, end, total = at[keep], end[keep], total[keep]
+        for i, j, h in zip(at.tolist(), end.tolist(), total.view(np.int64).tolist()):
+            yield t, i, size, j - i, h, [EDGE.sub("", w).lower() for w, s in zip(words[i:j], slot[i:j]) if s]
+
+
+def window_table(rows: DataFrame, key: list[str], sizes: tuple[int, ...], bitmap: tuple[np.ndarray, int] | None, least: int, numbers: tuple[str, ...] = (), units: tuple[str, ...] = ()) -> DataFrame:
+    """key columns, n_words, template, position, size, length, hash, slots of the windows of a column text. Without a bitmap a text is an item: one of under the largest size has only windows of all its words."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in key), "n_words int, template int, position int, size int, hash long, slots array<string>"])
+    schema = ", ".join([*(f"{k} {types[k]}" for k in key), "n_words int, template int, position int, size int, length int, hash long, slots array<string>"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = canonical(numbers, units)
         for batch in (x for b in batches for x in pieces(b, 500)):
             at, out = [], []
             for r, text in enumerate(batch.column(len(key)).to_pylist()):
                 words = (text or "").split()
-                if len(words) < least:
-                    continue
-                own = sizes if shared.value is not None else (min(len(words), max(sizes)),) if words else sizes
-                for w in windows(words, own, shared.value):
-                    at.append(r)
-                    out.append((len(words), *w))
+                own = sizes if shared.value is not None else (min(len(words), max(sizes)),)
+                made = list(windows(words, own, shared.value, least, table))
+                at += [r] * len(made)
+                out += [(len(words), *w) for w in made]
             if out:
                 taken = [batch.column(i).take(pa.array(at)) for i in range(len(key))]
-                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=[*key, "n_words", "template", "position", "size", "hash", "slots"])
+                kinds = [pa.int32()] * 5 + [pa.int64(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=[*key, "n_words", "template", "position", "size", "length", "hash", "slots"])
 
     return rows.select(*key, "text").mapInArrow(make, schema)
 
 
-def longest(by: list[tuple[int, set[tuple[str, str]]]], size: int) -> tuple[int, int, int]:
-    """Of windows in order, each with its pairs of slot values: words, -changed slots and -position of the longest run without a gap or a conflict; zeros without one."""
-    best, start = (0, 0, 0), 0
+def bitmap_of(table: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the windows' hashes (packed bits, and how many leading bits of a hash it tells apart), made in parts by the tasks."""
+    bits = min(BITMAP, max(16, math.ceil(math.log2(1 + table.count() * EACH))))
+    part = min(bits - 3, 16)
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        marks = np.zeros(1 << part, np.uint8)
+        marks[rows["low"].to_numpy(np.int64)] = 1
+        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(marks, bitorder="little").tobytes()]})
+
+    places = table.select(F.shiftrightunsigned("hash", 64 - bits).alias("bit")).distinct()
+    parts = places.select(F.shiftright("bit", part).alias("part"), F.col("bit").bitwiseAND((1 << part) - 1).alias("low"))
+    packed = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts.groupBy("part").applyInPandas(pack, "part long, bits binary").toLocalIterator():  # at most 2 ** (BITMAP - 16) rows of 8 KB
+        packed[r.part << (part - 3) : (r.part + 1) << (part - 3)] = np.frombuffer(r.bits, np.uint8)
+    return packed, bits
+
+
+def longest(by: list[tuple[int, set[tuple[str, str]]]], size: int | list[int], table: Canonical | None = None) -> tuple[int, int, int]:
+    """Of windows in order, each with its pairs of slot values and its size: words, -changed slots and -position of the longest run without a gap or a conflict; zeros without one."""
+    table = canonical() if table is None else table
+    ends = [at + (size if isinstance(size, int) else size[i]) for i, (at, _) in enumerate(by)]
+    best, start, end = (0, 0, 0), 0, 0
     there: dict[str, str] = {}
     back: dict[str, str] = {}
     held: Counter[tuple[str, str]] = Counter()
 
-    def leave(until: int) -> None:
-        nonlocal start
+    def leave(until: int, now: int) -> None:
+        nonlocal start, end
         for _, pairs in by[start:until]:
             for x, y in pairs:
                 held[x, y] -= 1
                 if not held[x, y]:
                     del held[x, y], there[x], back[y]
-        start = until
+        start, end = until, max(ends[until:now], default=0)
 
     for i, (at, pairs) in enumerate(by):
         if i and at > by[i - 1][0] + 1:
-            leave(i)
+            leave(i, i)
         if not len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs):  # conflicts in itself
-            leave(i)
+            leave(i, i)
             start = i + 1
             continue
         while clash := [x for x, y in pairs if there.get(x, y) != y or back.get(y, x) != x]:
-            leave(i if any(_canonical[x] & (IS_NUMBER | IS_UNIT) for x in clash) else start + 1)
+            leave(i if any(table[x] & (IS_NUMBER | IS_UNIT) for x in clash) else start + 1, i)
         for x, y in pairs:
             there[x], back[y] = y, x
             held[x, y] += 1
-        words = at - by[start][0] + size
+        end = max(end, ends[i])
+        words = end - by[start][0]
         if words >= best[0]:
             best = max(best, (words, -sum(x != y for x, y in there.items()), -by[start][0]))
     return best
 
 
-def run_of(template: pd.Series, at: pd.Series, item: pd.Series, doc: pd.Series, size: pd.Series) -> pd.DataFrame:
-    """Of the windows on one diagonal: words of the longest run (verbatim, of template 1, or of both), where it begins in the item, slots with another value."""
-    out = []
-    for kinds, places, items, docs, width in zip(template, at, item, doc, size):
-        equal: dict[int, set[tuple[str, str]]] = defaultdict(set)
-        plain: dict[int, set[tuple[str, str]]] = defaultdict(set)
-        both: dict[int, set[tuple[str, str]]] = defaultdict(set)
-        for kind, place, a, b in zip(kinds, map(int, places), items, docs):
-            both[place].update(zip(a, b))
-            if kind != NAMES:
-                plain[place].update(zip(a, b))
-                if list(a) == list(b):
-                    equal[place].update(zip(a, b))
-        words, same, first = max(longest(sorted(x.items(), key=lambda w: w[0]), int(width)) for x in (equal, plain, both))
-        out.append((words, -first, -same))
-    return pd.DataFrame(out, columns=["run", "first", "changed"])
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc_id, text_key, item_id, run_words, first_word (of the run in the item), changed_slots, kind (verbatim or reparameterised): one row for each document and item."""
-    items = columns_of(benchmark, ["item_id", "text"]).withColumn("item_id", F.col("item_id").cast("long")).distinct()
-    table = written(window_table(items, ["item_id"], (window,), None, MIN_WORDS), "items")
-    sizes = tuple(sorted(r.size for r in table.select("size").distinct().collect()))  # at most ``window`` of them
-    bitmap = np.zeros(1 << BITMAP, bool)
-    for r in table.select(F.shiftrightunsigned("hash", 64 - BITMAP).alias("bit")).distinct().toLocalIterator():  # at most 2 ** BITMAP
-        bitmap[r.bit] = True
+def judged(windows: list, table: Canonical) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
+    """Of the windows (template, position, length, item's slots, document's slots) on one diagonal: the longest verbatim run, and the longest of template 1 or of both."""
+    picked: list[dict[int, tuple[int, set]]] = [{}, {}, {}]  # equal, plain, both
+    for kind, place, length, a, b in windows:
+        pairs = set(zip(a, b))
+        for k, fits in enumerate((kind != NAMES and list(a) == list(b), kind != NAMES, True)):
+            if fits:
+                most, known = picked[k].get(place, (0, set()))
+                picked[k][place] = (max(most, length), known | pairs)
+    best = []
+    for own in picked:
+        order = sorted(own)
+        best.append(longest([(p, own[p][1]) for p in order], [own[p][0] for p in order], table))
+    return best[0], max(best[1:])
+
+
+def run_of(numbers: tuple[str, ...], units: tuple[str, ...]):
+    def run(w: pd.Series) -> pd.DataFrame:
+        """Of each diagonal: words, changed slots and first word of the verbatim run, and of the other one."""
+        table, out = canonical(numbers, units), []
+        for rows in w:
+            same, other = judged([(r["template"], r["position"], r["length"], r["slots"], r["doc_slots"]) for r in rows], table)
+            out.append((same[0], -same[2], other[0], -other[1], -other[2]))
+        return pd.DataFrame(out, columns=["same", "same_first", "other", "changed", "first"])
+
+    return F.pandas_udf(run, "same int, same_first int, other int, changed int, first int")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN, numbers: tuple[str, ...] = (), units: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text_key, item_id, run_words, first_word (of the run in the item), changed_slots, kind (verbatim or reparameterised): one row for each document and item.
+
+    ``numbers`` and ``units``: words (in lower case) that count as such besides those of NUMBER_WORDS and UNITS.
+    """
+    least = min(MIN_WORDS, window)
+    items = columns_of(benchmark, ["item_id", "text"]).filter("text is not null").select(F.col("item_id").cast("long"), F.xxhash64("text").alias("item"), "text").distinct()
+    table = written(window_table(items.select("item", "text").dropDuplicates(["item"]), ["item"], (window,), None, least, numbers, units), "items")
+    sizes = tuple(sorted(r.size for r in table.filter(F.col("template") != WHOLE).select("size").distinct().collect()))  # at most ``window`` of them
     rows = columns_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
-    hits = window_table(rows, ["doc_id", "text_key"], sizes or (window,), bitmap).select("doc_id", "text_key", F.col("position").alias("at"), "size", "hash", F.col("slots").alias("doc_slots"))
-    met = hits.join(table, ["hash", "size"]).filter(F.size("slots") == F.size("doc_slots"))
-    diagonals = met.groupBy("doc_id", "text_key", "item_id", "n_words", "size", (F.col("at") - F.col("position")).alias("diagonal")).agg(F.collect_set(F.struct("template", "position", "slots", "doc_slots")).alias("w"))
-    judge = F.pandas_udf(run_of, "run int, first int, changed int")
-    found = diagonals.withColumn("r", judge("w.template", "w.position", "w.slots", "w.doc_slots", "size"))
-    found = found.filter(F.col("r.run") >= F.least(F.lit(run), "n_words"))
-    best = found.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct(F.col("r.run").alias("run"), (-F.col("r.changed")).alias("same"), (-F.col("r.first")).alias("first"))).alias("b"))
-    return best.select("doc_id", "text_key", "item_id", F.col("b.run").alias("run_words"), (-F.col("b.first")).alias("first_word"), (-F.col("b.same")).alias("changed_slots"), F.when(F.col("b.same") == 0, "verbatim").otherwise("reparameterised").alias("kind"))
+    hits = window_table(rows, ["doc_id", "text_key"], sizes or (window,), bitmap_of(table), least, numbers, units)
+    hits = hits.select("doc_id", "text_key", F.col("n_words").alias("doc_words"), F.col("position").alias("at"), "size", "hash", F.col("slots").alias("doc_slots"))
+    whole = (F.col("template") != WHOLE) | (F.col("n_words") == F.col("doc_words"))
+    met = hits.join(table, ["hash", "size"]).filter((F.size("slots") == F.size("doc_slots")) & whole)
+    diagonals = met.groupBy("doc_id", "text_key", "item", "n_words", "size", (F.col("at") - F.col("position")).alias("diagonal")).agg(F.collect_set(F.struct("template", "position", "length", "slots", "doc_slots")).alias("w"))
+    found = diagonals.withColumn("r", run_of(numbers, units)("w"))
+    need = F.least(F.lit(run), "n_words")
+    verbatim, other = F.col("r.same") >= need, F.col("r.other") >= need
+    told = lambda words, changed, first: F.struct(F.col(words).alias("run"), (-changed).alias("same"), (-F.col(first)).alias("first"))
+    found = found.filter(verbatim | other).withColumn("b", F.greatest(F.when(verbatim, told("r.same", F.lit(0), "r.same_first")), F.when(other, told("r.other", F.col("r.changed"), "r.first"))))
+    best = found.groupBy("doc_id", "text_key", "item").agg(F.max("b").alias("b"))
+    named = best.join(items.select("item", "item_id"), "item")
+    return named.select("doc_id", "text_key", "item_id", F.col("b.run").alias("run_words"), (-F.col("b.first")).alias("first_word"), (-F.col("b.same")).alias("changed_slots"), F.when(F.col("b.same") == 0, "verbatim").otherwise("reparameterised").alias("kind"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
