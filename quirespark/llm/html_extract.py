@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks with the word count and link density of themselves and their neighbours, judged by a decision tree.
 
-A page is cut at block tags into blocks of text (shallow text features, after Kohlschuetter, Fankhauser and Nejdl). Each has ten features: words and
-link density of the block before, itself and the block after; whether it stands in an article (and if not, whether the page has one), in a part
-that is named as something else (menu, advert, comments), in a heading, in a list. A small CART tree, grown on the labelled pages in ``labelled_pages``, keeps or drops it.
+A page is cut at block tags into blocks of text (shallow text features, after Kohlschuetter, Fankhauser and Nejdl). Each has these features: words and
+link density of the block before, itself and the block after; whether it stands in an article (and if not, whether the page has one); how many open elements
+are by their tag something else (menu, aside, footer, form, header of the page); how many have a name (a class, id or role) that says so, plain ones and ambiguous ones apart; whether
+it is in a heading or a list. A name counts if the whole of it says so: each of its parts is such a word or a neutral one ("cookie-notice", "site-footer"; not "related-work").
+Names are counts among the features, no verdicts: a CART tree, grown on the labelled pages in ``labelled_pages``, keeps or drops every block.
 
 Defined results: a null or empty page, or one without main text, gives an empty text. Broken markup is read as it comes: end tags without a
 start are ignored, an end tag closes what is open inside it. A head without its end tag ends before the first text or tag that can't stand in one;
@@ -17,6 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, pieces
-from .labelled_pages import FOOT, LABELLED, MENU
+from .labelled_pages import labelled
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[a-zA-Z/!?][^>]*+>?", re.S | re.I)
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Tags that bound blocks, tags whose text is never read, tags that a head may hold, and names by which pages mark what isn't their article.
+#: Tags that bound blocks, tags whose text is never read, tags that a head may hold, tags that are something else than an article, and words of names:
+#: of what isn't the article, plain and ambiguous ones, of the article, and neutral ones.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 UNREAD = frozenset("audio button canvas datalist embed head iframe map math noscript object select svg template video".split())
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HARD = frozenset("comment comments commentlist disqus respond reply replies related recommended recommendations".split())
-SOFT = frozenset("ad ads adsbygoogle advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline consent cookie cookies copyright dialog disclaimer dropdown footer gdpr latest header login masthead menu menus meta modal nav navbar navigation newsletter notice notification pager pagination paywall popular popup privacy promo promotion search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar tooltip topbar trending widget widgets".split())
+PLAIN = frozenset("ad ads adsbygoogle advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment commentlist comments consent cookie cookies copyright disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notification pager pagination paywall popup privacy promo promotion replies reply respond sidebar signup sponsor sponsored subscribe subscription".split())
+AMBIGUOUS = frozenset("dropdown header latest meta popular recommendations recommended related search share sharing skip social tags teaser toolbar tooltip topbar trending widget widgets".split())
 MAIN = frozenset("article articlebody entry main post story".split())
+NEUTRAL = frozenset("area bar block blog body bottom box button buttons container content form group holder inner item items left link links list message news outer page panel right row section site text top view wrap wrapper".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 
@@ -46,29 +51,54 @@ class Block:
     words: int
     linked: int
     inside: bool
-    other: bool
+    tags: int
+    plain: int
+    ambiguous: int
     heading: bool
     listed: bool
 
 
 @lru_cache(maxsize=4096)
 def named(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """(hidden, main, hard, soft) by the tag and its attributes."""
+    """(hidden, names the article, has a plain name of something else, has an ambiguous one) by the attributes."""
     given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    parts = {p.lower() for k in ("class", "id", "itemprop") for p in NAME_PART.findall(given.get(k, ""))}
-    parts |= {w.lower() for k in ("class", "id", "itemprop") for w in given.get(k, "").split()}
-    role = given.get("role", "").lower()
     hidden = bool(re.search(r"(^|\s)hidden(\s|=|$)", attributes)) or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")) is not None
-    wraps = bool(parts & {"has", "with", "no", "without"}) or tag in ("html", "body")
-    hard = tag in ("nav", "aside", "footer") or (not wraps and bool(parts & HARD))
-    soft = tag in ("form", "header") or role in ROLES or (not wraps and bool(parts & SOFT))
-    return hidden, tag in ("article", "main") or role == "main" or bool(parts & MAIN), hard, soft
+    role = given.get("role", "").lower()
+    main, plain, ambiguous = role == "main", role in ROLES, False
+    for token in (t for k in ("class", "id", "itemprop") for t in given.get(k, "").split()) if tag not in ("html", "body") else ():
+        whole = {token.lower()}
+        parts = whole if whole & (PLAIN | AMBIGUOUS | MAIN) else {p.lower() for p in NAME_PART.findall(token)}
+        if not all(p in PLAIN or p in AMBIGUOUS or p in MAIN or p in NEUTRAL or p.isdigit() for p in parts):
+            continue
+        plain |= bool(parts & PLAIN)
+        ambiguous |= bool(parts & AMBIGUOUS) and not parts & PLAIN
+        main |= bool(parts & MAIN) and not parts & (PLAIN | AMBIGUOUS)
+    return hidden, main, plain, ambiguous
+
+
+class Open(NamedTuple):
+    """An open element: whether it is read, in an article, and how many tags (that never or may hold an article) and names around it say that it is something else."""
+
+    tag: str = ""
+    unread: bool = False
+    inside: bool = False
+    aside: int = 0
+    frame: int = 0
+    plain: int = 0
+    ambiguous: int = 0
+
+    def child(self, tag: str, attributes: str) -> Open:
+        hidden, main, plain, ambiguous = named(tag, attributes)
+        main = (main or tag in ("article", "main")) and not plain and not ambiguous
+        first = main and not self.inside  # what frames a whole page says nothing of its article
+        frame = 0 if first else self.frame + (tag == "form" or (tag == "header" and not self.inside))
+        return Open(tag, self.unread or hidden or tag in UNREAD, self.inside or main, self.aside + (tag in ("nav", "aside", "footer")), frame, self.plain + plain, 0 if first else self.ambiguous + ambiguous)
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks that hold text, in order. Open elements are a stack of (tag, unread, inside, hard, soft)."""
+    """The page's blocks that hold text, in order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    stack = [Open()]
     parts: list[str] = []
     linked, in_link, at, heading, listed = 0, 0, 0, False, False
 
@@ -77,19 +107,19 @@ def blocks(page: str) -> list[Block]:
         if parts:
             words = "".join(parts).split()
             if words:
-                _, _, inside, hard, soft = stack[-1]
-                found.append(Block(" ".join(words), len(words), min(linked, len(words)), inside, hard or soft, heading, listed))
+                top = stack[-1]
+                found.append(Block(" ".join(words), len(words), min(linked, len(words)), top.inside, top.aside + top.frame, top.plain, top.ambiguous, heading, listed))
             parts.clear()
         linked = 0
 
     def end_head() -> None:
-        del stack[next(i for i, s in enumerate(stack) if s[0] == "head") :]
+        del stack[next(i for i, s in enumerate(stack) if s.tag == "head") :]
 
     def read(text: str) -> None:
         nonlocal linked
-        if stack[-1][0] == "head" and text.strip():
+        if stack[-1].tag == "head" and text.strip():
             end_head()
-        if text and not stack[-1][1]:
+        if text and not stack[-1].unread:
             text = html.unescape(text)
             parts.append(text)
             if in_link:
@@ -101,7 +131,7 @@ def blocks(page: str) -> list[Block]:
         if not m[3]:
             continue
         tag = m[3].lower()
-        if not m[2] and (tag not in HEAD and stack[-1][0] == "head" or tag == "body" and any(s[0] == "head" for s in stack)):
+        if not m[2] and (tag not in HEAD and stack[-1].tag == "head" or tag == "body" and any(s.tag == "head" for s in stack)):
             end_head()
         if tag == "a":
             in_link = 0 if m[2] else 1
@@ -109,10 +139,10 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         if tag == "span":  # only hidden ones, and those inside them, go on the stack
             if m[2]:
-                if stack[-1][0] == "span":
+                if stack[-1].tag == "span":
                     stack.pop()
-            elif stack[-1][0] == "span" or (m[4] and named(tag, m[4])[0]):
-                stack.append(("span", True, *stack[-1][2:]))
+            elif stack[-1].tag == "span" or (m[4] and named(tag, m[4])[0]):
+                stack.append(stack[-1]._replace(tag="span", unread=True))
             continue
         if tag not in BLOCK and tag not in UNREAD:
             continue
@@ -121,24 +151,17 @@ def blocks(page: str) -> list[Block]:
             in_link = in_link if tag not in ("article", "main", "body") else 0
         if m[2]:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     del stack[i:]
                     break
         else:
-            _, unread, inside, hard, soft = stack[-1]
-            hidden, main, own_hard, own_soft = named(tag, m[4])
-            if tag == "header" and inside:  # an article's own header
-                own_soft = False
-            if main and not own_soft and not own_hard:
-                inside, soft = True, soft and inside
             if tag in VOID or (tag in ("svg", "math") and m[4].endswith("/")):
                 continue
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd") and stack[-1][0] == tag:
+            if tag in ("p", "li", "td", "th", "tr", "dt", "dd") and stack[-1].tag == tag:
                 stack.pop()
-                _, unread, inside, hard, soft = stack[-1]
-            stack.append((tag, unread or hidden or tag in UNREAD, inside, hard or own_hard, soft or own_soft))
+            stack.append(stack[-1].child(tag, m[4]))
         if tag in BLOCK:
-            open_tags = [s[0] for s in stack[-3:]]
+            open_tags = [s.tag for s in stack[-3:]]
             heading = any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in open_tags)
             listed = any(t in ("li", "dt", "dd") for t in open_tags)
     read(page[at:])
@@ -146,12 +169,17 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+#: The features by number.
+FEATURES = ("words before", "links before", "words", "links", "words after", "links after", "in article", "other tags", "plain names", "ambiguous names", "heading", "listed")
+
+
 def features(found: list[Block]) -> np.ndarray:
     own = np.array([(b.words, b.linked / b.words) for b in found]).reshape(-1, 2)
     none = np.zeros((1, 2))
     before, after = np.concatenate([none, own[:-1]]), np.concatenate([own[1:], none])
     outside = -1 if any(b.inside for b in found) else 0
-    return np.column_stack([before, own, after, np.array([(1 if b.inside else outside, b.other, b.heading, b.listed) for b in found], float).reshape(-1, 4)])
+    marks = np.array([(1 if b.inside else outside, b.tags, b.plain, b.ambiguous, b.heading, b.listed) for b in found], float).reshape(-1, 6)
+    return np.column_stack([before, own, after, marks])
 
 
 # --- the tree ------------------------------------------------------------------------------------------------------------
@@ -166,7 +194,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 4) -> Node:
     """CART with Gini impurity; ties go to the first feature and the lowest cut."""
     node = Node(float(y.mean()))
     if depth == 0 or len(y) < 2 * least or node.share in (0.0, 1.0):
@@ -197,13 +225,12 @@ def shares(node: Node, x: np.ndarray) -> np.ndarray:
 
 
 def training_table() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of all blocks of the labelled pages, each also without its menu, its foot, and both."""
+    """Features and labels of all blocks of the labelled pages."""
     xs, ys = [], []
-    cut = [(page.replace(a, "").replace(b, ""), wanted) for page, wanted in LABELLED for a, b in (("\0", "\0"), (MENU, "\0"), ("\0", FOOT), (MENU, FOOT))]
-    for page, wanted in dict.fromkeys((p, tuple(sorted(w))) for p, w in cut):
+    for page, wanted in labelled():
         found = blocks(page)
         xs.append(features(found))
-        ys.append(np.array([b.text in wanted for b in found], float))
+        ys.append(np.array([bool(wanted & set(b.text.replace(".", "").split())) for b in found], float))
     return np.concatenate(xs), np.concatenate(ys)
 
 

@@ -6,8 +6,9 @@ import re
 import pytest
 
 from quirespark.llm import html_extract as H
-from quirespark.llm.labelled_pages import FOOT, MENU
+from quirespark.llm import labelled_pages as L
 
+MENU, FOOT = (x.replace("[-1]", "One").replace("[-2]", "Two words").replace("[-6]", "The press of the old town") for x in (L.MENU, L.FOOT))
 P, Q = "The road ran north along the river and then turned west into the hills.", "No one had walked it for a year, as far as they knew."
 
 
@@ -23,6 +24,10 @@ P, Q = "The road ran north along the river and then turned west into the hills."
     (f"<article><span hidden>no</span><div style='display: none'>no</div><p>{P} <span>yes</span></p></article>", f"{P} yes"),
     (f"<article><p title='a > b'>{P}<p><b>{Q}<br></article><p>after", f"{P}\n{Q}"),
     ("<article><p>1 < 2 & 3 > 2</p></article>", "1 < 2 & 3 > 2"),
+    (f"<article><h1>T</h1><section id='related-work'><p>{P}</p></section></article>", f"T\n{P}"),
+    (f"<article><div class='share-price'><p>Up.</p></div><p class='dialog'>No.</p><p class='dialog'>{Q}</p></article>", f"Up.\nNo.\n{Q}"),
+    (f"<article><p>{P}</p><div class='related'><p>{Q}</p></div><div class='share'><a href='/f'>F</a> <a href='/x'>X</a></div></article>", f"{P}\n{Q}"),
+    (f"<article><p>{P}</p><div class='ad'><p>{Q}</p></div><div class='post-comments'><p>{P}</p></div><p>So.</p></article>", f"{P}\nSo."),
     ("<script>never closed <p>x</p>", ""), ("<!-- never closed <p>x</p>", ""), ("</div></p>text", "text"),
 ])
 def test_pages(page, text):
@@ -43,6 +48,27 @@ def test_elements_without_an_end_tag(page, text):
     assert H.main_text(page) == text
 
 
+def test_pages_without_an_article(small, spark):
+    """Pages whose article tags are taken out: words, links and tags of the others decide."""
+    right = n = 0
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        found = H.blocks(re.sub("</?article>", "", r.html))
+        kept = H.shares(H.trained(), H.features(found)) >= 0.5
+        wanted = set(brute(r.html).split("\n"))
+        right, n = right + sum((b.text in wanted) == k for b, k in zip(found, kept)), n + len(found)
+    assert right > 0.98 * n
+
+
+def test_tree_asks_for_words_and_links_and_needs_no_names():
+    def asked(node):
+        return set() if node.low is None else {H.FEATURES[node.feature]} | asked(node.low) | asked(node.high)
+
+    assert {"words", "links", "links after"} <= asked(H.trained())
+    x, y = H.training_table()
+    x[:, [H.FEATURES.index("plain names"), H.FEATURES.index("ambiguous names")]] = 0
+    assert ((H.shares(H.grow(x, y), x) >= 0.5) == (y > 0.5)).mean() > 0.9
+
+
 def test_very_long_page():
     page = "<article>" + f"<p>{P}</p>" * 20_000 + "</article>"
     assert H.main_text(page) == "\n".join([P] * 20_000)
