@@ -28,12 +28,10 @@ from .common import columns_of, per_slice, shielded, text_key, utf8, written
 
 #: Fingerprints that a comparison in full takes at once, on either side.
 FULL = 512
-#: Most fingerprints that the upper levels of the trees are fitted on.
-SAMPLE = 4096
-#: Most fingerprints at home in one shard of a tree; larger shards are dealt anew by a salt.
+#: Fingerprints that the upper levels of the trees are fitted on: so many for each shard, within these bounds (the greater is 2 MB).
+EACH, SAMPLE, MOST = 4, 4096, 1 << 18
+#: Fingerprints at home in one shard of a tree, about; where one block of bits is the same in many more, the shard is dealt to pairs of salts.
 SHARD = 16_384
-#: Most levels that deal to shards, so that trees and counts of shards stay small on the driver.
-LEVELS = 12
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -187,20 +185,21 @@ def link_shard(fps: np.ndarray, home: np.ndarray, mask: int, near: int, radius:
     return out
 
 
-def links(distinct: DataFrame, radius: int = 4, blocks: int = 4, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """(a, b) for fingerprints of a column fp, each once in the table: links whose groups are those of all pairs within ``radius``.
+def deal(distinct: DataFrame, radius: int, blocks: int, shard: int = SHARD, sample: int = SAMPLE) -> tuple[DataFrame, int]:
+    """(shard, low, high, fp, home) of all fingerprints and the shards they visit, and how many shards a tree has. Trees have as many levels as the number of fingerprints asks for.
 
-    At most one link for each fingerprint and each shard that it is in; never the pairs of a group.
+    A shard of more than three times ``shard`` rows is dealt again: every row has a salt, and goes to the pairs (low, high) of its own salt with every other, so that
+    any two rows meet and no group has more than about two salts' rows, of ``shard`` each. The rows of such a shard grow with the square of its size.
     """
     spark = distinct.sparkSession
     n = distinct.count()
-    seen = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
-    depth = min(LEVELS, max(0, math.ceil(math.log2(max(1, n) / shard))))
+    depth = max(0, math.ceil(math.log2(max(1, n) / shard)))
+    seen = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(min(MOST, max(sample, EACH << depth))).collect()], np.int64).view(np.uint64)
     near, masks = radius // blocks, block_masks(blocks)
     trees = spark.sparkContext.broadcast([fit_tree(seen, m, depth) for m in masks])
     n_leaves = 2**depth
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for t, nodes in enumerate(trees.value):
@@ -210,17 +209,25 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 4, shard: int = SH
                 rows, leaf = leaves(fps, nodes, masks[t], near)
                 keep = leaf >= home[rows]  # of two shards, the later one compares the pairs between them
                 rows, leaf = rows[keep], leaf[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(leaf + t * n_leaves, pa.int32()), pa.array(fps[rows].view(np.int64)), pa.array(leaf == home[rows])], names=["shard", "fp", "home"])
-
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
-    sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("n")).filter(F.col("n") > 2 * shard)
-    large = [(r.shard, math.ceil(r.n / shard)) for r in sizes.collect()]  # at most blocks * 2 ** LEVELS
-    if large:  # members are dealt by a salt, and each also visits the other salts
-        salts = spark.createDataFrame(large, "shard int, of int")
-        dealt = dealt.join(F.broadcast(salts), "shard", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("salt", F.explode(F.expr("sequence(0, of - 1)")))
-        dealt = dealt.withColumn("home", F.col("home") & (F.col("salt") == F.pmod(F.xxhash64("fp"), F.col("of")))).select("shard", "salt", "fp", "home")
-    else:
-        dealt = dealt.withColumn("salt", F.lit(0))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf + t * n_leaves, pa.int64()), pa.array(fps[rows].view(np.int64)), pa.array(leaf == home[rows])], names=["shard", "fp", "home"])
+
+    dealt = distinct.select("fp").mapInArrow(visits, "shard long, fp long, home boolean")
+    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > 3 * shard)
+    large = written(sizes.select("shard", F.ceil(F.col("n") / shard).cast("int").alias("of")), "large")
+    if large.isEmpty():
+        return dealt.select("shard", F.lit(0).alias("low"), F.lit(0).alias("high"), "fp", "home"), n_leaves
+    salted = dealt.join(large, "shard", "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int"))
+    paired = salted.withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
+    return paired.select("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "home"), n_leaves
+
+
+def links(distinct: DataFrame, radius: int = 4, blocks: int = 4, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """(a, b) for fingerprints of a column fp, each once in the table: links whose groups are those of all pairs within ``radius``.
+
+    At most one link for each fingerprint and each group that it is in; never the pairs of a group.
+    """
+    dealt, n_leaves = deal(distinct, radius, blocks, shard, sample)
+    near, masks = radius // blocks, block_masks(blocks)
 
     def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         fps = rows["fp"].to_numpy(np.int64).view(np.uint64)
@@ -228,7 +235,7 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int = 4, shard: int = SH
         own = roots != np.arange(len(fps))
         return pd.DataFrame({"a": fps[own].view(np.int64), "b": fps[roots[own]].view(np.int64)})
 
-    return dealt.groupBy("shard", "salt").applyInPandas(link, "a long, b long")
+    return dealt.groupBy("shard", "low", "high").applyInPandas(link, "a long, b long")
 
 
 # --- groups --------------------------------------------------------------------------------------------------------------
@@ -258,7 +265,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 4) -> DataFrame:
     """Every row's doc_id, text_key, fp and component_id, and whether it is the row of its group to keep (``keeper``).
 
-    All rows that equal the keeper in doc_id and text have ``keeper`` true; ``repeats`` says how many they are.
+    All rows that equal the keeper in doc_id and text have ``keeper`` true.
     """
     rows = written(fingerprints(docs, shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))

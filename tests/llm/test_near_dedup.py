@@ -73,6 +73,22 @@ def test_a_dense_ball_gives_few_links(spark):
     assert len({r.root for r in rows}) == 1 and len({r.node for r in rows} | {r.root for r in rows}) == len(fps)
 
 
+def test_a_hot_block_makes_no_large_group(spark):
+    """A third of all fingerprints share their lowest 16 bits, so that no tree over that block can part them."""
+    rng = np.random.default_rng(5)
+    own = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    own[:1000] &= np.uint64(2**64 - 2**16)
+    own[1000:1040] = own[:40] ^ np.uint64(5 << 30)
+    fps = np.unique(own)
+    distinct = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    dealt, _ = N.deal(distinct, 4, 4, shard=100, sample=512)
+    sizes = [r["count"] for r in dealt.groupBy("shard", "low", "high").count().collect()]
+    assert dealt.filter("high > 0").count() > 0 and max(sizes) <= 4 * 100
+    roots, at = np.arange(len(fps)), {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    N.merge(roots, *map(np.array, zip(*[(at[r.a], at[r.b]) for r in N.links(distinct, shard=100, sample=512).collect()])))
+    assert roots.tolist() == brute_roots(fps)
+
+
 def test_links_of_other_radius(spark):
     fps = near(np.random.default_rng(3), 150, 40)
     distinct = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
