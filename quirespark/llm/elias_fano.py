@@ -2,6 +2,7 @@
 
 The low bits of the values lie side by side. The high bits are written in unary: the i-th one bit stands at (value >> low) + i,
 so that selecting it gives the value back. The place of every 64th one bit is kept, as 32-bit numbers, for that selection.
+Values are unsigned 64-bit numbers; those from 2 ** 63 on come back as the signed numbers with the same bits.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ class EliasFano:
     def encode(cls, values: np.ndarray) -> EliasFano:
         v = np.asarray(values, np.uint64)
         n, top = len(v), int(v[-1]) if len(v) else 0
-        if n and (np.diff(v.astype(np.int64)) < 0).any():
+        if (v[1:] < v[:-1]).any():
             raise ValueError("values must not decrease")
         width = max(0, (top // n).bit_length() - 1) if n else 0
         low = np.packbits(np.unpackbits(v.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width].ravel(), bitorder="little")

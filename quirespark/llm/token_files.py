@@ -2,9 +2,10 @@
 
 Documents are dealt to files by ranges of doc_id and lie in ascending doc_id order within and between files (nulls first; rows
 with one doc_id by their text's key). Each file has two parts: ``<name>.ids``, all ids one after another, little-endian, two
-bytes each if the vocabulary allows, else four; and ``<name>.idx``, the ends of the documents in Elias-Fano code and
-the doc_ids. The manifest, a table, names the files of the attempts that succeeded, so a lost or repeated task leaves
-nothing that is read.
+bytes each if the vocabulary allows, else four; and ``<name>.idx``, blocks of BLOCK documents, each with the ends of its documents and their doc_ids, both in Elias-Fano code
+(relative to the block's first), and a directory of the blocks at the end. Writers and readers hold one block; no table of 64-bit
+offsets is made. Readers select a stretch of boundaries at a time; ``document`` selects those of one document. The manifest, a table, names the files
+of the attempts that succeeded, so a lost or repeated task leaves nothing that is read.
 
 Defined results: a null or empty text has the end id alone. Repeated rows are repeated in the files. Other columns are
 ignored. An empty table gives no files and an empty result.
@@ -28,9 +29,38 @@ from .elias_fano import EliasFano
 from .tokens import text_ids
 
 MANIFEST = "file string, dtype string, n_docs long, n_ids long, first_null boolean, first_id long, first_key long, first_row long"
-HEAD = "<4sQQ"
-#: Ids that a reader holds at once.
-READ = 1 << 20
+#: A block: documents, those without a doc_id (first), ids before it in the file, the least doc_id, bytes of the ends and of the doc_ids.
+HEAD = struct.Struct("<IIQqII")
+#: The end of an index: what it is, its number of blocks and the documents of each but the last; before it the place of each block.
+TAIL = "<4sQI"
+#: Documents of a block, boundaries that a reader selects at once, and ids that it holds at once.
+BLOCK, SELECT, READ = 1 << 16, 1 << 12, 1 << 20
+
+
+class Block:
+    """The boundaries of up to BLOCK documents."""
+
+    def __init__(self, data: bytes):
+        self.count, self.nulls, self.base, self.least, n_ends, n_ids = HEAD.unpack_from(data)
+        self.size = HEAD.size + n_ends + n_ids
+        self.ends, self.ids = (EliasFano.frombytes(data[a : a + n]) if n else None for a, n in ((HEAD.size, n_ends), (HEAD.size + n_ends, n_ids)))
+
+    @staticmethod
+    def tobytes(base: int, doc_ids: list[int | None], ends: list[int]) -> bytes:
+        known = np.array([d for d in doc_ids if d is not None], np.int64)
+        least = int(known[0]) if len(known) else 0
+        code = EliasFano.encode(np.array(ends, np.uint64) - np.uint64(base)).tobytes()
+        ids = EliasFano.encode(known.view(np.uint64) - known[:1].view(np.uint64)).tobytes() if len(known) else b""
+        return HEAD.pack(len(ends), len(ends) - len(known), base, least, len(code), len(ids)) + code + ids
+
+    def bounds(self, first: int, last: int) -> np.ndarray:
+        """Where documents first to last - 1 begin in the file, and where the last one ends: one number more than documents."""
+        before = self.ends[first - 1] if first else 0
+        return np.concatenate([[before], self.ends.values(first, last)]) + self.base
+
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        known = self.ids.values(max(0, first - self.nulls), max(0, last - self.nulls)) + self.least if self.ids else []
+        return [None] * (min(last, self.nulls) - min(first, self.nulls)) + [int(x) for x in known]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, files: int | None = None) -> DataFrame:
@@ -43,27 +73,37 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = text_ids(tokenizer)
         fs, path = filesystem(folder)
-        name, first, doc_ids, ends, total, out = f"part-{uuid.uuid4().hex}", None, [], [], 0, None
+        name, first, doc_ids, ends, total, n, out, idx, places = f"part-{uuid.uuid4().hex}", None, [], [], 0, 0, None, None, []
+
+        def end_block(base: int) -> None:
+            places.append(idx.tell())
+            idx.write(Block.tobytes(base, doc_ids, ends))
+            doc_ids.clear()
+            ends.clear()
+
+        base = 0
         for batch in (x for b in batches for x in pieces(b, 500)):
             if out is None:
                 first = [batch.column(i)[0].as_py() for i in range(3)]
                 fs.create_dir(path, recursive=True)
-                out = fs.open_output_stream(f"{path}/{name}.ids")
-            for text in batch.column(3).to_pylist():
+                out, idx = fs.open_output_stream(f"{path}/{name}.ids"), fs.open_output_stream(f"{path}/{name}.idx")
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
                 own = np.append(ids(text), np.array([end_id], ids.dtype))
                 out.write(own.tobytes())
-                total += len(own)
+                total, n = total + len(own), n + 1
+                doc_ids.append(doc_id)
                 ends.append(total)
-            doc_ids.append(batch.column(0))
+                if len(ends) == BLOCK:
+                    end_block(base)
+                    base = total
         if out is None:
             return
+        if ends:
+            end_block(base)
+        idx.write(np.array(places, "<u8").tobytes() + struct.pack(TAIL, b"QTI2", len(places), BLOCK))
         out.close()
-        keys = pa.chunked_array(doc_ids).combine_chunks()
-        known = np.packbits(keys.is_valid().to_numpy(zero_copy_only=False), bitorder="little")
-        index = EliasFano.encode(np.array(ends)).tobytes()
-        with fs.open_output_stream(f"{path}/{name}.idx") as idx:
-            idx.write(struct.pack(HEAD, b"QTI1", len(index), len(keys)) + index + known.tobytes() + keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "dtype": ids.dtype, "n_docs": len(keys), "n_ids": total, "first_null": first[0] is None, "first_id": first[0], "first_key": first[1], "first_row": first[2]}], schema=SCHEMA)
+        idx.close()
+        yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "dtype": ids.dtype, "n_docs": n, "n_ids": total, "first_null": first[0] is None, "first_id": first[0], "first_key": first[1], "first_row": first[2]}], schema=SCHEMA)
 
     return written(dealt.mapInArrow(write, MANIFEST), "manifest")
 
@@ -71,33 +111,53 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
 SCHEMA = pa.schema([("file", pa.string()), ("dtype", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_null", pa.bool_()), ("first_id", pa.int64()), ("first_key", pa.int64()), ("first_row", pa.int64())])
 
 
-def read_index(data: bytes) -> tuple[EliasFano, list[int | None]]:
-    magic, size, n = struct.unpack_from(HEAD, data)
-    if magic != b"QTI1":
+def places_of(f: pa.NativeFile) -> tuple[np.ndarray, int]:
+    """Where the blocks of an open index begin and where the last one ends, and the documents of a block."""
+    end = f.size() - struct.calcsize(TAIL)
+    f.seek(end)
+    magic, n, each = struct.unpack(TAIL, f.read(struct.calcsize(TAIL)))
+    if magic != b"QTI2":
         raise ValueError("not a token index")
-    at = struct.calcsize(HEAD) + size
-    known = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), bitorder="little")[:n]
-    keys = np.frombuffer(data, "<i8", n, at + len(known[::8]))
-    return EliasFano.frombytes(data[struct.calcsize(HEAD) : at]), [int(k) if v else None for k, v in zip(keys, known)]
+    f.seek(end - 8 * n)
+    return np.append(np.frombuffer(f.read(8 * n), "<u8"), end - 8 * n).astype(np.int64), each
 
 
-def documents_of(file: str, dtype: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """(doc_id, start in the file, ids) of every document of a file, a bounded stretch of ids at a time."""
+def block_at(f: pa.NativeFile, places: np.ndarray, k: int) -> Block:
+    f.seek(int(places[k]))
+    return Block(f.read(int(places[k + 1] - places[k])))
+
+
+def document(file: str, dtype: str, i: int) -> tuple[int | None, int, np.ndarray]:
+    """(doc_id, start in the file, ids) of the i-th document: its block, two selected boundaries, and its ids are all that is read."""
     fs, path = filesystem(file)
-    with fs.open_input_stream(f"{path}.idx") as f:
-        index, doc_ids = read_index(f.read())
-    ends, width = index.values(), np.dtype(dtype).itemsize
+    with fs.open_input_file(f"{path}.idx") as f:
+        places, each = places_of(f)
+        block, at = block_at(f, places, i // each), i % each
+    start, end = block.bounds(at, at + 1).tolist()
     with fs.open_input_file(f"{path}.ids") as f:
-        at = 0
-        while at < len(ends):
-            start = int(ends[at - 1]) if at else 0
-            last = max(at + 1, int(np.searchsorted(ends, start + READ, "right")))
-            f.seek(start * width)
-            stretch = np.frombuffer(f.read((int(ends[last - 1]) - start) * width), dtype)
-            for i in range(at, last):
-                own = int(ends[i - 1]) if i else 0
-                yield doc_ids[i], own, stretch[own - start : int(ends[i]) - start]
-            at = last
+        f.seek(start * np.dtype(dtype).itemsize)
+        return block.doc_ids(at, at + 1)[0], start, np.frombuffer(f.read((end - start) * np.dtype(dtype).itemsize), dtype)
+
+
+def documents_of(file: str, dtype: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(doc_id, start in the file, ids) of every document of a file: a stretch of boundaries is selected at a time, and of their ids a bounded stretch is read."""
+    fs, path = filesystem(file)
+    width = np.dtype(dtype).itemsize
+    with fs.open_input_file(f"{path}.idx") as index, fs.open_input_file(f"{path}.ids") as f:
+        places, _ = places_of(index)
+        for k in range(len(places) - 1):
+            block = block_at(index, places, k)
+            for first in range(0, block.count, SELECT):
+                last = min(first + SELECT, block.count)
+                bounds, doc_ids, at = block.bounds(first, last), block.doc_ids(first, last), 0
+                while at < len(doc_ids):
+                    start = int(bounds[at])
+                    to = max(at + 1, int(np.searchsorted(bounds, start + READ, "right")) - 1)
+                    f.seek(start * width)
+                    stretch = np.frombuffer(f.read((int(bounds[to]) - start) * width), dtype)
+                    for i in range(at, to):
+                        yield doc_ids[i], int(bounds[i]), stretch[int(bounds[i]) - start : int(bounds[i + 1]) - start]
+                    at = to
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

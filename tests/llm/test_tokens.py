@@ -84,6 +84,36 @@ def test_round_trip(spark, files):
     assert order == sorted(order)
 
 
+def test_blocks_and_single_documents(spark, monkeypatch):
+    """Many blocks, stretches and documents by their number; negative and far doc_ids, nulls and repeated ones."""
+    for name, n in (("BLOCK", 7), ("SELECT", 3), ("READ", 40)):
+        monkeypatch.setattr(token_files, name, n)
+    doc_ids = [None] * 9 + [-(2**63), -5, -5, 0, 3, 2**40, 2**63 - 1] * 3
+    docs = spark.createDataFrame([(d, "word " * (i % 6)) for i, d in enumerate(doc_ids)], "doc_id long, text string").coalesce(1)
+    blocks, total, known = [], 0, sorted(doc_ids, key=lambda d: -(2**64) if d is None else d)
+    for i in range(0, len(known), 7):
+        ends = np.cumsum([total, *[k % 5 + 1 for k in range(i, min(i + 7, len(known)))]])[1:].tolist()
+        blocks.append((token_files.Block(token_files.Block.tobytes(total, known[i : i + 7], ends)), known[i : i + 7], [total, *ends]))
+        total = ends[-1]
+    for block, ids, bounds in blocks:
+        for a in range(block.count):
+            for b in range(a + 1, block.count + 1):
+                assert block.doc_ids(a, b) == ids[a:b] and block.bounds(a, b).tolist() == bounds[a : b + 1]
+    manifest = token_files.write_token_files(docs, BYTES, files=1).first()
+    monkeypatch.undo()
+    whole = list(token_files.documents_of(manifest.file, manifest.dtype))
+    assert [d for d, *_ in whole] == known and len(whole) == manifest.n_docs
+    for i in (0, 1, 8, 9, 15, len(whole) - 1):
+        d, start, ids = token_files.document(manifest.file, manifest.dtype, i)
+        assert (d, start, ids.tolist()) == (whole[i][0], whole[i][1], whole[i][2].tolist())
+
+
+def test_index_is_small():
+    """About a quarter of the 16 bytes that a 64-bit offset and a 64-bit doc_id take."""
+    ends = np.cumsum(np.random.default_rng(0).integers(1, 2000, 60_000)).tolist()
+    assert len(token_files.Block.tobytes(0, list(range(0, 180_000, 3)), ends)) < 2.6 * 60_000
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.read_token_files(token_files.write_token_files(none, BYTES)).count() == 0
