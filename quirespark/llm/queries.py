@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, html_extract, near_dedup, oracles, packing, quality_classifier, quality_rules, sharding, token_files, warc
+from .common import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +51,8 @@ def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest, _ = warc.write_archives(table(spark, sf_dir, "pages"), least=0)
-    found = warc.resolved(warc.read_archives(manifest))
+    manifest, heads = warc.write_archives(table(spark, sf_dir, "pages"), least=0)
+    found = warc.originals(written(warc.read_archives(manifest), "read"), heads)
     return found.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.col("of_page").alias("refers_to"))
 
 

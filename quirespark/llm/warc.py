@@ -2,12 +2,13 @@
 
 Payloads are grouped by SHA-256, which is checked against length and SHA-1 within each group, so that two payloads that differ can't share an
 address. The response of a group is the record with the smallest page_id; the others are revisits that name it. Archives are files
-of gzip members, one a record, as WARC 1.1 has it. Their headers also form a table (record, exact header bytes, address of the payload), from which
-``originals`` rebuilds every record by a join with the payloads read from the archives. The manifest names the files of attempts that succeeded.
+of gzip members, one a record, as WARC 1.1 has it. The exact headers of all original records (each a response with its own length) form a table of their own: record, header,
+and the record that holds the payload. ``originals`` rebuilds every original record, byte for byte, by a join of that table with what is read from the archives; a revisit's
+own header stands in the archive only. The manifest names the files of attempts that succeeded.
 
 Defined results: a null html is an empty payload. Payloads under ``least`` bytes are all responses. A null page_id counts as larger than any other;
-repeated rows are records each, of which one is the response. A null url is written as an empty target. Other columns are ignored.
-An empty table gives no archives and an empty result.
+repeated rows are records each, of which one is the response. A null url is written as an empty target; line ends in a url are written as %0D and %0A. Other columns are ignored
+(but the one that ``date`` names). An empty table gives no archives and an empty result.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, filesystem, pieces, shared_dir, written
+from .common import filesystem, pieces, shared_dir, written
 
 NAMESPACE = "6f0c9a52-7d3b-4e0e-9d51-2b6f3a1c8e47"
 DATE = "2020-01-01T00:00:00Z"
@@ -34,9 +35,10 @@ def record_id(record: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.UUID(NAMESPACE), str(record))}>"
 
 
-def header(kind: str, record: int, page_id: int | None, url: str | None, sha1: bytes, length: int, of: tuple[int, int | None] | None = None) -> bytes:
+def header(kind: str, record: int, page_id: int | None, url: str | None, date: str, sha1: bytes, length: int, of: tuple[int, int | None] | None = None) -> bytes:
     """The exact header of a record. ``of``: for a revisit, record and page_id of the response."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(record)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {(url or '').replace(chr(13), '').replace(chr(10), '')}", "Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}", f"X-Record: {record}", f"X-Payload-Length: {length}"]
+    target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(record)}", f"WARC-Date: {date}", f"WARC-Target-URI: {target}", "Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}", f"X-Record: {record}"]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if of:
@@ -47,41 +49,49 @@ def header(kind: str, record: int, page_id: int | None, url: str | None, sha1: b
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def hashed(pages: DataFrame, payload: bool) -> DataFrame:
-    """Row by row: the payload's length and digests, and either its bytes or page_id, url and a number of the row (record)."""
-    rows = columns_of(pages, ["page_id", "url", "html"]).select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    digests = [F.octet_length("payload").cast("long").alias("payload_bytes"), F.unhex(F.sha1("payload")).alias("sha1"), F.unhex(F.sha2("payload", 256)).alias("sha256")]
-    return rows.select(*(["payload"] if payload else ["page_id", "url", F.monotonically_increasing_id().alias("record")]), *digests)
+def hashed(pages: DataFrame, payload: bool, date: str | Column = DATE) -> DataFrame:
+    """Row by row: the payload's length and digests, and either its bytes or page_id, url, date and a number of the row (record)."""
+    on = F.coalesce(date.cast("string"), F.lit(DATE)) if isinstance(date, Column) else F.lit(date)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), on.alias("date"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    address = F.unhex(F.sha2("payload", 256)).alias("sha256")
+    if payload:
+        return rows.select("payload", address)
+    return rows.select("page_id", "url", "date", F.monotonically_increasing_id().alias("record"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.unhex(F.sha1("payload")).alias("sha1"), address)
 
 
-def headers(pages: DataFrame, least: int = 0) -> DataFrame:
-    """record, kind (response or revisit), of_record, sha256 and the exact header of every row's record: a written table without payloads."""
-    rows = written(hashed(pages, False), "records")
+def headers(pages: DataFrame, least: int = 0, date: str | Column = DATE) -> DataFrame:
+    """record, kind (response or revisit), of_record, sha256, the record's exact original header, and the header in the archive of those that are revisits: a written table without payloads.
+
+    Only addresses of two records or more are looked up, in a table of their own, so that the join can split an address that most records have.
+    """
+    rows = written(hashed(pages, False, date), "records")
     first = F.min(F.struct(F.col("page_id").isNull(), "page_id", "record"))
-    groups = rows.groupBy("sha256").agg(first.alias("first"), (F.min(F.struct("payload_bytes", "sha1")) == F.max(F.struct("payload_bytes", "sha1"))).alias("same"))
-    checked = groups.filter(F.col("same") | F.raise_error(F.lit("payloads that differ share a SHA-256")).cast("boolean"))
+    groups = rows.groupBy("sha256").agg(first.alias("first"), F.count("*").alias("n"), (F.min(F.struct("payload_bytes", "sha1")) == F.max(F.struct("payload_bytes", "sha1"))).alias("same"))
+    checked = written(groups.filter("n > 1").filter(F.col("same") | F.raise_error(F.lit("payloads that differ share a SHA-256")).cast("boolean")).select("sha256", "first"), "addresses")
     revisit = (F.col("payload_bytes") >= least) & (F.col("record") != F.col("first.record"))
-    told = rows.join(checked.select("sha256", "first"), "sha256").select("page_id", "url", "record", "payload_bytes", "sha1", "sha256", F.when(revisit, F.col("first.record")).alias("of_record"), F.when(revisit, F.col("first.page_id")).alias("of_page"))
+    told = rows.join(checked, "sha256", "left").select("page_id", "url", "date", "record", "payload_bytes", "sha1", "sha256", F.when(revisit, F.col("first.record")).alias("of_record"), F.when(revisit, F.col("first.page_id")).alias("of_page"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, heads = [], []
-            for r in batch.select(["page_id", "url", "record", "payload_bytes", "sha1", "of_record", "of_page"]).to_pylist():
+            kinds, heads, archived = [], [], []
+            for r in batch.select(["page_id", "url", "date", "record", "payload_bytes", "sha1", "of_record", "of_page"]).to_pylist():
                 of = None if r["of_record"] is None else (r["of_record"], r["of_page"])
+                own = (r["record"], r["page_id"], r["url"], r["date"], r["sha1"], r["payload_bytes"])
                 kinds.append("revisit" if of else "response")
-                heads.append(header(kinds[-1], r["record"], r["page_id"], r["url"], r["sha1"], r["payload_bytes"], of))
-            yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(kinds, pa.string()), batch.column("of_record"), batch.column("sha256"), pa.array(heads, pa.binary())], names=["record", "kind", "of_record", "sha256", "header"])
+                heads.append(header("response", *own))
+                archived.append(header("revisit", *own, of) if of else None)
+            yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(kinds, pa.string()), batch.column("of_record"), batch.column("sha256"), pa.array(heads, pa.binary()), pa.array(archived, pa.binary())], names=["record", "kind", "of_record", "sha256", "header", "archived"])
 
-    return written(told.mapInArrow(make, "record long, kind string, of_record long, sha256 binary, header binary"), "headers")
+    return written(told.mapInArrow(make, "record long, kind string, of_record long, sha256 binary, header binary, archived binary"), "headers")
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Writes the archives; returns their manifest (file, n_records, n_bytes) and the table of headers."""
+def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0, date: str | Column = DATE) -> tuple[DataFrame, DataFrame]:
+    """Writes the archives; returns their manifest (file, n_records, n_bytes) and the table of headers. ``date``: when pages were fetched, one for all or a column (as WARC-Date has it)."""
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc"
-    heads = headers(pages, least)
+    heads = headers(pages, least, date)
     store = hashed(pages, True).groupBy("sha256").agg(F.first("payload").alias("payload"))
     full = heads.filter("kind = 'response'").join(store, "sha256").select("header", "payload")
-    bare = heads.filter("kind = 'revisit'").select("header", F.lit(b"").alias("payload"))
+    bare = heads.filter("kind = 'revisit'").select(F.col("archived").alias("header"), F.lit(b"").alias("payload"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)
@@ -158,15 +168,12 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     return files.mapInArrow(read, ", ".join(f"{n} {types[t]}" for n, t in fields))
 
 
-def resolved(records: DataFrame) -> DataFrame:
-    """The records with the digest, length (and payload) of what revisits refer to, by a join with the responses."""
-    full = [c for c in ("payload_digest", "payload_bytes", "payload") if c in records.columns]
-    responses = records.filter("kind = 'response'").select(F.col("record").alias("__of"), *[F.col(c).alias(f"__{c}") for c in full])
-    found = records.join(responses, F.col("of_record") == F.col("__of"), "left")
-    return found.select(*[F.coalesce(f"__{c}", c).alias(c) if c in full else c for c in records.columns])
-
+def originals(records: DataFrame, heads: DataFrame) -> DataFrame:
+    """Every original record from the table of headers and the records read from the archives: record, header, page_id, kind, of_page, payload_digest, payload_bytes (and payload, where the archives were read with payloads).
 
-def originals(manifest: DataFrame, heads: DataFrame) -> DataFrame:
-    """record, header, payload: every original record, from the table of headers and the payloads in the archives."""
-    texts = read_archives(manifest, payloads=True).filter("kind = 'response'").select(F.col("record").alias("__of"), "payload")
-    return heads.join(texts, F.coalesce("of_record", "record") == F.col("__of")).select("record", "header", "payload")
+    The archives' own records say what they are; those that hold a payload give it, by a join, to all that have its address.
+    """
+    full = [c for c in ("payload_digest", "payload_bytes", "payload") if c in records.columns]
+    holds = records.filter("kind = 'response'").select(F.col("record").alias("__of"), *full)
+    told = heads.select("record", "header", F.coalesce("of_record", "record").alias("__of")).join(records.select("record", "page_id", "kind", "of_page"), "record")
+    return told.join(holds, "__of").select("record", "header", "page_id", "kind", "of_page", *full)
