@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -20,10 +21,12 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is empty (tests, a notebook) a temporary folder of this machine is set for the session.
+    Where the setting is empty and driver and executors are one process (tests, a notebook), a temporary folder of this machine is set for the session; on a cluster the setting is needed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark.sparkContext, "_quire_dir", None)
         if not base:
             base = "file://" + (own := tempfile.mkdtemp(prefix="quire-"))
@@ -41,10 +44,29 @@ def clear(spark: SparkSession) -> None:
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: it cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{what}"
+    for paths in _passing:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths that ``written`` has made inside each open ``passing``.
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``written`` has made inside it, but for the last one: that is its result."""
+    _passing.append(paths := [])
+    try:
+        yield
+    finally:
+        _passing.remove(paths)
+        for p in paths[:-1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(p.rpartition("/")[0])
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The pyarrow file system of a folder's URI, and the folder's path in it."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

@@ -2,7 +2,7 @@
 
 The library encodes. But where a text's white space is plain, a tokenizer that never merges across it gives the same ids
 for a text as for its words one by one, and most words come again; so each word is encoded once and its ids are kept in a
-bounded table. Texts with other white space, and tokenizers of other kinds, go to the library whole (cut only between words).
+bounded table. Texts with other white space go to the library cut between words only, and tokenizers of other kinds get every text whole.
 """
 
 from __future__ import annotations
@@ -121,7 +121,8 @@ class TextIds:
 
     def __call__(self, text: str | None) -> np.ndarray:
         """All ids of one whole text; none for a null."""
-        return np.frombuffer(b"".join(x for cut in self._cuts(text or "") for x in self._packed(cut)), self.dtype)
+        cuts = [text or ""] if self.kind == "other" else self._cuts(text or "")  # other kinds may merge across a blank
+        return np.frombuffer(b"".join(x for cut in cuts for x in self._packed(cut)), self.dtype)
 
 
 @lru_cache(maxsize=4)

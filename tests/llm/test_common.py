@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import os
 
+import pytest
+
 from quirespark.llm import common
 
 
@@ -17,6 +19,26 @@ def test_written_tables_outlive_their_source_until_cleared(spark, tmp_path):
     assert not os.path.exists(folder)
 
 
+def test_what_passes_is_deleted_and_the_result_stays(spark):
+    with common.passing(spark):
+        first = common.written(spark.range(3), "first")
+        last = common.written(first.withColumn("x", first.id + 1), "last")
+    path = lambda df: df.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert last.count() == 3 and os.path.exists(path(last)) and not os.path.exists(path(first))
+
+
+def test_a_cluster_needs_the_setting(spark):
+    class Away:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        conf = spark.conf
+
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_dir(Away)
+
+
 def test_shield_gives_names_back(spark):
     df = spark.createDataFrame([(1, 2, 3)], "`a.b` int, text int, __col0 int")
     inner, back = common.shielded(df, ("text",))

@@ -52,3 +52,39 @@ def test_stages(spark, small):
     run = pipeline.run(spark, small).collect()
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, run)) == sorted(map(key, got))
+
+
+GOOD = "It was a long way from the old harbour to the small town in the hills and nobody knew how the {} road had been made or by whom it was used in the winter of that {} year"
+
+
+def odd_tables(spark, folder, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, keeper string, __p_top int, hash long")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, None, 1), (None, 1, 0), (900, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, ""), (2, GOOD.format("leaked", "leaked"))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, a very long text, columns whose names the stages use themselves."""
+    other = lambda i: " ".join(f"{chr(97 + i)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    rows = [(i, other(i), "en", "s", 1, "k", 2, 3) for i in range(12)] + [(3, other(3), "en", "s", 1, "k", 2, 3)] * 2 + [(40, other(5), None, None, None, None, None, None), (None, other(20), None, "s", None, None, None, None)]
+    rows += [(50, None, "en", "s", 0, None, None, None), (51, "", "en", "s", 0, None, None, None), (52, "so it is: " + GOOD.format("leaked", "leaked"), "en", "s", 0, "x", 1, 1), (53, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(17_000)), "en", "s", 0, None, None, None)]
+    docs = odd_tables(spark, tmp_path, rows)
+    kept = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    want = {*range(12), None, 53}
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got} == want and kept.count() == len(want)
+    lengths = {}
+    for r in got:
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    texts = {r[0]: r[1] for r in rows}
+    assert lengths == {d: len(x) for d, x in brute_ids(WORDS, [(d, texts[d]) for d in want], 1)}
+
+
+def test_empty_tables(spark, tmp_path):
+    odd_tables(spark, tmp_path, [])
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
