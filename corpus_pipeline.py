@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quirespark.llm import decontaminate, near_dedup, quality_classifier, quality_rules
-from quirespark.llm.common import written
+from quirespark.llm.common import passing, written
 from quirespark.llm.queries import pack_documents, table
 
 
@@ -41,8 +41,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over documents; each result is a written table that the next one reads."""
+    """The stages one after another over documents; each result is a written table that the next one reads. What a stage writes on its way is deleted when it is done."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with passing(spark):
+            docs = written(stage(spark, docs, sf_dir), name)
     return docs
