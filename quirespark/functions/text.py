@@ -149,6 +149,53 @@ def citation_numbers(text: Column) -> Column:
     return F.transform(F.flatten(F.transform(marks, lambda m: F.split(m, r",\s*"))), lambda n: n.cast("int"))
 
 
+def separate_citations(text: Column) -> Column:
+    """Marks of several numbers as one mark each, and no comma between neighbouring marks: '[1, 2], [3]' is '[1][2][3]'."""
+    mark = r"\[\d+(?:,\s*\d+)*\]"
+    joined = F.regexp_replace(text, rf"({mark})\s*,\s*(?={mark})", "$1")
+    return F.regexp_replace(joined, r"(?<=[\[,]\s{0,9}\d{1,9}),\s*(?=\d+(?:,\s*\d+)*\])", "][")
+
+
+def base_url(address: Column) -> Column:
+    """An address without blanks and slashes at its end, and with http where it names no protocol; null without one."""
+    bare = F.nullif(F.regexp_replace(F.trim(address), "/+$", ""), F.lit(""))
+    return F.when(F.rlike(bare, F.lit("^https?://")), bare).otherwise(F.concat(F.lit("http://"), bare))
+
+
+def is_loopback(url: Column) -> Column:
+    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    return (host == "localhost") | F.rlike(host, F.lit(r"^127(\.\d{1,3}){3}$")) | (host == "[::1]")
+
+
+def is_lan_address(ip: Column) -> Column:
+    """An IPv4 address that another device can be reached at: none of loopback, link-local, multicast or unspecified."""
+    part = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    return F.rlike(ip, F.lit(rf"^{part}(\.{part}){{3}}$")) & ~F.rlike(ip, F.lit(r"^(127\.|169\.254\.|2(2[4-9]|3\d)\.|0\.0\.0\.0$)"))
+
+
+def bundle_path(number: Column, path: Column) -> Column:
+    """Where a bundle keeps a file: by its number, with its suffix if that is short and plain, else '.bin'."""
+    suffix = F.regexp_extract(F.lower(path), r"[^/.][^/]*(\.[a-z0-9]{1,12})$", 1)
+    return F.concat(F.lit("files/"), F.lpad(number.cast("string"), 6, "0"), F.coalesce(F.nullif(suffix, F.lit("")), F.lit(".bin")))
+
+
+def stays_inside(path: Column) -> Column:
+    """Whether a relative path stays below its root: at no point more parts up than down."""
+    lowest = F.aggregate(F.split(path, "/+"), F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), _walk, lambda a: a["low"])
+    return ~F.startswith(path, F.lit("/")) & (lowest >= 0)
+
+
+def _walk(a: Column, x: Column) -> Column:
+    at = a["d"] + F.when(x == "..", -1).when(x.isin("", "."), 0).otherwise(1)
+    return F.struct(at.alias("d"), F.least(a["low"], at).alias("low"))
+
+
+def fenced_json(text: Column) -> Column:
+    """What the first code fence holds, else the whole text, trimmed."""
+    inner = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    return F.trim(first_text(inner, text))
+
+
 def formulas(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\$\$[\s\S]+?\$\$|\$[^$\n]+?\$)"), 1)
 

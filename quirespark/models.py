@@ -1,74 +1,133 @@
 """Stages that call a language model, behind one small protocol; the stub stands in where there is no network.
 
-Every stage has a value for failures and never fails a task: the text as it was, no terms, no verdicts, an empty translation.
+Every stage has a value for failures and never fails a task: the text as it was, no changes, no terms, no verdicts, an empty translation, blocks by rules, a summary that is marked as failed.
+A client that can answer many texts at once has ``ask_many``; it gets a batch at a time.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .functions.arrow import json_in, plain_measurements
-
+from .operators import blocks as B
+from .operators import chat as C
 
 FAILED = "\0failed"
+HEADING = re.compile(r"#{1,6}\s")
 
 
 class Client(Protocol):
-    def ask(self, task: str, text: str) -> str: ...
+    def ask(self, task: str, text: str, hint: str = "") -> str: ...
 
 
 class Stub:
     """Answers by rules: text comes back as it is; lists are empty."""
 
-    def ask(self, task: str, text: str) -> str:
+    def ask(self, task: str, text: str, hint: str = "") -> str:
         return text if task in ("clean", "translate", "title", "summarise") else "[]" if task in ("headings", "terms", "verify") else "{}"
 
 
-def _answers(rows: DataFrame, key: list[str], text: str, out: str, make) -> DataFrame:
+def tried(client: Client, task: str, text: str, otherwise: str, hint: str = "", attempts: int = 3) -> str:
+    for _ in range(attempts):
+        try:
+            return client.ask(task, text, hint) if hint else client.ask(task, text)
+        except Exception:  # noqa: BLE001 - a model's failure has a defined value
+            continue
+    return otherwise
+
+
+def answers(client: Client, task: str, asked: list[tuple[str, str]], attempts: int = 3) -> list[str]:
+    """The answers to (text, hint), FAILED where there is none: all at once if the client can and does, else one by one."""
+    if asked and hasattr(client, "ask_many"):
+        try:
+            found = list(client.ask_many(task, asked))
+            if len(found) == len(asked):
+                return found
+        except Exception:  # noqa: BLE001
+            pass
+    return [tried(client, task, text, FAILED, hint, attempts) for text, hint in asked]
+
+
+def _stage(rows: DataFrame, key: list[str], columns: list[str], out: str, client: Client, task: str, finish: Callable[[str, str], str | None], ask: Callable[[str], str | None] = lambda t: t) -> DataFrame:
+    """key and a column ``out`` made by ``finish`` from the text and its answer. columns: the text, and what goes along as a hint. A text that ``ask`` gives None for isn't asked about."""
     kinds = dict(rows.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[key].assign(**{out: [make(t or "") for t in frame[text]]})
+            texts = [t or "" for t in frame[columns[0]]]
+            hints = ["\n".join(filter(None, h)) for h in zip(*(frame[c] for c in columns[1:]))] if columns[1:] else [""] * len(texts)
+            asked = [(i, (ask(t), h)) for i, (t, h) in enumerate(zip(texts, hints)) if ask(t) is not None]
+            found = dict(zip((i for i, _ in asked), answers(client, task, [a for _, a in asked])))
+            yield frame[key].assign(**{out: pd.Series([finish(t, found.get(i, FAILED)) for i, t in enumerate(texts)], dtype="object", index=frame.index)})
 
-    return rows.select(*key, text).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + f", {out} string")
+    return rows.select(*key, *columns).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + f", {out} string")
 
 
-def tried(client: Client, task: str, text: str, otherwise: str, attempts: int = 3) -> str:
-    for _ in range(attempts):
-        try:
-            return client.ask(task, text)
-        except Exception:  # noqa: BLE001 - a model's failure has a defined value
-            continue
-    return otherwise
+def _listed(answer: str) -> list:
+    return [] if answer == FAILED else json.loads(json_in(answer, True))
 
 
 def clean(chunks: DataFrame, key: list[str], client: Client, text: str = "text") -> DataFrame:
     """Cleaned chunks with measurements as plain text; a failure leaves the chunk."""
-    return _answers(chunks, key, text, "cleaned", lambda t: plain_measurements(tried(client, "clean", t, t)))
+    return _stage(chunks, key, [text], "cleaned", client, "clean", lambda t, a: plain_measurements(t if a == FAILED else a))
+
+
+def translate(passages: DataFrame, key: list[str], client: Client, text: str = "text", hints: tuple[str, ...] = ()) -> DataFrame:
+    """Translations; an empty answer gives the source text, a failure nothing. hints: columns with the glossary and the context of a passage."""
+    return _stage(passages, key, [text, *hints], "translation", client, "translate", lambda t, a: "" if a == FAILED else a or t)
 
 
-def translate(passages: DataFrame, key: list[str], client: Client, text: str = "text") -> DataFrame:
-    """Translations; an empty answer gives the source text, a failure nothing."""
-    return _answers(passages, key, text, "translation", lambda t: ("" if (found := tried(client, "translate", t, FAILED)) == FAILED else found or t))
+def titles(papers: DataFrame, key: list[str], client: Client, title: str = "title", hints: tuple[str, ...] = ()) -> DataFrame:
+    """Translated titles, trimmed; nothing for blank titles and failures."""
+    return _stage(papers, key, [title, *hints], "title_zh", client, "title", lambda t, a: "" if a == FAILED else a.strip(), lambda t: t if t.strip() else None)
 
 
 def terms(chunks: DataFrame, key: list[str], client: Client, text: str = "text", least: int = 150, most: int = 3000) -> DataFrame:
     """JSON lists of {en, zh} for chunks long enough."""
 
-    def make(t: str) -> str:
-        if len(t) < least:
-            return "[]"
-        found = json.loads(json_in(tried(client, "terms", t[:most], "[]"), True))
-        return json.dumps([x for x in found if isinstance(x, dict) and x.get("en") and x.get("zh")], ensure_ascii=False)
+    def finish(t: str, answer: str) -> str:
+        return json.dumps([x for x in _listed(answer) if isinstance(x, dict) and x.get("en") and x.get("zh")], ensure_ascii=False)
 
-    return _answers(chunks, key, text, "terms", make)
+    return _stage(chunks, key, [text], "terms", client, "terms", finish, lambda t: t[:most] if len(t) >= least else None)
 
 
 def verdicts(paragraphs: DataFrame, key: list[str], client: Client, text: str = "text") -> DataFrame:
-    return _answers(paragraphs, key, text, "verdict", lambda t: json_in(tried(client, "verify", t[:300], "[]"), True))
+    return _stage(paragraphs, key, [text], "verdict", client, "verify", lambda t, a: "[]" if a == FAILED else json_in(a, True), lambda t: t[:300])
+
+
+def repaired_headings(docs: DataFrame, key: str, client: Client, text: str = "text", title: str = "title") -> DataFrame:
+    """Documents with heading lines as the client wants them: it gets them all and the title, and answers with a list of {old line: new line}; '' deletes a line, a failure changes nothing."""
+
+    def finish(t: str, answer: str) -> str:
+        return json.dumps([{o: n} for x in _listed(answer) if isinstance(x, dict) for o, n in x.items() if isinstance(n, str)], ensure_ascii=False)
+
+    asked = _stage(docs, [key], [text, title], "changes", client, "headings", finish, lambda t: "\n".join(x for x in t.splitlines() if HEADING.match(x)) or None)
+    each = asked.select(key, F.posexplode(F.from_json("changes", "array<map<string,string>>")).alias("pos", "m")).select(key, "pos", F.explode("m").alias("old", "new"))
+    return B.replaced_lines(docs, key, each, text)
+
+
+def structured(chunks: DataFrame, key: str, client: Client, text: str = "text") -> DataFrame:
+    """key, idx, type, level and text of the blocks of chunks as the client types them ([{type, level, text}]); by rules where it fails or answers with nothing of use."""
+
+    def finish(t: str, answer: str) -> str | None:
+        found = [x for x in _listed(answer) if isinstance(x, dict) and x.get("type") in ("heading", "paragraph", "image", "reference") and isinstance(x.get("text"), str)]
+        return json.dumps(found, ensure_ascii=False) if found else None
+
+    typed = _stage(chunks, [key], [text], "blocks", client, "structure", finish)
+    own = typed.select(key, F.posexplode(F.from_json("blocks", "array<struct<type:string,level:int,text:string>>")).alias("idx", "b")).select(key, "idx", "b.type", F.coalesce("b.level", F.lit(0)).alias("level"), "b.text")
+    rest = chunks.join(typed.filter("blocks is null").select(key), key, "left_semi")
+    return own.unionByName(B.classified(rest, key, text).select(key, "idx", "type", "level", "text"))
+
+
+def summaries(messages: DataFrame, key: str, client: Client) -> DataFrame:
+    """key, summary and failed of sessions with old messages of user or assistant; a failure has no summary and counts against the session's compression."""
+    spoken = C.to_summarise(messages, key, roles=("user", "assistant"))
+    made = _stage(spoken, [key], ["text"], "summary", client, "summarise", lambda t, a: None if a == FAILED else a)
+    return made.select(key, "summary", F.col("summary").isNull().alias("failed"))

@@ -26,7 +26,8 @@ def totals(messages: DataFrame, key: str) -> DataFrame:
 
 
 #: The labels of a tool result's index.
-CUT, FOUND, CHAPTERS, BEST, PAPERS, ROWS, LISTED, CHAPTER, PARAGRAPHS, CONTEXT, TARGET, NOTES = "[已压缩]", "找到", "章节", "最高分block", "涉及论文", "结果数", "论文列表", "章节", "段落数", "上下文段落数", "目标block", "批注数"
+CUT, FOUND, CHAPTERS, BEST, PAPERS, ROWS, LISTED, CHAPTER, PARAGRAPHS, CONTEXT, TARGET, NOTES, GIST = "[已压缩]", "找到", "章节", "最高分block", "涉及论文", "结果数", "论文列表", "章节", "段落数", "上下文段落数", "目标block", "批注数", "摘要"
+SUMMARY = "[对话历史摘要]"
 MATCHES, FOUND_PAPERS = "处匹配", "篇论文"
 
 
@@ -42,7 +43,8 @@ def index_of(content: Column) -> Column:
     papers = F.to_json(F.struct(mark, F.concat(n("results"), F.lit(FOUND_PAPERS)).alias(FOUND), distinct("$.results[*].title").alias(LISTED)))
     section = F.to_json(F.struct(mark, T.first_text(F.get_json_object(content, "$.section_heading_zh"), F.get_json_object(content, "$.section_heading")).alias(CHAPTER), F.get_json_object(content, "$.paragraph_count").alias(PARAGRAPHS), F.get_json_object(content, "$.has_more").alias("has_more")))
     context = F.to_json(F.struct(mark, n("context").alias(CONTEXT), F.get_json_object(content, "$.target_block_idx").alias(TARGET)))
-    notes = F.to_json(F.struct(mark, n("annotations").alias(NOTES)))
+    contents = F.transform(F.slice(F.from_json(F.get_json_object(content, "$.annotations"), "array<struct<content:string>>"), 1, 3), lambda x: F.substring(T.first_text(x["content"]), 1, 40))
+    notes = F.to_json(F.struct(mark, n("annotations").alias(NOTES), contents.alias(GIST)))
     shaped = F.when(has("matches"), matches).when(has("results") & has("keyword"), across).when(has("results") & has("count"), counted).when(has("results"), papers).when(has("content_zh"), section).when(has("context"), context).when(has("annotations"), notes)
     return F.coalesce(shaped, F.concat(F.substring(content, 1, 150), F.lit(f"…{CUT}")))
 
@@ -99,9 +101,11 @@ def levels(messages: DataFrame, sessions: DataFrame, key: str) -> DataFrame:
     return n.select(key, level.alias("level"))
 
 
-def to_summarise(messages: DataFrame, key: str, each: int = 400) -> DataFrame:
-    """key and text: what a summary is made of, so many characters of each old message."""
+def to_summarise(messages: DataFrame, key: str, each: int = 400, roles: tuple[str, ...] | None = None) -> DataFrame:
+    """key and text: what a summary is made of, so many characters of each old message; with ``roles`` of theirs alone, without blank ones."""
     old = with_recent(messages, key).filter("not recent")
+    if roles:
+        old = old.filter(F.col("role").isin(*roles) & (T.first_text("content") != ""))
     line = F.concat("role", F.lit(": "), F.substring(T.first_text("content"), 1, each))
     return old.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda s: s["line"]), "\n").alias("text"))
 
@@ -130,3 +134,20 @@ def cited_references(texts: DataFrame, references: DataFrame, key: str, text: st
     """key, number and reference of every mark [n] in a text that a reference (key, pos, reference) answers."""
     marks = texts.select(key, F.explode(T.citation_numbers(F.col(text))).alias("number")).distinct()
     return marks.join(references.withColumn("number", F.col("pos") + 1), [key, "number"]).select(key, "number", "reference")
+
+
+def broken(calls: DataFrame, key: str, tool: str = "query_database", failures: int = FAILURES) -> DataFrame:
+    """key and turn of the call with which a tool is taken away: the first that ends ``failures`` failures of it in a row. calls: key, turn, tool, and failed."""
+    own = W.partitionBy(key).orderBy("turn")
+    counted = calls.filter(F.col("tool") == tool).withColumn("__good", F.count_if(~F.col("failed")).over(own))
+    in_row = F.count_if(F.col("failed")).over(W.partitionBy(key, "__good").orderBy("turn"))
+    return counted.withColumn("__n", in_row).filter((F.col("__n") >= failures) & F.col("failed")).groupBy(key).agg(F.min("turn").alias("turn"))
+
+
+def with_summary(messages: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
+    """Recent messages of sessions that have a summary (key, summary), after one system message that holds it; other sessions as they are."""
+    own = with_recent(messages, key).join(summaries.select(key, "summary"), key, "left")
+    kept = own.filter(F.col("summary").isNull() | F.col("recent")).select(*messages.columns)
+    told = own.filter("summary is not null and not recent").groupBy(key).agg(F.min("turn").alias("turn"), F.first("summary").alias("summary"))
+    mark = told.select(key, "turn", F.lit("system").alias("role"), F.concat(F.lit(SUMMARY), F.lit("\n"), "summary").alias("content"))
+    return kept.unionByName(mark, allowMissingColumns=True).select(*messages.columns)

@@ -21,7 +21,33 @@ def library_filter(papers: DataFrame, query: str = "", year: int | None = None,
 
 
 def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
-    return rows.orderBy(*order).offset((number - 1) * size).limit(min(size, 100))
+    """The ``number``-th page, from 1, of at most 100 rows each."""
+    size = min(size, 100)
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def of_domain(terms: DataFrame, domain: str | None = None) -> DataFrame:
+    """Terms of a domain; without one, all of them."""
+    return terms.filter(F.col("domain") == domain) if domain else terms
+
+
+def top_level(jobs: DataFrame) -> DataFrame:
+    """Jobs that are no chapter of another."""
+    return jobs.filter("parent_job_id is null")
+
+
+def with_papers(results: DataFrame, papers: DataFrame) -> DataFrame:
+    """All results, not only the latest, with title and year of their papers; results without a paper go."""
+    return results.join(papers.select(F.col("id").alias("paper_id"), "title", "year"), "paper_id")
+
+
+def chapters_with_state(papers: DataFrame, jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """Chapters with their first job (by id) and latest result, where they have them; without a job a chapter is pending."""
+    own = papers.filter("document_role = 'long_chapter'").select("parent_paper_id", F.col("id").alias("paper_id"), "chapter_index", "chapter_title")
+    job = first_of(jobs.select("paper_id", F.col("id").alias("job_id"), "status", "progress", "current_stage"), ["paper_id"], "job_id")
+    newest = latest(results.select("paper_id", F.col("id").alias("result_id"), "created_at"), "paper_id", "created_at", "result_id").select("paper_id", "result_id")
+    found = own.join(job, "paper_id", "left").join(newest, "paper_id", "left")
+    return found.withColumns({"status": F.coalesce("status", F.lit("pending")), "progress": F.coalesce("progress", F.lit(0)), "current_stage": T.first_text("current_stage")})
 
 
 def in_folder(papers: DataFrame, mapping: DataFrame, folder_id: int, key: str = "id") -> DataFrame:
@@ -38,14 +64,13 @@ def folder_counts(folders: DataFrame, mapping: DataFrame) -> DataFrame:
     return folders.join(n, folders.id == n.folder_id, "left").select("id", "name", "parent_id", F.coalesce("paper_count", F.lit(0)).alias("paper_count")).orderBy(F.asc_nulls_first("parent_id"), "name")
 
 
-def subtree(folders: DataFrame, root: int, depth: int = 3) -> DataFrame:
-    """id and depth of a folder and all below it; ``depth`` bounds the levels, as the library does."""
-    level = folders.filter(F.col("id") == root).select("id", F.lit(1).alias("depth"))
-    found = level
-    for d in range(2, depth + 1):
-        level = folders.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id", F.lit(d).alias("depth"))
-        found = found.unionByName(level)
-    return found
+def subtree(folders: DataFrame, root: int) -> DataFrame:
+    """id and depth (from 1) of a folder and all below it, however deep: a recursive query."""
+    sql = """with recursive tree(id, depth) as (
+        select id, 1 from {folders} where id = {root}
+        union all select f.id, t.depth + 1 from {folders} f join tree t on f.parent_id = t.id)
+        select id, depth from tree"""
+    return folders.sparkSession.sql(sql, folders=folders.select("id", "parent_id"), root=root)
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -58,6 +83,25 @@ def first_of(rows: DataFrame, keys: list[str | Column], *order: str) -> DataFram
     return rows.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__k = 1").drop("__k")
 
 
+def distinct_terms(terms: DataFrame, term: str, *order: str) -> DataFrame:
+    """Of terms that are equal without case, the first."""
+    return first_of(terms, [F.lower(term)], *order)
+
+
+def uploads(files: DataFrame, *order: str) -> DataFrame:
+    """The PDF files of a list, those of one name and size once."""
+    return first_of(files.filter(F.endswith(F.lower("name"), F.lit(".pdf"))), ["name", "size"], *order)
+
+
+def term_hint(terms: DataFrame, k: int = 120) -> DataFrame:
+    """The first k terms in the order of terms, as a hint of the glossary."""
+    return terms.orderBy("en").limit(k)
+
+
+def recent_sessions(sessions: DataFrame, k: int = 50) -> DataFrame:
+    return sessions.orderBy(F.desc("updated_at"), F.desc("id")).limit(k)
+
+
 def catalog_lines(papers: DataFrame, k: int = 50) -> DataFrame:
     """id and line: title, translated title if another, and what is known of domain, year and journal."""
     known = F.concat_ws(", ", F.nullif("domain", F.lit("")), F.col("year").cast("string"), F.nullif("journal", F.lit("")))
@@ -103,6 +147,11 @@ def delete_jobs(jobs: DataFrame, results: DataFrame, ids: DataFrame) -> tuple[Da
     return without(jobs, gone, "id"), without(results, gone, "job_id", "id")
 
 
+def delete_by_status(jobs: DataFrame, results: DataFrame, statuses: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Jobs and results without the top-level jobs in these states and their children."""
+    return delete_jobs(jobs, results, top_level(jobs).filter(F.col("status").isin(statuses)).select("id"))
+
+
 def delete_folder(folders: DataFrame, mapping: DataFrame, papers: DataFrame, root: int, physical: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Folders and mappings without a subtree; its papers stay unclassified, or go too."""
     gone = subtree(folders, root).select("id")
@@ -116,10 +165,26 @@ def move_papers(mapping: DataFrame, ids: DataFrame, folder_id: int | None) -> Da
     return kept if folder_id is None else kept.unionByName(ids.select("paper_id").distinct().withColumn("folder_id", F.lit(folder_id).cast(mapping.schema["folder_id"].dataType)))
 
 
-def restart_failed(jobs: DataFrame) -> DataFrame:
-    failed = F.col("status") == "failed"
-    fresh = {"status": F.lit("pending"), "progress": F.lit(0), "current_stage": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string")}
-    return jobs.withColumns({c: F.when(failed, v).otherwise(F.col(c)) for c, v in fresh.items() if c in jobs.columns})
+def restart_failed(jobs: DataFrame, results: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Jobs and results after the jobs in ``ids`` are started anew: failed ones are pending again and lose their result.
+
+    Of a parent only the failed children start, and the parent is pending; a parent without failed children stays. The parent of a child that
+    starts is pending too, at 99 percent at most, and keeps its result.
+    """
+    asked = ids.select("id").distinct()
+    failed = jobs.filter("status = 'failed'").select("id", "parent_job_id")
+    parents = jobs.filter("parent_job_id is not null").select(F.col("parent_job_id").alias("id")).distinct()
+    children = failed.join(asked.select(F.col("id").alias("parent_job_id")), "parent_job_id", "left_semi").select("id", "parent_job_id")
+    alone = failed.join(asked, "id", "left_semi").join(parents, "id", "left_anti").select("id", "parent_job_id")
+    again = children.select(F.col("parent_job_id").alias("id")).distinct().withColumn("__as", F.lit("parent"))
+    above = alone.filter("parent_job_id is not null").select(F.col("parent_job_id").alias("id")).distinct().join(again, "id", "left_anti").withColumn("__as", F.lit("above"))
+    own = children.select("id").union(alone.select("id")).distinct().withColumn("__as", F.lit("own"))
+    marked = jobs.join(own.unionByName(again).unionByName(above), "id", "left")
+    started = F.col("__as").isNotNull()
+    fresh = {"status": F.lit("pending"), "progress": F.when(F.col("__as") == "above", F.least(F.coalesce("progress", F.lit(0)), F.lit(99))).otherwise(0) if "progress" in jobs.columns else None, "current_stage": F.lit(None).cast("string"), "error_message": F.lit(None).cast("string"), "pending_terms": F.when(F.col("__as") != "own", F.col("pending_terms")) if "pending_terms" in jobs.columns else None, "completed_at": F.lit(None)}
+    reset = marked.withColumns({c: F.when(started, v).otherwise(F.col(c)).cast(jobs.schema[c].dataType) for c, v in fresh.items() if c in jobs.columns})
+    dropped = own.unionByName(again).select("id")
+    return reset.select(*jobs.columns), without(results, dropped, "job_id", "id")
 
 
 # --- single papers and their parts ---------------------------------------------------------------------------------------
@@ -155,6 +220,16 @@ def changed_row(rows: DataFrame, key: str, value, **columns) -> DataFrame:
     return rows.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in columns.items()})
 
 
+def added_row(rows: DataFrame, **columns) -> DataFrame:
+    """The table with one row more; columns that aren't given are null."""
+    new = rows.sparkSession.range(1).select(*[F.lit(columns.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    return rows.unionByName(new)
+
+
+def without_row(rows: DataFrame, key: str, value) -> DataFrame:
+    return rows.filter(~F.col(key).eqNullSafe(F.lit(value)))
+
+
 def image_work(images: DataFrame, key: str, translations: str = "translations") -> DataFrame:
     """key, text and new text of image texts to replace: not those that are never translated, nor those that stay as they are."""
     each = images.select(key, F.explode(translations).alias("text", "t"))

@@ -27,10 +27,20 @@ def range_errors(ranges: DataFrame, key: str, pages: str = "page_count") -> Data
     return ranges.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
+def gaps(ranges: DataFrame, documents: DataFrame, key: str, pages: str = "page_count") -> DataFrame:
+    """key, first and last of the stretches of pages that no range covers: before each range from the greatest end so far, and after the last; a document counts as a range past its end."""
+    ends = documents.filter(F.col(pages) >= 1).select(key, (F.col(pages) + 1).alias("start_page"), F.col(pages).alias("end_page"), F.col(pages).alias("__n"))
+    rows = ranges.filter("start_page <= end_page").select(key, "start_page", "end_page", F.lit(None).cast(documents.schema[pages].dataType).alias("__n")).unionByName(ends)
+    whole = W.partitionBy(key)
+    before = whole.orderBy("start_page", "end_page").rowsBetween(W.unboundedPreceding, -1)
+    first = F.greatest(F.coalesce(F.max("end_page").over(before), F.lit(0)) + 1, F.lit(1))
+    last = F.least(F.col("start_page") - 1, F.max("__n").over(whole))
+    return rows.select(key, first.alias("first"), last.alias("last")).filter("first <= last")
+
+
 def uncovered(ranges: DataFrame, documents: DataFrame, key: str, pages: str = "page_count") -> DataFrame:
-    """key and page of pages that no range covers."""
-    covered = ranges.filter("start_page <= end_page").select(key, F.explode(F.sequence("start_page", "end_page")).alias("page")).distinct()
-    return documents.filter(F.col(pages) >= 1).select(key, F.explode(F.sequence(F.lit(1), F.col(pages))).alias("page")).join(covered, [key, "page"], "left_anti")
+    """key and page of pages that no range covers; only gaps become rows."""
+    return gaps(ranges, documents, key, pages).select(key, F.explode(F.sequence("first", "last")).alias("page"))
 
 
 def titled(ranges: DataFrame, key: str) -> DataFrame:

@@ -145,13 +145,25 @@ def memory(blocks: DataFrame, docs: DataFrame, key: str, most: int = 120) -> Dat
     return whole
 
 
-def passage_context(blocks: DataFrame, key: str, window: int = 1) -> DataFrame:
+def passage_context(blocks: DataFrame, key: str, window: int = 1, docs: DataFrame | None = None, most: int = 12) -> DataFrame:
     """key, idx, section path, gist, previous and next text (clipped) of every text block, for its translation.
 
-    A block's section is that of the last heading at or before it; section rows join on equal keys.
+    A block's section is that of the last heading at or before it; section rows join on equal keys. With ``docs`` (whose texts the blocks are) also acronyms (with definition), symbols and
+    phrases of the document that the block holds, ``most`` of each in the document's order.
     """
     start = F.last(F.when(F.col("level") >= 1, F.col("idx")), ignorenulls=True).over(W.partitionBy(key).orderBy("idx"))
     order = W.partitionBy(key).orderBy("idx")
     rows = blocks.withColumn("start_index", start).withColumn("previous", T.clip(F.lag("text", window).over(order), 280)).withColumn("next", T.clip(F.lead("text", window).over(order), 280))
     known = sections(blocks, key).select(key, "start_index", "path", F.col("summary").alias("gist"))
-    return rows.join(known, [key, "start_index"], "left").select(key, "idx", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("gist", F.lit("")).alias("gist"), "previous", "next")
+    found = rows.join(known, [key, "start_index"], "left")
+    told = [key, "idx", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("gist", F.lit("")).alias("gist"), "previous", "next"]
+    if docs is None:
+        return found.select(*told)
+    low = F.lower(T.first_text("text"))
+    held = lambda c, name, shown: F.transform(F.slice(F.filter(F.coalesce(F.col(c), F.array().cast("array<struct<name:string,shown:string>>")), lambda x: F.contains(low, F.lower(name(x)))), 1, most), shown)
+    listed = lambda rows, order, name, shown: rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, name.alias("name"), shown.alias("shown")))), lambda x: F.struct(x["name"].alias("name"), x["shown"].alias("shown"))).alias("l"))
+    parts = {"acronyms": listed(acronyms(docs, key), [], F.col("abbr"), F.concat("abbr", F.lit(" = "), "definition")), "symbols": listed(symbols(docs, key), [F.length("symbol")], F.col("symbol"), F.col("symbol")), "phrases": listed(phrases(docs, key), [(-F.col("n")).alias("rank")], F.col("phrase"), F.col("phrase"))}
+    for name, part in parts.items():
+        found = found.join(part.withColumnRenamed("l", name), key, "left")
+    bare = {"symbols": lambda x: F.regexp_replace(x["name"], r"^\$+|\$+$", "")}
+    return found.select(*told, *[held(c, bare.get(c, lambda x: x["name"]), lambda x: x["shown"]).alias(c) for c in parts])

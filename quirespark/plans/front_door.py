@@ -36,12 +36,14 @@ def query(spark: SparkSession, statement: str, rows: int = ROWS) -> DataFrame:
 
 
 class Operations(dict[str, Callable[..., DataFrame]]):
-    """Named operations; an unknown name or a failing call gives an error as data."""
+    """Named operations. An unknown name, wrong arguments, or a call that fails while it is planned or run gives the error as data."""
 
-    def call(self, spark: SparkSession, name: str, **arguments) -> DataFrame:
+    def call(self, spark: SparkSession, name: str, most: int = 1000, **arguments) -> DataFrame:
+        """The operation's first rows, as many as an answer may hold: they are fetched here, so that what goes wrong in them is caught."""
         if name not in self:
             return spark.createDataFrame([(f"unknown operation: {name}",)], "error string")
         try:
-            return self[name](**arguments)
+            found = self[name](**arguments)
+            return spark.createDataFrame(found.limit(most).collect(), found.schema)
         except Exception as e:  # noqa: BLE001 - errors are data here
             return spark.createDataFrame([(str(e)[:500],)], "error string")

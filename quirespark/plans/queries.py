@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schema
+from .. import models, schema
 from ..functions import arrow as A
 from ..functions import text as T
 from ..operators import blocks as B
@@ -20,7 +21,7 @@ from ..operators import search as S
 from ..sources import files as X
 from ..streaming import feed as P
 from . import bindings as I
-from . import front_door
+from . import front_door, operations
 from .bindings import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,12 +247,12 @@ def reference_verdicts(spark, sf):
 
 
 @query("""select p_partkey, p_name, p_size, (select count(*) from part where p_partkey % 10 <> 0 and contains(lower(p_name), 'e') and p_size = 7) as total
-from part where p_partkey % 10 <> 0 and contains(lower(p_name), 'e') and p_size = 7 order by p_retailprice desc, p_partkey limit 20 offset 2""")
+from part where p_partkey % 10 <> 0 and contains(lower(p_name), 'e') and p_size = 7 order by p_retailprice desc, p_partkey limit 20 offset 20""")
 def library_search_paged(spark, sf):
     papers = table(spark, sf, "part").select("*", F.col("p_name").alias("title"), F.lit(None).cast("string").alias("title_zh"), F.col("p_size").alias("year"), F.when(F.col("p_partkey") % 10 == 0, "long_chapter").otherwise("normal").alias("document_role"))
     found = L.library_filter(papers, "E", year=7)
     total = found.select(F.count("*")).scalar()
-    return found.orderBy(F.desc("p_retailprice"), "p_partkey").offset(2).limit(20).select("p_partkey", "p_name", "p_size", total.alias("total"))
+    return L.page(found, 2, 20, F.desc("p_retailprice"), F.col("p_partkey")).select("p_partkey", "p_name", "p_size", total.alias("total"))
 
 
 @query(f"""with {I.FOLDERS}, {I.MAPPING} select f.id, f.name, f.parent_id, count(m.paper_id) as paper_count from folders f left join mapping m on m.folder_id = f.id group by all""")
@@ -324,9 +325,42 @@ def move_papers(spark, sf):
     return L.move_papers(I.mapping(spark, sf), ids, 3)
 
 
-@query(f"""with {I.JOBS} select parent_job_id, chapter_index, case when status = 'failed' then 'pending' else status end as status, case when status = 'failed' then 0 else progress end as progress from jobs""")
+STARTED = """jobs as (select 'o' || o_orderkey as id, null as parent, case when o_orderkey % 5 = 0 then 'failed' else 'completed' end as status, 100 as progress from orders
+  union all select 'l' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 'o' || l_orderkey, case when l_returnflag = 'R' then 'failed' else 'completed' end, l_quantity::int from lineitem),
+asked as (select id from jobs where (id[1] = 'o' and hash_of(id) % 3 = 0) or (id[1] = 'l' and hash_of(id) % 7 = 0))"""
+
+
+def _started(spark, sf):
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    jobs = o.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.lit(None).cast("string").alias("parent_job_id"), F.when(F.col("o_orderkey") % 5 == 0, "failed").otherwise("completed").alias("status"), F.lit(100).alias("progress"))
+    return jobs.unionByName(li.select(F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("id"), F.concat(F.lit("o"), "l_orderkey").alias("parent_job_id"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("completed").alias("status"), F.col("l_quantity").cast("int").alias("progress")))
+
+
+NUMBER_OF = "regexp_replace(id, '[^0-9]', '', 'g')::hugeint"
+
+
+@query(f"""with {STARTED.replace("hash_of(id)", NUMBER_OF)}, again as (select c.id, c.parent from jobs c join asked a on a.id = c.parent where c.status = 'failed'),
+alone as (select j.id, j.parent from jobs j join asked a on a.id = j.id where j.status = 'failed' and j.id not in (select parent from jobs where parent is not null)),
+own as (select id from again union select id from alone), up as (select distinct parent as id from again), above as (select distinct parent as id from alone where parent is not null and parent not in (select id from up))
+select j.id, case when j.id in (select id from own union select id from up union select id from above) then 'pending' else status end as status,
+  case when j.id in (select id from own union select id from up) then 0 when j.id in (select id from above) then least(progress, 99) else progress end as progress,
+  not (j.id in (select id from own union select id from up)) as has_result from jobs j""")
 def restart_failed(spark, sf):
-    return L.restart_failed(I.jobs(spark, sf))
+    jobs = _started(spark, sf)
+    number = F.regexp_replace("id", "[^0-9]", "").cast("decimal(38,0)")
+    ids = jobs.filter(((F.col("id").startswith("o")) & (number % 3 == 0)) | ((F.col("id").startswith("l")) & (number % 7 == 0)))
+    after, results = L.restart_failed(jobs, jobs.select(F.col("id").alias("job_id")), ids)
+    return after.join(results.select(F.col("job_id").alias("id"), F.lit(True).alias("r")), "id", "left").select("id", "status", "progress", F.col("r").isNotNull().alias("has_result"))
+
+
+@query("""with gone as (select o_orderkey from orders where o_orderstatus in ('P', 'O')) select (select count(*) from orders where o_orderkey not in (select * from gone)) + (select count(*) from lineitem where l_orderkey not in (select * from gone)) as jobs,
+(select count(*) from lineitem where l_orderkey not in (select * from gone)) as results""")
+def delete_by_status(spark, sf):
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    parents = o.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.lit(None).cast("string").alias("parent_job_id"), F.col("o_orderstatus").alias("status"))
+    children = li.select(F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber").alias("id"), F.concat(F.lit("o"), "l_orderkey").alias("parent_job_id"), F.lit("P").alias("status"))
+    jobs, results = L.delete_by_status(parents.unionByName(children), children.select(F.col("id").alias("job_id")), ["P", "O"])
+    return jobs.agg(F.count("*").alias("jobs")).select("jobs", results.select(F.count("*")).scalar().alias("results"))
 
 
 @query(f"""with recursive {I.FOLDERS}, {I.MAPPING}, tree as (select id from folders where id = 1001 union all select f.id from folders f join tree t on f.parent_id = t.id)
@@ -369,11 +403,11 @@ def document_projections(spark, sf):
     return table(spark, sf, "documents").select("doc_id", bare.alias("bare"), T.language(F.col("lang")).alias("lang"), F.array_join(T.author_list(F.concat("source", F.lit(", "), "lang", F.lit("；、 "))), "|").alias("authors"))
 
 
-@query("""select doc_id, array_to_string(list_transform(flatten(list_transform(regexp_extract_all('x [' || doc_id || ',2] y [' || (doc_id % 7) || ']', '\\[(\\d+(?:,\\s*\\d+)*)\\]', 1), lambda m: string_split_regex(m, ',\\s*'))), lambda n: n::int::varchar), '|') as numbers,
+@query("""select doc_id, array_to_string(list_transform(flatten(list_transform(regexp_extract_all('x [' || doc_id || ',2] y [' || (doc_id % 7) || ']', '\\[(\\d+(?:,\\s*\\d+)*)\\]', 1), lambda m: string_split_regex(m, ',\\s*'))), lambda n: n::int::varchar), '|') as numbers, 'x [' || doc_id || '][2][3] y' as separate,
 array_to_string(regexp_extract_all(text, '(\\$\\$[\\s\\S]+?\\$\\$|\\$[^$\\n]+?\\$)', 1), '|') as formulas from documents""")
 def citation_tags(spark, sf):
     marks = T.citation_numbers(F.concat(F.lit("x ["), "doc_id", F.lit(",2] y ["), F.col("doc_id") % 7, F.lit("]")))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(marks.cast("array<string>"), "|").alias("numbers"), F.array_join(T.formulas(F.col("text")), "|").alias("formulas"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(marks.cast("array<string>"), "|").alias("numbers"), T.separate_citations(F.concat(F.lit("x ["), "doc_id", F.lit(", 2] , [3] y"))).alias("separate"), F.array_join(T.formulas(F.col("text")), "|").alias("formulas"))
 
 
 @query("""select n_nationkey, case when n_regionkey % 2 = 0 then 'SCI' else 'CCF-A|SCI' end as tags from nation""")
@@ -397,11 +431,17 @@ def display_math(spark, sf):
     return docs.select("doc_id", A.display_math("text").alias("text"))
 
 
-@query("""select event_id, props as found from events""")
+@query("""select event_id, case event_id % 4 when 0 then json_extract_string(props, '$.k') when 1 then 'a } b { " c' when 2 then '{}' else '1' end as found,
+case when event_id % 4 = 2 then '{}' else '[' || event_id || ',"]",[2]]' end as listed from events""")
 def json_in_text(spark, sf):
-    raw = F.concat(F.lit("Here {you go: "), "props", F.lit(" } done"))
-    found = table(spark, sf, "events").select("event_id", "props", A.first_json(raw).alias("f"))
-    return found.select("event_id", F.when(F.col("f") == F.col("f"), F.col("props")).alias("found"))
+    """What the parser finds: props after an opener that begins no JSON; braces and quotes inside strings; an object that never ends; one inside another. And arrays."""
+    e = table(spark, sf, "events")
+    case = F.col("event_id") % 4
+    raw = F.when(case == 0, F.concat(F.lit("Here {you go: "), "props", F.lit(" } done"))).when(case == 1, F.lit('so {"k": "a } b { \\" c"} }')).when(case == 2, F.lit('{"k": {"k": 1}, ')).otherwise(F.lit('{x} and {"k": {"j": 1}}'))
+    found = A.first_json(raw)
+    listed = A.first_json(F.when(case != 2, F.concat(F.lit("[no] then ["), "event_id", F.lit(', "]", [2]]'))), array=True)
+    shown = F.when(case == 2, found).when(case == 3, F.get_json_object(found, "$.k.j")).otherwise(F.get_json_object(found, "$.k"))
+    return e.select("event_id", shown.alias("found"), F.when(case == 2, F.lit("{}")).otherwise(F.regexp_replace(listed, ", ", ",")).alias("listed"))
 
 
 @query("""select doc_id, count(*) as n, array_to_string(list(pos || ':' || line order by pos), chr(10)) as refs from (select doc_id, line, min(i - 1) as pos from documents, unnest(string_split(text, chr(10))) with ordinality as t(line, i) where line <> '' group by 1, 2) group by 1""")
@@ -483,7 +523,8 @@ def document_memory(spark, sf):
 
 @query()
 def translation_context(spark, sf):
-    return M.passage_context(I.blocks(spark, sf), "doc_id")
+    rows = M.passage_context(I.blocks(spark, sf), "doc_id", docs=table(spark, sf, "documents"))
+    return rows.select(*[F.to_json(c).alias(c) if c in ("acronyms", "symbols", "phrases") else c for c in rows.columns])
 
 
 # --- merging two copies --------------------------------------------------------------------------------------------------
@@ -772,3 +813,230 @@ def references_in_order(spark, sf):
     made = body.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("paper_id"), F.to_json(F.struct(F.transform("r", lambda x: F.concat(x["idx"], F.lit("#"), x["text"])).alias("参考文献"))).alias("structure_json"))
     found = schema.references(made)
     return found.select(F.col("paper_id").cast("long").alias("doc_id"), F.regexp_extract("text", r"^(\d+)#", 1).cast("int").alias("pos"), F.regexp_replace("text", r"^\d+#", "").alias("text"))
+
+
+# --- jobs, chapters and lists of the library -----------------------------------------------------------------------------
+
+
+@query(f"with {I.TERMS} select item_id, en from terms where item_id % 3 = 1")
+def glossary_of_domain(spark, sf):
+    t = I.terms(spark, sf).withColumn("domain", F.concat(F.lit("d"), F.col("item_id") % 3))
+    return L.of_domain(t, "d1").select("item_id", "en")
+
+
+@query("select 'o' || o_orderkey as id from orders")
+def top_level_jobs(spark, sf):
+    return L.top_level(_started(spark, sf)).select("id")
+
+
+@query("select o_orderkey as id, c_name as title, c_nationkey as year from orders join customer on c_custkey = o_custkey and c_custkey % 3 <> 0")
+def results_with_papers(spark, sf):
+    papers = table(spark, sf, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("year"))
+    results = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("paper_id"))
+    return L.with_papers(results, papers).select("id", "title", "year")
+
+
+@query("""with first as (select l_partkey as paper_id, min(l_orderkey * 10 + l_linenumber) as job_id from lineitem where l_linestatus <> 'F' group by 1),
+newest as (select l_partkey as paper_id, l_orderkey as result_id from lineitem where l_returnflag = 'A' qualify row_number() over (partition by l_partkey order by l_shipdate desc, l_orderkey desc) = 1)
+select p_partkey as paper_id, job_id, result_id, case when job_id is null then 'pending' else 's' || job_id % 3 end as status, coalesce(job_id % 100, 0)::int as progress, coalesce(case when job_id % 2 = 0 then 'stage' end, '') as current_stage
+from part left join first on first.paper_id = p_partkey left join newest on newest.paper_id = p_partkey where p_partkey % 4 <> 0""")
+def chapters_with_state(spark, sf):
+    li = table(spark, sf, "lineitem")
+    n = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    jobs = li.filter("l_linestatus <> 'F'").select(F.col("l_partkey").alias("paper_id"), n.alias("id"), F.concat(F.lit("s"), n % 3).alias("status"), (n % 100).cast("int").alias("progress"), F.when(n % 2 == 0, "stage").alias("current_stage"))
+    results = li.filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("paper_id"), F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("created_at"))
+    papers = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 == 0, "normal").otherwise("long_chapter").alias("document_role"), F.lit(1).alias("parent_paper_id"), F.lit(1).alias("chapter_index"), F.lit("t").alias("chapter_title"))
+    return L.chapters_with_state(papers, jobs, results).select("paper_id", "job_id", "result_id", "status", "progress", "current_stage")
+
+
+@query("""select p_partkey, case when p_partkey % 2 = 0 then p_type else lower(p_type) end as en from part qualify row_number() over (partition by lower(p_type) order by p_partkey) = 1""")
+def distinct_terms(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.lower("p_type")).alias("en"))
+    return L.distinct_terms(p, "en", "p_partkey")
+
+
+@query("""select p_partkey as pos, p_brand || '.pdf' as name from part where p_partkey % 3 <> 0 qualify row_number() over (partition by p_brand, p_partkey % 3 = 1, p_size order by p_partkey) = 1""")
+def upload_list(spark, sf):
+    end = F.when(F.col("p_partkey") % 3 == 0, ".txt").when(F.col("p_partkey") % 3 == 1, ".pdf").otherwise(".PDF")
+    files = table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.concat("p_brand", end).alias("name"), F.col("p_size").alias("size"))
+    return L.uploads(files, "pos").select("pos", F.regexp_replace("name", "PDF$", "pdf").alias("name"))
+
+
+@query(f"with {I.TERMS} select 'term' as kind, en as name from (select en from terms order by en limit 120) union all select 'session', o_orderkey::varchar from (select o_orderkey from orders order by o_orderdate desc, o_orderkey desc limit 50)")
+def capped_lists(spark, sf):
+    sessions = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("updated_at"))
+    hint = L.term_hint(I.terms(spark, sf)).select(F.lit("term").alias("kind"), F.col("en").alias("name"))
+    return hint.unionByName(L.recent_sessions(sessions).select(F.lit("session").alias("kind"), F.col("id").cast("string").alias("name")))
+
+
+@query("select c_custkey as id, c_name as term from customer")
+def strict_insert(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("term"))
+    return G.insert_strict(c.filter("id % 4 <> 0"), c.filter("id % 4 = 0"), ["id"])
+
+
+@query("select r_regionkey, case when r_regionkey = 2 then 'changed' else r_name end as r_name from region where r_regionkey <> 1 union all select 99, 'new'")
+def annotation_changes(spark, sf):
+    r = table(spark, sf, "region").select("r_regionkey", "r_name")
+    return L.without_row(L.changed_row(L.added_row(r, r_regionkey=99, r_name="new"), "r_regionkey", 2, r_name="changed"), "r_regionkey", 1)
+
+
+@query("""select p_partkey || '/x' as path, 'files/' || lpad((row_number() over (order by p_partkey || '/x') - 1)::varchar, 6, '0') || '.bin' as archive_path, p_partkey % 5 = 0 as missing from part where p_partkey % 2 = 0
+union all select 'z' || p_partkey || '.PDF', 'files/' || lpad(((select count(*) from part where p_partkey % 2 = 0) + row_number() over (order by 'z' || p_partkey || '.PDF') - 1)::varchar, 6, '0') || '.pdf', p_partkey % 5 = 0 from part where p_partkey % 2 = 1""")
+def bundle_files(spark, sf):
+    p = table(spark, sf, "part")
+    path = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_partkey", F.lit("/x"))).otherwise(F.concat(F.lit("z"), "p_partkey", F.lit(".PDF")))
+    files = p.select(path.alias("path"), F.col("p_size").alias("size"), F.md5("p_name").alias("sha256"), "p_partkey")
+    return X.bundle_files(files.select("path").unionByName(files.select("path")), files.filter("p_partkey % 5 <> 0")).select("path", "archive_path", "missing")
+
+
+@query("""select item_id, 'a ![x](/u/' || item_id || '.png) b (c) ![](other/none.png) ' || text as text from benchmark""")
+def relinked_images(spark, sf):
+    b = table(spark, sf, "benchmark")
+    docs = b.select("item_id", F.concat(F.lit("a ![x](images/i"), "item_id", F.lit(".png) b (c) ![](other/none.png) "), "text").alias("text"))
+    links = b.select("item_id", F.lit(0).alias("pos"), F.concat(F.lit("papers/9/i"), "item_id", F.lit(".png")).alias("name"), F.concat(F.lit("/u/"), "item_id", F.lit(".png")).alias("url"))
+    return X.relinked_images(docs, links.unionByName(links.withColumn("pos", F.lit(1)).withColumn("url", F.lit("later"))), "item_id").select("item_id", "text")
+
+
+# --- small functions -----------------------------------------------------------------------------------------------------
+
+
+@query("""select o_orderkey, translate(o_totalprice::varchar || '-', '0123456789+-.', '⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻·') as up, translate(o_orderkey::varchar || '+', '0123456789+-', '₀₁₂₃₄₅₆₇₈₉₊₋') as down, case when o_orderkey % 2 = 0 then o_comment else o_comment[:80] end as line,
+case o_orderkey % 3 when 0 then '{"k":' || o_orderkey || '}' when 1 then 'a "b" c' else 'x' || o_orderkey end as bare, case o_orderkey % 3 when 0 then '{"k":' || o_orderkey || '}' when 1 then '"a "b" c"' else chr(39) || 'x' || o_orderkey || chr(39) end as fenced
+from (select o_orderkey, o_totalprice, repeat(o_orderpriority || ' ', 12) as o_comment from orders)""")
+def written_signs(spark, sf):
+    key, case = F.col("o_orderkey"), F.col("o_orderkey") % 3
+    raw = F.when(case == 0, F.concat(F.lit('```json\n{"k":'), key, F.lit("}\n```"))).when(case == 1, F.lit('"a "b" c"')).otherwise(F.concat(F.lit("'x"), key, F.lit("'")))
+    said = F.concat(F.lit("so:\n"), raw, F.lit("\nthat's it"))
+    line = F.repeat(F.concat("o_orderpriority", F.lit(" ")), 12)
+    level = F.when(key % 2 == 0, "ERROR").otherwise("INFO")
+    return table(spark, sf, "orders").select("o_orderkey", T.superscript(F.concat(F.col("o_totalprice").cast("string"), F.lit("-"))).alias("up"), T.subscript(F.concat(key.cast("string"), F.lit("+"))).alias("down"), T.capped(line, level).alias("line"), T.without_fence(raw).alias("bare"), F.when(case == 0, T.fenced_json(said)).otherwise(T.fenced_json(raw)).alias("fenced"))
+
+
+@query("""select c_custkey, case when c_custkey % 5 = 0 then null when c_custkey % 5 = 1 then 'https://h' || c_custkey else 'http://127.0.0.' || c_custkey % 250 || ':80' end as base, c_custkey % 5 >= 2 as own_device,
+c_custkey % 4 not in (0, 1) as lan, case c_custkey % 3 when 0 then true when 1 then false else true end as inside from customer""")
+def addresses(spark, sf):
+    k = F.col("c_custkey")
+    raw = F.when(k % 5 == 0, " / ").when(k % 5 == 1, F.concat(F.lit(" https://h"), k, F.lit("//"))).otherwise(F.concat(F.lit("127.0.0."), k % 250, F.lit(":80/ ")))
+    ip = F.when(k % 4 == 0, F.concat(F.lit("169.254.1."), k % 250)).when(k % 4 == 1, F.concat(F.lit("300.1.1."), k % 250)).otherwise(F.concat(F.lit("192.168.7."), k % 250))
+    path = F.when(k % 3 == 0, F.concat(F.lit("a/b/../"), k)).when(k % 3 == 1, F.concat(F.lit("a/../../"), k)).otherwise(F.concat(k, F.lit("/./x.pdf")))
+    return table(spark, sf, "customer").select("c_custkey", T.base_url(raw).alias("base"), F.coalesce(T.is_loopback(T.base_url(raw)), F.lit(False)).alias("own_device"), T.is_lan_address(ip).alias("lan"), T.stays_inside(path).alias("inside"))
+
+
+# --- feeds and tools -----------------------------------------------------------------------------------------------------
+
+NEWS = "news as (select l_suppkey as job_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as seq, case when l_tax > 0.07 then 'completed' when l_returnflag = 'R' then 'translate' else 'clean' end as status, floor(l_quantity / 20)::int as progress from lineitem)"
+
+
+def _news(spark, sf):
+    status = F.when(F.col("l_tax") > 0.07, "completed").when(F.col("l_returnflag") == "R", "translate").otherwise("clean")
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("job_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq"), status.alias("status"), F.floor(F.col("l_quantity") / 20).cast("int").alias("progress"), F.lit("s").alias("current_stage"), F.concat(F.lit("r"), "l_suppkey").alias("result_id"), (F.col("l_suppkey") % 10).alias("parent_job_id"), F.col("l_suppkey").alias("chapter_index"))
+
+
+@query(f"""with {NEWS}, c as (select *, count(*) filter (where status = 'completed') over (partition by job_id order by seq rows between unbounded preceding and 1 preceding) as ended, lag(status || progress) over (partition by job_id order by seq) as was from news)
+select job_id, seq, status, progress, case when status = 'completed' then 'r' || job_id end as result_id from c where ended = 0 and (was is null or was <> status || progress)""")
+def job_feed(spark, sf):
+    return P.batch_feed(_news(spark, sf)).select("job_id", "seq", "status", "progress", "result_id")
+
+
+@query(f"""with {NEWS}, states as (select *, job_id % 10 as parent from news qualify row_number() over (partition by job_id order by seq desc) = 1),
+touched as (select distinct job_id % 10 as parent from news where seq % 10 = 1 and job_id % 4 = 0)
+select parent as parent_job_id, case when count(*) filter (where status = 'completed') = count(*) then 'completed' else arg_min(status, job_id) filter (where status <> 'completed') end as status,
+case when count(*) filter (where status = 'completed') = count(*) then 100 else floor((count(*) filter (where status = 'completed') * 100 + arg_min(progress, job_id) filter (where status <> 'completed')) / count(*))::int end as progress
+from states where parent in (select parent from touched) group by 1""")
+def parents_after_news(spark, sf):
+    """A batch of news of some children, merged into the states of all; the parents it touches, judged by all their children."""
+    news = _news(spark, sf)
+    held: list = []
+    batch = (F.col("seq") % 10 == 1) & (F.col("job_id") % 4 == 0)
+    P.roll_up_each(news.filter(batch), news.filter(~batch), held.append)
+    return held[0]
+
+
+@query("""select l_orderkey, min(turn) as turn from (select l_orderkey, turn, l_returnflag <> 'A' and lag(l_returnflag) over w <> 'A' and lag(l_returnflag, 2) over w <> 'A' as third from (select *, (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey as turn from lineitem) window w as (partition by l_orderkey order by turn)) where third group by 1""")
+def broken_tools(spark, sf):
+    calls = table(spark, sf, "lineitem").select("l_orderkey", ((F.col("l_linenumber") * 10000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("turn"), F.lit("query_database").alias("tool"), (F.col("l_returnflag") != "A").alias("failed"))
+    return C.broken(calls, "l_orderkey")
+
+
+SHAPES = """case turn % 8 when 0 then '{"[已压缩]":true,"找到":"2处匹配","章节":["H' || conv_id || '"],"最高分block":"4"}' when 1 then '{"[已压缩]":true,"找到":"2处匹配","涉及论文":["P","Q"]}' when 2 then '{"[已压缩]":true,"结果数":"' || conv_id || '"}'
+when 3 then '{"[已压缩]":true,"找到":"1篇论文","论文列表":["T' || conv_id || '"]}' when 4 then '{"[已压缩]":true,"章节":"S","段落数":"7","has_more":"true"}' when 5 then '{"[已压缩]":true,"上下文段落数":3,"目标block":"9"}'
+when 6 then '{"[已压缩]":true,"批注数":2,"摘要":["n' || conv_id || '","m"]}' else content[:150] || '…[已压缩]' end"""
+
+
+@query(f"""with {RECENT}, long as (select conv_id, turn, 'no JSON ' || repeat('x', 300) as content, recent from recent where role <> 'user') select conv_id, turn, {SHAPES} as content from long where not recent""")
+def chat_snip_shapes(spark, sf):
+    """Old results of tools, one of each shape of their JSON, and one that is none."""
+    c, pad = F.col("conv_id").cast("string"), F.concat(F.lit(',"pad":"'), F.repeat(F.lit("x"), 300), F.lit('"}'))
+    shapes = [F.concat(F.lit('{"matches":[{"heading_context":"H'), c, F.lit('","block_idx":4},{"heading_context":"H'), c, F.lit('"}]')), F.lit('{"keyword":"k","results":[{"paper_title":"P"},{"paper_title":"Q"}]'), F.concat(F.lit('{"results":[1],"count":'), c), F.concat(F.lit('{"results":[{"title":"T'), c, F.lit('"}]')), F.lit('{"content_zh":"z","section_heading":"S","paragraph_count":7,"has_more":true'), F.lit('{"context":[1,2,3],"target_block_idx":9'), F.concat(F.lit('{"annotations":[{"content":"n'), c, F.lit('"},{"content":"m"}]'))]
+    turn = F.col("turn") % 8
+    content = F.lit("no JSON " + "x" * 300)
+    for i, shape in enumerate(shapes):
+        content = F.when(turn == i, F.concat(shape, pad)).otherwise(content)
+    m = C.with_recent(I.messages(spark, sf), "conv_id").withColumn("was", F.col("recent")).drop("recent")
+    told = m.withColumn("content", F.when(F.col("role") == "user", F.col("content")).otherwise(content)).withColumn("role", F.when(F.col("role") == "user", "user").otherwise("tool"))
+    return C.snipped(told, "conv_id").filter("role = 'tool' and not was").select("conv_id", "turn", "content")
+
+
+@query("""select 'search_papers' as name, least(count(*), 10) as n, 0 as failed from part where contains(lower(p_name), 'e') union all select 'get_paper_metadata', count(*), 0 from part where p_partkey = 3
+union all select 'query_database', (select count(*) from region), 0 union all select 'edit_image', 1, 1 union all select 'nothing', 1, 1 union all select 'search_across_papers', 1, 1""")
+def named_operations(spark, sf):
+    """Operations by name; a service that isn't there, an unknown name and wrong arguments are errors as data."""
+    empty = lambda name: spark.createDataFrame([], getattr(schema, name))
+    papers = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), *[F.lit("").alias(c) for c in ("title_zh", "abstract", "keywords", "domain")])
+    ops = operations.library_operations(spark, {"papers": papers, "results": empty("RESULTS"), "annotations": empty("ANNOTATIONS"), "sessions": empty("CHAT_SESSIONS"), "messages": empty("CHAT_MESSAGES"), "region": table(spark, sf, "region")})
+    calls = {"search_papers": {"query": "e"}, "get_paper_metadata": {"paper_id": "3"}, "query_database": {"sql": "select * from region"}, "edit_image": {"image": "x"}, "nothing": {}, "search_across_papers": {"word": "x"}}
+    made = None
+    for name, arguments in calls.items():
+        found = ops.call(spark, name, **arguments)
+        row = found.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.lit(int(found.columns == ["error"])).alias("failed"))
+        made = row if made is None else made.unionByName(row)
+    return made
+
+
+# --- stages that ask a model, here one that answers by rules ------------------------------------------------------------------
+
+
+class Rules:
+    """Answers from the text alone, so that what the stages make of answers can be told in SQL; it fails where a text is ``broken``."""
+
+    def ask(self, task: str, text: str, hint: str = "") -> str:
+        if text.startswith("broken"):
+            raise OSError("no answer")
+        first = text.split(" ")[0]
+        made = {"clean": text.replace("the", "THE"), "translate": (hint + "|" if hint else "") + text.upper() if "x" not in first else "", "title": f" {text.upper()} ", "summarise": f"sum {len(text)}", "verify": '[{"index": 0, "is_reference": true}]'}
+        lists = {"headings": [{"# Part 0": "## Part zero"}, {"## Part 3": ""}], "terms": [{"en": first, "zh": "z"}, {"en": "", "zh": "y"}, "no"], "structure": [{"type": "heading", "level": 2, "text": first}, {"type": "paragraph", "text": text[:10]}, {"type": "odd", "text": "x"}]}
+        return made[task] if task in made else f"Here: {json.dumps(lists[task])} done"
+
+
+@query("""with t as (select p_partkey, case when p_partkey % 10 = 0 then 'broken ' || p_name when p_partkey % 10 = 1 then '' else p_name end as text from part)
+select p_partkey, case when p_partkey % 10 = 0 then text else replace(text, 'the', 'THE') end as cleaned, case when p_partkey % 10 = 0 then '' when p_partkey % 10 = 1 then 'h|' when contains(string_split(text, ' ')[1], 'x') then text else 'h|' || upper(text) end as translation,
+case when p_partkey % 10 in (0, 1) then '' else upper(text) end as title_zh, case when p_partkey % 10 = 0 or length(text) < 20 then '[]' else '[{"en": "' || string_split(text, ' ')[1] || '", "zh": "z"}]' end as terms, case when p_partkey % 10 = 0 then '[]' else '[{"index": 0, "is_reference": true}]' end as verdict from t""")
+def model_stages(spark, sf):
+    k = F.col("p_partkey") % 10
+    rows = table(spark, sf, "part").select("p_partkey", F.when(k == 0, F.concat(F.lit("broken "), "p_name")).when(k == 1, "").otherwise(F.col("p_name")).alias("text"), F.lit("h").alias("hint"))
+    key, client = ["p_partkey"], Rules()
+    made = models.clean(rows, key, client)
+    for part in (models.translate(rows, key, client, hints=("hint",)), models.titles(rows, key, client, "text"), models.terms(rows, key, client, least=20), models.verdicts(rows, key, client)):
+        made = made.join(part, "p_partkey")
+    return made
+
+
+@query(f"""with {I.MARKDOWN}, lines as (select doc_id, i, line from markdown, unnest(string_split(text, chr(10))) with ordinality as t(line, i))
+select doc_id, string_agg(case when line = '# Part 0' then '## Part zero' else line end, chr(10) order by i) as text from lines where line <> '## Part 3' group by doc_id""")
+def model_headings(spark, sf):
+    return models.repaired_headings(I.markdown(spark, sf).withColumn("title", F.lit("t")), "doc_id", Rules())
+
+
+@query("""with t as (select item_id, case when item_id % 4 = 0 then 'broken words' || chr(10) || '# Head ' || item_id else text end as text from benchmark)
+select item_id, 0 as idx, 'heading' as type, 2 as level, string_split(text, ' ')[1] as text from t where item_id % 4 <> 0 union all select item_id, 1, 'paragraph', 0, text[:10] from t where item_id % 4 <> 0
+union all select item_id, 0, 'paragraph', 0, 'broken words' from t where item_id % 4 = 0 union all select item_id, 1, 'heading', 1, 'Head ' || item_id from t where item_id % 4 = 0""")
+def model_structure(spark, sf):
+    text = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("broken words\n# Head "), "item_id")).otherwise(F.col("text"))
+    return models.structured(table(spark, sf, "benchmark").select("item_id", text.alias("text")), "item_id", Rules())
+
+
+@query(f"""with {RECENT}, old as (select conv_id, string_agg(role || ': ' || content[:400], chr(10) order by turn) as text from recent where not recent and role in ('user', 'assistant') and content <> '' group by 1)
+select conv_id, 'sum ' || length(text) as summary, false as failed from old""")
+def model_summaries(spark, sf):
+    return models.summaries(I.messages(spark, sf), "conv_id", Rules())

@@ -8,8 +8,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 CONTENT = "array<struct<type:string,text:string,text_level:int,img_path:string,table_body:string>>"
 
 
@@ -19,23 +22,43 @@ def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.lit(True).alias("is_file"))
 
 
-def parsed_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """path, markdown, content_list and images (name and bytes) of zip files of parsed documents: the first *.md is the text."""
+IMAGES = ("png", "jpg", "jpeg", "webp", "gif")
+
+
+def _members(spark: SparkSession, folder: str, schema: str, read) -> DataFrame:
+    """Rows that ``read`` makes of each zip file below a folder, a file and a few rows at a time."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for path, content in zip(frame["path"], frame["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = z.namelist()
-                    text = next((z.read(n).decode("utf-8", "replace") for n in names if n.endswith(".md")), None)
-                    listed = next((z.read(n).decode("utf-8", "replace") for n in names if n.endswith("_content_list.json")), None)
-                    images = [{"name": n, "content": z.read(n)} for n in names if n.lower().rpartition(".")[2] in ("png", "jpg", "jpeg", "webp", "gif")]
-                out.append((path, text, listed, images))
-            yield pd.DataFrame(out, columns=["path", "markdown", "content_list", "images"])
+                    for row in read(path, z):
+                        yield pd.DataFrame([row], columns=names)
+
+    return files.mapInPandas(run, schema)
+
+
+def parsed_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """path, markdown and content_list of zip files of parsed documents: the first *.md is the text. Their images are a table of their own, ``archive_images``."""
+
+    def read(path: str, z: zipfile.ZipFile) -> Iterator[tuple]:
+        first = lambda end: next((z.read(n).decode("utf-8", "replace") for n in z.namelist() if n.endswith(end)), None)
+        yield path, first(".md"), first("_content_list.json")
+
+    return _members(spark, folder, "path string, markdown string, content_list string", read)
+
 
-    return files.mapInPandas(read, "path string, markdown string, content_list string, images array<struct<name:string,content:binary>>")
+def archive_images(spark: SparkSession, folder: str) -> DataFrame:
+    """path, name and content of every image in zip files of parsed documents."""
+
+    def read(path: str, z: zipfile.ZipFile) -> Iterator[tuple]:
+        for n in z.namelist():
+            if n.lower().rpartition(".")[2] in IMAGES:
+                yield path, n, z.read(n)
+
+    return _members(spark, folder, "path string, name string, content binary", read)
 
 
 def content_list_markdown(docs: DataFrame, key: str, content: str = "content_list") -> DataFrame:
@@ -63,6 +86,16 @@ def relinked_images(docs: DataFrame, links: DataFrame, key: str, text: str = "te
     return docs.join(maps, key, "left").withColumn(text, F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("urls", p), p)), "")).drop("urls")
 
 
+def bundle_files(wanted: DataFrame, there: DataFrame) -> DataFrame:
+    """path, archive_path, size, sha256 and missing of the files that a bundle takes: each path once, numbered in the order of paths; those that aren't ``there`` (path, size, sha256) are told as missing.
+
+    Numbers run over the whole list of a bundle's files, which is short beside the files themselves: one task sees the list.
+    """
+    once = wanted.select("path").distinct().join(there.select("path", "size", "sha256"), "path", "left")
+    number = F.row_number().over(W.orderBy("path")) - 1
+    return once.select("path", T.bundle_path(number, F.col("path")).alias("archive_path"), "size", "sha256", F.col("sha256").isNull().alias("missing"))
+
+
 def write_bundle(tables: dict[str, DataFrame], manifest: DataFrame, folder: str) -> None:
     """The changed rows of each table, and the manifest, as Parquet below a folder."""
     for name, rows in tables.items():
@@ -74,3 +107,17 @@ def replace_table(rows: DataFrame, path: str, version: int) -> str:
     """Writes a new version beside the old one, which stays for going back; returns its path."""
     rows.write.mode("errorifexists").parquet(f"{path}/version={version}")
     return f"{path}/version={version}"
+
+
+def restored_table(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """An earlier version, for going back after a change that failed."""
+    return spark.read.parquet(f"{path}/version={version}")
+
+
+def replaced_or_restored(rows: DataFrame, path: str, version: int) -> tuple[DataFrame, int]:
+    """Writes the next version and returns it with its number; where that fails, the version before it as it is."""
+    try:
+        replace_table(rows, path, version + 1)
+    except Exception:  # noqa: BLE001 - whatever went wrong, the library goes on with what it had
+        return restored_table(rows.sparkSession, path, version), version
+    return restored_table(rows.sparkSession, path, version + 1), version + 1

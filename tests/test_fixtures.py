@@ -272,14 +272,49 @@ def test_changes(spark):
 
 
 def test_streaming_feed(spark, tmp_path):
-    rows = [("a", 1, "run", 1, "s"), ("a", 2, "run", 1, "s"), ("a", 3, "run", 2, "s"), ("b", 1, "completed", 100, "s"), ("b", 2, "run", 1, "s")]
+    rows = [("a", 1, "run", 1, "s", "r"), ("a", 2, "run", 1, "s", "r"), ("a", 3, "run", 2, "s", "r"), ("b", 1, "completed", 100, "s", "r"), ("b", 2, "run", 1, "s", "r")]
     log = spark.createDataFrame(rows, P.FEED)
     log.write.parquet(str(tmp_path / "in"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = P.progress_feed(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")))
     q = stream.writeStream.format("memory").queryName("feed").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {(r.job_id, r.seq) for r in spark.table("feed").collect()} == {("a", 1), ("a", 3), ("b", 1)}
+    told = {(r.job_id, r.seq, r.result_id) for r in spark.table("feed").collect()}
+    assert told == {("a", 1, None), ("a", 3, None), ("b", 1, "r")} == {(r.job_id, r.seq, r.result_id) for r in P.batch_feed(log).collect()}
+
+
+def test_parents_by_all_children(spark):
+    kind = "job_id string, seq long, parent_job_id string, chapter_index int, status string, progress int"
+    states = spark.createDataFrame([("a", 1, "p", 0, "completed", 100), ("b", 1, "p", 1, "translating", 10), ("c", 1, "q", 0, "completed", 100)], kind)
+    held = []
+    now = P.roll_up_each(spark.createDataFrame([("b", 2, "p", 1, "completed", 100)], kind), states, held.append)
+    assert [(r.parent_job_id, r.status, r.progress) for r in held[0].collect()] == [("p", "completed", 100)] and now.count() == 3
+
+
+def test_tables_are_restored(spark, tmp_path):
+    path = str(tmp_path / "t")
+    X.replace_table(spark.range(3), path, 1)
+    now, version = X.replaced_or_restored(spark.range(5), path, 1)
+    assert (now.count(), version) == (5, 2)
+    bad = spark.range(1).select(F.raise_error(F.lit("no")).cast("bigint").alias("id"))
+    now, version = X.replaced_or_restored(bad, path, 2)
+    assert (now.count(), version) == (5, 2)
+
+
+def test_pages_are_clamped_once(spark):
+    rows = spark.range(350)
+    assert [r.id for n in (1, 2, 3, 4) for r in L.page(rows, n, 200, F.col("id")).collect()] == list(range(350))
+
+
+def test_deep_folders(spark):
+    rows = spark.createDataFrame([(i, i - 1 if i else None) for i in range(30)], "id int, parent_id int")
+    assert {(r.id, r.depth) for r in L.subtree(rows, 4).collect()} == {(i, i - 3) for i in range(4, 30)}
+
+
+def test_gaps(spark):
+    rows = spark.createDataFrame([("d", 3, 4), ("d", 4, 9), ("d", 5, 6), ("d", 12, 11), ("e", 1, 50)], "k string, start_page int, end_page int")
+    docs = spark.createDataFrame([("d", 12), ("e", 5), ("f", 2), ("g", 0)], "k string, page_count int")
+    assert {(r.k, r.first, r.last) for r in D.gaps(rows, docs, "k").select("k", F.col("first"), F.col("last")).collect()} == {("d", 1, 2), ("d", 10, 12), ("f", 1, 2)}
 
 
 def test_citation_numbers(spark):
@@ -312,8 +347,8 @@ def test_files(spark, tmp_path):
         z.writestr("images/i.png", b"\x89")
     got = X.inventory(spark, str(tmp_path / "f"), "*.bin").first()
     assert got["size"] == 3 and got.sha256 == hashlib.sha256(b"abc").hexdigest()
-    doc = X.parsed_archives(spark, str(tmp_path / "f")).first()
-    assert doc.markdown.startswith("# T") and doc.images[0].name == "images/i.png"
+    assert X.parsed_archives(spark, str(tmp_path / "f")).first().markdown.startswith("# T")
+    assert [(r.name, bytes(r.content)) for r in X.archive_images(spark, str(tmp_path / "f")).collect()] == [("images/i.png", b"\x89")]
     links = spark.createDataFrame([(1, 0, "papers/9/i.png", "/u/i.png")], "k int, pos int, name string, url string")
     docs = spark.createDataFrame([(1, "a ![x](images/i.png) b (c)")], "k int, text string")
     assert X.relinked_images(docs, links, "k").first().text == "a ![x](/u/i.png) b (c)"
@@ -349,3 +384,8 @@ def test_memory_and_passage_context(spark):
     assert context[1] == ("Intro", "alpha one", "Intro", "Methods")
     assert context[3] == ("Methods", "beta two", "Methods", "Data")
     assert context[5] == ("Methods > Data", "gamma three", "Data", "")
+    texts = "the red tide in a red tide model (RTM)\nRTM is x_1 and $a+b$ here\nno more"
+    docs = spark.createDataFrame([(1, texts)], "k int, text string")
+    blocks = spark.createDataFrame([(1, i, 0, t, None) for i, t in enumerate(texts.split("\n"))], blocks.schema)
+    held = {r.idx: ([list(x) if not isinstance(x, str) else x for x in r.acronyms], r.symbols, r.phrases) for r in M.passage_context(blocks, "k", docs=docs).collect()}
+    assert held[1] == (["RTM = the red tide in a red tide model"], ["x_1", "a+b"], []) and held[0][2] == ["red tide"] and held[2] == ([], [], [])
