@@ -326,14 +326,14 @@ def move_papers(spark, sf):
 
 
 STARTED = """jobs as (select 'o' || o_orderkey as id, null as parent, case when o_orderkey % 5 = 0 then 'failed' else 'completed' end as status, 100 as progress from orders
-  union all select 'l' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey, 'o' || l_orderkey, case when l_returnflag = 'R' then 'failed' else 'completed' end, l_quantity::int from lineitem),
+  union all select 'l' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::int, 'o' || l_orderkey, case when l_returnflag = 'R' then 'failed' else 'completed' end, l_quantity::int from lineitem),
 asked as (select id from jobs where (id[1] = 'o' and hash_of(id) % 3 = 0) or (id[1] = 'l' and hash_of(id) % 7 = 0))"""
 
 
 def _started(spark, sf):
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     jobs = o.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.lit(None).cast("string").alias("parent_job_id"), F.when(F.col("o_orderkey") % 5 == 0, "failed").otherwise("completed").alias("status"), F.lit(100).alias("progress"))
-    return jobs.unionByName(li.select(F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("id"), F.concat(F.lit("o"), "l_orderkey").alias("parent_job_id"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("completed").alias("status"), F.col("l_quantity").cast("int").alias("progress")))
+    return jobs.unionByName(li.select(F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey", F.lit("-"), F.col("l_quantity").cast("int")).alias("id"), F.concat(F.lit("o"), "l_orderkey").alias("parent_job_id"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("completed").alias("status"), F.col("l_quantity").cast("int").alias("progress")))
 
 
 NUMBER_OF = "regexp_replace(id, '[^0-9]', '', 'g')::hugeint"

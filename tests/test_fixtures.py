@@ -388,4 +388,4 @@ def test_memory_and_passage_context(spark):
     docs = spark.createDataFrame([(1, texts)], "k int, text string")
     blocks = spark.createDataFrame([(1, i, 0, t, None) for i, t in enumerate(texts.split("\n"))], blocks.schema)
     held = {r.idx: ([list(x) if not isinstance(x, str) else x for x in r.acronyms], r.symbols, r.phrases) for r in M.passage_context(blocks, "k", docs=docs).collect()}
-    assert held[1] == (["RTM = the red tide in a red tide model"], ["x_1", "a+b"], []) and held[0][2] == ["red tide"] and held[2] == ([], [], [])
+    assert held[1] == (["RTM = the red tide in a red tide model"], ["a+b", "x_1"], []) and held[0][2] == ["red tide"] and held[2] == ([], [], [])
