@@ -1,7 +1,7 @@
 """Packing of token pieces into sequences by linear grouping (de la Vega and Lueker), then best fit.
 
 Pieces are dealt at random to shards of a bounded number of pieces, which are packed apart; a shard wastes at most part of its last few
-sequences. In a shard, large lengths are sorted and cut into groups of equal size; each length counts as the
+sequences. The emptiest sequences of all shards are therefore opened and packed together, in shards again if they are many, so that waste doesn't grow with the number of shards. In a shard, large lengths are sorted and cut into groups of equal size; each length counts as the
 greatest of its group. The few sizes left are packed by a linear programme over configurations (which sizes share a
 sequence), whose columns are found by a knapsack over the sequence. Whole multiples of its configurations are filled with actual
 pieces; what is left of the large pieces and all small ones go, longest first, where they fit best.
@@ -167,20 +167,43 @@ def pack_grouped(lengths: np.ndarray, room: int, groups: int, large: float) -> t
     return sequence, offset
 
 
-def pack(pieces: DataFrame, length: int = 4096, shard: int = 4_096) -> DataFrame:
-    """The pieces with sequence_id and offset; needs row, piece and length, and keeps other columns."""
-    pieces = written(pieces, "pieces")
-    shards = max(1, math.ceil(pieces.count() / shard))
-    schema = "sequence_id long, offset long"
+def emptiest(sequence: np.ndarray, lengths: np.ndarray, most: int, pieces: int) -> np.ndarray:
+    """Whether each piece is in one of the ``most`` sequences with the fewest tokens, of which as many are taken as hold at most ``pieces`` pieces in all."""
+    held, used = np.bincount(sequence), np.bincount(sequence, weights=lengths)
+    order = np.argsort(used, kind="stable")[:most]
+    return np.isin(sequence, order[np.cumsum(held[order]) <= pieces])
+
+
+def packer(before: int, length: int, shard: int, again: int):
+    """Packs one shard's rows; its sequences are numbered after those of the ``before`` shards of earlier rounds."""
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["row", "piece"], kind="stable", ignore_index=True)
-        sequence, offset = pack_shard(rows["length"].to_numpy(np.int64), length)
-        return rows.assign(sequence_id=sequence + (int(key[0]) << 32), offset=offset).drop(columns="shard")
+        rows = rows.sort_values(["row", "piece"], kind="stable", ignore_index=True).drop(columns="__shard")
+        lengths = rows["length"].to_numpy(np.int64)
+        sequence, offset = pack_shard(lengths, length)
+        return rows.assign(sequence_id=sequence + (before + int(key[0]) << 32), offset=offset, __open=emptiest(sequence, lengths, again, shard // 8))
+
+    return one
 
+
+def pack(pieces: DataFrame, length: int = 4096, shard: int = 4_096, again: int = 16) -> DataFrame:
+    """The pieces with sequence_id and offset; needs row, piece and length, and keeps other columns.
+
+    Where there are several shards, the ``again`` emptiest sequences of each (with an eighth of a shard's pieces at most) are packed once more, together, until these are one shard.
+    """
+    todo, done, before = written(pieces, "pieces"), None, 0
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(one, f"{fields}, {schema}")
+    while True:
+        shards = max(1, math.ceil(todo.count() / shard))
+        dealt = todo.withColumn("__shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).cast("int"))
+        packed = dealt.groupBy("__shard").applyInPandas(packer(before, length, shard, again), f"{fields}, sequence_id long, offset long, __open boolean")
+        if shards > 1:
+            packed = written(packed, "packed")
+        kept = (packed.filter("not __open") if shards > 1 else packed).drop("__open")
+        done = kept if done is None else done.unionByName(kept)
+        if shards == 1:
+            return done
+        todo, before = packed.filter("__open").select(*[F.col(f"`{c}`") for c in pieces.columns]), before + shards
 
 
 def sequences(pieces: DataFrame, packed: DataFrame) -> DataFrame:

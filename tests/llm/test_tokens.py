@@ -164,3 +164,22 @@ def test_configurations_of_thirds():
     assert counts.tolist() == [2, 0]
     plan = packing.configurations(np.array([60, 40]), np.array([10.0, 10.0]), 100)
     assert round(sum(n for _, n in plan), 6) == 10
+
+
+def test_shards_share_their_emptiest_sequences(spark):
+    """Packed in 30 shards, whose part-filled sequences add up unless they are packed together; every piece has one place, sequences are gapless."""
+    x = np.minimum(4096, np.random.default_rng(5).lognormal(6.5, 0.9, 6000).astype(int) + 1)
+    pieces = spark.createDataFrame([(i, 0, int(n), "x") for i, n in enumerate(x)], "row long, piece int, length long, shard string")
+    rows = packing.pack(pieces, shard=200).toPandas()
+    assert list(rows.columns) == ["row", "piece", "length", "shard", "sequence_id", "offset"] and sorted(rows["row"]) == list(range(6000))
+    for _, own in rows.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert (own["length"].cumsum() - own["length"] == own["offset"]).all() and own["length"].sum() <= 4096
+    apart = packing.pack(pieces, shard=200, again=0).select("sequence_id").distinct().count()
+    assert -(-x.sum() // 4096) <= rows["sequence_id"].nunique() <= -(-x.sum() // 4096) + 5 < apart - 5
+
+
+def test_a_sequence_of_many_pieces_stays_closed(spark):
+    pieces = spark.createDataFrame([(i, 0, 1) for i in range(1000)], "row long, piece int, length long")
+    assert packing.pack(pieces, shard=100).groupBy("sequence_id").count().count() == 10
+    assert packing.emptiest(np.array([0, 0, 1, 2]), np.array([1, 1, 1, 5]), 2, 3).tolist() == [True, True, True, False]
