@@ -40,15 +40,16 @@ def _quality() -> str:
         own = ", ".join([*keys, "measure", "bucket"])
         levels.append(f"""{tag}0 as (select {own}, count(*) as n from long group by {own}),
 {tag}1 as (select *, sum(n) over (partition by {part}) as total, sum(n) over (partition by {part} order by bucket) as upto from {tag}0),
-{tag} as (select {part}, any_value(total) as total, min(case when upto >= total * 0.25 then bucket end) as b1, min(case when upto >= total * 0.75 then bucket end) as b3 from {tag}1 group by {part})""")
+{tag} as (select {part}, any_value(total) as total, min(case when upto >= total * 0.25 then bucket end) as b1, min(case when upto >= total * 0.5 then bucket end) as b2, min(case when upto >= total * 0.75 then bucket end) as b3 from {tag}1 group by {part})""")
     middle = lambda b: f"case when {b} <= {_LOW} then 0.0 else pow({_GROWTH!r}, {b}) * {2 / (1 + _GROWTH)!r} end"
     least = quality_rules.MIN_ROWS
-    b1, b3 = (f"case when a.total >= {least} then a.{b} when b.total >= {least} then b.{b} else c.{b} end" for b in ("b1", "b3"))
+    b1, b2, b3 = (f"case when a.total >= {least} then a.{b} when b.total >= {least} then b.{b} else c.{b} end" for b in ("b1", "b2", "b3"))
+    far = quality_rules.BEYOND * quality_rules.REACH
     checks = []
     for m, v in values.items():
         side = quality_rules.MEASURES[m][0]
-        low = f" and ({v}) >= q1 - {quality_rules.REACH} * iqr" if side == "both" else ""
-        checks.append(f"when '{m}' then ({v}) <= q3 + {quality_rules.REACH} * iqr{low}")
+        low = f" and ({v}) >= greatest(q1 - {quality_rules.REACH} * iqr, q2 - {far} * above)" if side == "both" else ""
+        checks.append(f"when '{m}' then ({v}) <= least(q3 + {quality_rules.REACH} * iqr, q2 + {far} * below){low}")
     return f"""with words as (select row_number() over () as rid, doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
 each as (select rid, i, word, concat_ws(chr(1), word, lead(word) over o, lead(word, 2) over o, lead(word, 3) over o, lead(word, 4) over o) as gram, lead(word, 4) over o is not null as whole, word = lag(word) over o as echo
   from words, unnest(w) with ordinality as t(word, i) window o as (partition by rid order by i)),
@@ -63,10 +64,10 @@ counts as (select words.rid, doc_id, lang, source, len(w)::bigint as n_words, co
 base as (select *, (n_lines - n_distinct)::bigint as n_dup_lines, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counts),
 long as ({long}),
 {", ".join(levels)},
-judged as (select base.*, m.measure, {b1} as b1_, {b3} as b3_ from base, (values {", ".join(f"('{m}')" for m in values)}) m(measure)
+judged as (select base.*, m.measure, {b1} as b1_, {b2} as b2_, {b3} as b3_ from base, (values {", ".join(f"('{m}')" for m in values)}) m(measure)
   left join a on a.lang is not distinct from base.lang and a.source is not distinct from base.source and a.measure = m.measure
   left join b on b.lang is not distinct from base.lang and b.measure = m.measure left join c on c.measure = m.measure),
-fenced as (select *, {middle('b1_')} as q1, {middle('b3_')} as q3, greatest({middle('b3_')} - {middle('b1_')}, {spread}) as iqr from judged),
+fenced as (select *, {middle('b1_')} as q1, {middle('b2_')} as q2, {middle('b3_')} as q3, greatest(q3 - q1, {spread}) as iqr, greatest(q2 - q1, ({spread}) / 2) as below, greatest(q3 - q2, ({spread}) / 2) as above from judged),
 passed as (select rid, bool_and(coalesce(case measure {" ".join(checks)} end, true)) as ok from fenced group by rid)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and ok as kept from base join passed using (rid)"""
 

@@ -4,7 +4,9 @@ Counts are taken from whole texts. The sketch of a measure is a histogram over b
 (as in DDSketch), so every quantile is right within a relative error, and sketches of any parts merge by adding counts. That is a
 plain grouped count here, with partial sums before the shuffle. A group of fewer than ``min_rows`` texts takes the sketch of its
 language, and a small language that of all texts. From a sketch come median and quartiles; a text fails a measure that lies
-further outside the quartiles than ``reach`` times their distance (a measure that hardly varies counts with a least distance).
+further outside the quartiles than ``reach`` times their distance (a measure that hardly varies counts with a least distance), or further
+above the median than ``BEYOND`` times ``reach`` times the distance from the lower quartile to it (below it: from it to the upper one; half the least distance at least). The second fence is one of the
+better half: where up to half of a group is junk of one kind, the quartile on that side is junk itself and says nothing.
 
 Defined results: a null or empty text has no words and fails the base rule. Null languages and sources form groups of their own.
 Repeated rows count each. An empty table gives an empty result. Columns other than doc_id, text, lang and source are ignored.
@@ -30,6 +32,8 @@ ERROR = 0.01
 #: measure -> (side that fails, least distance of the quartiles)
 MEASURES = {"symbols_per_word": ("high", 0.02), "echo_share": ("high", 0.05), "dup_line_share": ("high", 0.05), "word_length": ("both", 0.5)}
 REACH = 8.0
+#: How much further than ``reach`` the fence of the other half stands, in half distances: beyond the first fence unless one half is spread 16 / 9 as wide as the other.
+BEYOND = 3.0
 MIN_ROWS = 100
 COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_echo_words long"
 
@@ -137,12 +141,12 @@ def sketches(counted: DataFrame) -> DataFrame:
 
 
 def quartiles(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, measure, total, q1, q3 from sketches merged to these keys."""
+    """keys, measure, total, q1, q2 (the median), q3 from sketches merged to these keys."""
     at = merged.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*keys, "measure")
     at = at.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("bucket")))
     first = lambda share: F.min(F.when(F.col("upto") >= F.col("total") * share, F.col("bucket")))
-    return at.groupBy(*keys, "measure").agg(F.first("total").alias("total"), middle(first(0.25)).alias("q1"), middle(first(0.75)).alias("q3"))
+    return at.groupBy(*keys, "measure").agg(F.first("total").alias("total"), middle(first(0.25)).alias("q1"), middle(first(0.5)).alias("q2"), middle(first(0.75)).alias("q3"))
 
 
 def thresholds(counted: DataFrame, reach: float = REACH, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -154,7 +158,8 @@ def thresholds(counted: DataFrame, reach: float = REACH, min_rows: int = MIN_ROW
     def wide(found: DataFrame, keys: list[str], tag: str, least: int) -> DataFrame:
         spread = F.create_map(*[F.lit(x) for m, (_, s) in MEASURES.items() for x in (m, s)])[F.col("measure")]
         iqr = F.greatest(F.col("q3") - F.col("q1"), spread)
-        row = found.filter(F.col("total") >= least).withColumn("low", F.col("q1") - reach * iqr).withColumn("high", F.col("q3") + reach * iqr)
+        below, above = (BEYOND * reach * F.greatest(d, spread / 2) for d in (F.col("q2") - F.col("q1"), F.col("q3") - F.col("q2")))
+        row = found.filter(F.col("total") >= least).withColumn("low", F.greatest(F.col("q1") - reach * iqr, F.col("q2") - above)).withColumn("high", F.least(F.col("q3") + reach * iqr, F.col("q2") + below))
         pick = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{tag}_{side}_{m}") for m in MEASURES for side in ("low", "high")]
         return row.groupBy(*[F.col(k).alias(f"{tag}_{k}") for k in keys]).agg(*pick)
 

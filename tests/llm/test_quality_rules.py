@@ -62,6 +62,15 @@ def test_keeps_clean_drops_junk(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in clean}
 
 
+def test_junk_of_two_fifths_of_a_source(spark):
+    """The upper quartile of symbols is junk; the lower half still tells what is far."""
+    clean, _, _ = corpus()
+    own = [r for r in clean if r[3] == "hot"]
+    junk = [(5000 + i, " ".join(f"x{k}v{i} ### |" if (k + i) % 9 else f"x{k} #" for k in range(30)), "en", "hot") for i in range(len(own) * 2 // 3)]
+    docs = spark.createDataFrame(own + junk, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in Q.judged(docs).filter("kept").collect()} == {r[0] for r in own}
+
+
 def test_sketches_merge(spark):
     clean, junk, _ = corpus()
     docs = spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")
