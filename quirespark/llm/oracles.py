@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from . import chat_format, merkle, quality_rules
+from . import chat_format, merkle, prefix_trie, quality_rules
 
 CRC = """crc_table as (select list(v order by n) as crc from (select n, list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n) as v from range(256) r(n)))"""
 
@@ -80,4 +80,4 @@ heads as (select *, min(page_id) over (partition by address) as first from hashe
 select page_id, octet_length(encode(html))::bigint as payload_bytes, """ + _DIGEST.replace("(('0x'", "((('0x'") + """ as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from heads"""
 
-ORACLES = {"op1_jump_hash_shards": SHARDS, "op2_quality_rules": _quality(), "op6_perspective_rotation": chat_format.ROTATED_SQL, "op7_content_addressed_warc": WARC, "op13_merkle_manifest": merkle.audited_sql(CRC, crc32)}
+ORACLES = {"op1_jump_hash_shards": SHARDS, "op2_quality_rules": _quality(), "op6_perspective_rotation": chat_format.ROTATED_SQL, "op7_content_addressed_warc": WARC, "op12_prefix_trie": prefix_trie.trie_sql(CRC, crc32), "op13_merkle_manifest": merkle.audited_sql(CRC, crc32)}
