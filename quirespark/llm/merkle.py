@@ -126,7 +126,7 @@ def proofs(m: Manifest) -> DataFrame:
     runs = m.leaves.filter(f"idx % {RUN} = 0").select("tree", F.shiftright("idx", BITS).alias("run"), "n").join(m.trees.select("tree", "subroot", "trees"), "tree")
     runs = written(runs, "runs")
     nodes = m.nodes.select(F.col("tree").alias("of"), "level", "idx", "digest")
-    needed = coordinates(runs).join(nodes, ["of", "level", "idx"])
+    needed = coordinates(runs).hint("merge").join(nodes, ["of", "level", "idx"])  # far more rows than the table that they are made from, which is what a broadcast would be judged by
     sides = needed.groupBy("tree", "run").agg(F.array_sort(F.collect_list(F.struct("step", "after", "idx", "digest"))).alias("kin"))
     own = runs.select("tree", "run", "subroot", F.expr(f"{high('n')} + {high('trees')}").alias("steps"), F.expr(f"{high('n')} > 0").alias("shared"))
     side = lambda s, test: f"array_join(transform(filter(kin, x -> x.step = {s} and {test}), x -> x.digest), '')"
@@ -138,7 +138,7 @@ def proofs(m: Manifest) -> DataFrame:
 
 def verified(m: Manifest) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256 (of the siblings' digests from the leaf up, left to right), folded_root (from the leaf of the row as it is now) and verified, of every row."""
-    rows = m.leaves.withColumn("run", F.shiftright("idx", BITS)).join(proofs(m), ["tree", "run"])
+    rows = m.leaves.withColumn("run", F.shiftright("idx", BITS)).join(proofs(m).hint("merge"), ["tree", "run"])
     rows = rows.withColumn("at", F.expr(f"cast(idx % {RUN} as int)"))
     before, behind = (f"case when shared then array_join(slice(kin, {a}), '') else '' end" for a in ("1, at", f"at + 2, {RUN}"))
     proof = F.expr("concat(before, behind, array_join(transform(ways, w -> concat(w.before, w.behind)), ''))")
