@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, merkle, near_dedup, oracles, packing, prefix_trie, quality_classifier, quality_rules, sharding, token_files, warc
+from . import chat_format, decontaminate, html_extract, lm_scores, merkle, near_dedup, oracles, packing, prefix_trie, quality_classifier, quality_rules, sharding, token_files, warc
 from .common import written
 
 
@@ -74,6 +74,10 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return packing.pack(digested, length=4096).drop("row")
 
 
+def op11_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.scores(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -83,7 +87,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_jump_hash_shards, op2_quality_rules, op3_simhash_near_dedup, op4_template_decontamination, op5_token_files, op6_perspective_rotation, op7_content_addressed_warc, op8_ordinal_quality, op9_block_tree_extraction, op10_best_fit_packing, op12_prefix_trie, op13_merkle_manifest]
+    own = [op1_jump_hash_shards, op2_quality_rules, op3_simhash_near_dedup, op4_template_decontamination, op5_token_files, op6_perspective_rotation, op7_content_addressed_warc, op8_ordinal_quality, op9_block_tree_extraction, op10_best_fit_packing, op11_attention_scores, op12_prefix_trie, op13_merkle_manifest]
     return {f.__name__: f for f in own}
 
 
