@@ -339,12 +339,13 @@ def _started(spark, sf):
 NUMBER_OF = "regexp_replace(id, '[^0-9]', '', 'g')::hugeint"
 
 
-@query(f"""with {STARTED.replace("hash_of(id)", NUMBER_OF)}, again as (select c.id, c.parent from jobs c join asked a on a.id = c.parent where c.status = 'failed'),
-alone as (select j.id, j.parent from jobs j join asked a on a.id = j.id where j.status = 'failed' and j.id not in (select parent from jobs where parent is not null)),
-own as (select id from again union select id from alone), up as (select distinct parent as id from again), above as (select distinct parent as id from alone where parent is not null and parent not in (select id from up))
-select j.id, case when j.id in (select id from own union select id from up union select id from above) then 'pending' else status end as status,
-  case when j.id in (select id from own union select id from up) then 0 when j.id in (select id from above) then least(progress, 99) else progress end as progress,
-  not (j.id in (select id from own union select id from up)) as has_result from jobs j""")
+@query(f"""with {STARTED.replace("hash_of(id)", NUMBER_OF).replace("as (select", "as materialized (select")}, parents as (select distinct parent as id from jobs where parent is not null),
+children as materialized (select c.id, c.parent from jobs c join asked a on a.id = c.parent where c.status = 'failed'),
+alone as materialized (select j.id, j.parent from jobs j join asked a on a.id = j.id left join parents p on p.id = j.id where j.status = 'failed' and p.id is null),
+each as (select id, 2 as mark from children union all select id, 2 from alone union all select parent, 2 from children union all select parent, 1 from alone where parent is not null),
+marks as (select id, max(mark) as mark from each group by id)
+select j.id, case when mark is not null then 'pending' else status end as status, case mark when 2 then 0 when 1 then least(progress, 99) else progress end as progress, coalesce(mark, 0) < 2 as has_result
+from jobs j left join marks m on m.id = j.id""")
 def restart_failed(spark, sf):
     jobs = _started(spark, sf)
     number = F.regexp_replace("id", "[^0-9]", "").cast("decimal(38,0)")
@@ -998,11 +999,11 @@ def named_operations(spark, sf):
 
 
 class Rules:
-    """Answers from the text alone, so that what the stages make of answers can be told in SQL; it fails where a text is ``broken``."""
+    """Answers from the text alone, so that what the stages make of answers can be told in SQL; it refuses a text that is ``broken``."""
 
     def ask(self, task: str, text: str, hint: str = "") -> str:
         if text.startswith("broken"):
-            raise OSError("no answer")
+            raise ValueError("no answer")
         first = text.split(" ")[0]
         made = {"clean": text.replace("the", "THE"), "translate": (hint + "|" if hint else "") + text.upper() if "x" not in first else "", "title": f" {text.upper()} ", "summarise": f"sum {len(text)}", "verify": '[{"index": 0, "is_reference": true}]'}
         lists = {"headings": [{"# Part 0": "## Part zero"}, {"## Part 3": ""}], "terms": [{"en": first, "zh": "z"}, {"en": "", "zh": "y"}, "no"], "structure": [{"type": "heading", "level": 2, "text": first}, {"type": "paragraph", "text": text[:10]}, {"type": "odd", "text": "x"}]}
@@ -1029,13 +1030,37 @@ def model_headings(spark, sf):
 
 
 @query("""with t as (select item_id, case when item_id % 4 = 0 then 'broken words' || chr(10) || '# Head ' || item_id else text end as text from benchmark)
-select item_id, 0 as idx, 'heading' as type, 2 as level, string_split(text, ' ')[1] as text from t where item_id % 4 <> 0 union all select item_id, 1, 'paragraph', 0, text[:10] from t where item_id % 4 <> 0
-union all select item_id, 0, 'paragraph', 0, 'broken words' from t where item_id % 4 = 0 union all select item_id, 1, 'heading', 1, 'Head ' || item_id from t where item_id % 4 = 0""")
+select item_id, 0 as idx, 'heading' as type, 2 as level, string_split(text, ' ')[1] as text, null as url from t where item_id % 4 <> 0 union all select item_id, 1, 'paragraph', 0, text[:10], null from t where item_id % 4 <> 0
+union all select item_id, 0, 'paragraph', 0, 'broken words', null from t where item_id % 4 = 0 union all select item_id, 1, 'heading', 1, 'Head ' || item_id, null from t where item_id % 4 = 0""")
 def model_structure(spark, sf):
     text = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("broken words\n# Head "), "item_id")).otherwise(F.col("text"))
     return models.structured(table(spark, sf, "benchmark").select("item_id", text.alias("text")), "item_id", Rules())
 
 
+class Numbered:
+    """Answers with its own name, so that it shows who was asked; it refuses what begins with the letter r."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def ask(self, task: str, text: str, hint: str = "") -> str:
+        if text.startswith("r"):
+            raise ValueError("no answer")
+        return f"{self.name}:{text}"
+
+
+@query("""with first as (select distinct p_name from part where p_size > 25)
+select p_partkey, case when p_name like 'r%' then '' when p_name in (select p_name from first) then 'first:' || p_name else 'second:' || p_name end as translation,
+  (select count(*) from (select distinct p_name from part where p_name not like 'r%')) as n_kept from part""")
+def stored_answers(spark, sf):
+    """Two runs over names with one table of answers: what the first has answered, the second doesn't ask again; failures are asked again."""
+    store = models.Answers()
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("text"), "p_size")
+    models.translate(part.filter("p_size > 25"), ["p_partkey"], Numbered("first"), store=store).count()
+    again = models.translate(part, ["p_partkey"], Numbered("second"), store=store)
+    return again.withColumn("n_kept", store.kept(spark, "translate").select(F.count("*")).scalar())
+
+
 @query(f"""with {RECENT}, old as (select conv_id, string_agg(role || ': ' || content[:400], chr(10) order by turn) as text from recent where not recent and role in ('user', 'assistant') and content <> '' group by 1)
 select conv_id, 'sum ' || length(text) as summary, false as failed from old""")
 def model_summaries(spark, sf):
