@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import closure
 
 
 def library_filter(papers: DataFrame, query: str = "", year: int | None = None, paper_type: str | None = None, wildcards: bool = False) -> DataFrame:
@@ -65,12 +66,13 @@ def folder_counts(folders: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def subtree(folders: DataFrame, root: int) -> DataFrame:
-    """id and depth (from 1) of a folder and all below it, however deep: a recursive query."""
-    sql = """with recursive tree(id, depth) as (
-        select id, 1 from {folders} where id = {root}
-        union all select f.id, t.depth + 1 from {folders} f join tree t on f.parent_id = t.id)
-        select id, depth from tree"""
-    return folders.sparkSession.sql(sql, folders=folders.select("id", "parent_id"), root=root)
+    """id and depth (from 1) of a folder and all below it, however deep, each once."""
+    return closure.below(folders, root)
+
+
+def folder_levels(folders: DataFrame) -> DataFrame:
+    """id, top, depth and circular of every folder; a folder may be added below those of a depth under 3 (``may_hold``)."""
+    return closure.levels(folders).withColumn("may_hold", F.coalesce(F.col("depth") < 3, F.lit(False)))
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:

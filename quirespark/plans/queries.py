@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import models, schema
@@ -276,6 +277,29 @@ def folder_tree(spark, sf):
     return L.subtree(I.folders(spark, sf), 1002)
 
 
+def _chains(spark, sf):
+    """Customers as folders: each below the one before it of its nation, in nation 7 the first below the last, so that they go round."""
+    of = W.partitionBy("c_nationkey").orderBy("c_custkey")
+    last = F.last("c_custkey").over(of.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    before = F.lag("c_custkey").over(of)
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") == 7, F.coalesce(before, last)).otherwise(before).alias("parent_id"))
+
+
+@query("""with c as (select c_custkey as id, c_nationkey as nation, row_number() over (partition by c_nationkey order by c_custkey) as depth, first_value(c_custkey) over (partition by c_nationkey order by c_custkey) as top from customer)
+select id, case when nation <> 7 then top end as top, case when nation <> 7 then depth end as depth, nation = 7 as circular, nation <> 7 and depth < 3 as may_hold from c""")
+def folder_levels(spark, sf):
+    return L.folder_levels(_chains(spark, sf))
+
+
+@query("""with c as (select c_custkey as id, c_nationkey as nation, row_number() over (partition by c_nationkey order by c_custkey) as n from customer)
+select id, n::int as depth from c where nation = (select nation from c order by n desc, id limit 1)""")
+def deep_subtree(spark, sf):
+    """All below the first folder of the longest chain."""
+    chains = L.folder_levels(_chains(spark, sf)).filter("not circular")
+    root = chains.orderBy(F.desc("depth"), "id").first().top
+    return L.subtree(_chains(spark, sf), root)
+
+
 @query(f"""with {I.MAPPING} select (select count(*) from customer) as total, (select count(*) from customer where c_custkey not in (select paper_id from mapping)) as unclassified, (select count(distinct folder_id) from mapping) as used_folders""")
 def library_totals(spark, sf):
     c, m = table(spark, sf, "customer"), I.mapping(spark, sf)
