@@ -75,7 +75,9 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 
 
 def op11_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores.scores(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    import public_tokenizers
+
+    return lm_scores.scores(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
