@@ -29,11 +29,11 @@ from .tokens import text_ids
 PIECES = "doc_id long, row long, piece int, start long, length long, ids binary"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1) -> DataFrame:
-    """Every row's ids and the end id, cut into pieces of ``length`` where they are longer. ids: little-endian unsigned 32-bit; row tells rows apart."""
+def token_pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1, plain_marks: bool = True) -> DataFrame:
+    """Every row's ids and the end id, cut into pieces of ``length`` where they are longer. ids: little-endian unsigned 32-bit; row tells rows apart. plain_marks: see ``TextIds``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = text_ids(tokenizer)
+        encode = text_ids(tokenizer, plain_marks)
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for batch in (x for b in batches for x in slices(b, 500)):
             out = []

@@ -42,7 +42,7 @@ def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0, plain_marks=False)
     return token_files.read_token_files(manifest)
 
 
@@ -69,7 +69,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    cut = packing.token_pieces(docs, tokenizer("word_bpe_49k.json"), length=4096, end_id=1)
+    cut = packing.token_pieces(docs, tokenizer("word_bpe_49k.json"), length=4096, end_id=1, plain_marks=False)
     digested = cut.select("doc_id", "row", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(digested, length=4096).drop("row")
 

@@ -63,15 +63,15 @@ class Block:
         return [None] * (min(last, self.nulls) - min(first, self.nulls)) + [int(x) for x in known]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, files: int | None = None) -> DataFrame:
-    """Writes the files and returns their manifest. ``files``: about how many; by default as many as shuffle partitions."""
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, files: int | None = None, plain_marks: bool = True) -> DataFrame:
+    """Writes the files and returns their manifest. ``files``: about how many; by default as many as shuffle partitions. plain_marks: see ``TextIds``."""
     folder = folder or f"{shared_dir(docs.sparkSession)}/tokens"
     rows = columns_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), text_key().alias("key"), F.monotonically_increasing_id().alias("row"), "text")
     by = [F.asc_nulls_first("doc_id"), F.asc("key"), F.asc("row")]
     dealt = rows.repartitionByRange(*([files] if files else []), *by).sortWithinPartitions(*by)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = text_ids(tokenizer)
+        ids = text_ids(tokenizer, plain_marks)
         fs, path = filesystem(folder)
         name, first, doc_ids, ends, total, n, out, idx, places = f"part-{uuid.uuid4().hex}", None, [], [], 0, 0, None, None, []
 

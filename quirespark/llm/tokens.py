@@ -77,11 +77,16 @@ class WordIds(dict):
 
 
 class TextIds:
-    """Ids of texts. ``dtype``: two bytes an id if the vocabulary allows, else four; little-endian."""
+    """Ids of texts. ``dtype``: two bytes an id if the vocabulary allows, else four; little-endian.
 
-    def __init__(self, path: str):
+    ``plain_marks``: the strings of special tokens in a text are ordinary text, so that no text can end a document; otherwise they are their tokens, as the library has it by default.
+    """
+
+    def __init__(self, path: str, plain_marks: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_marks
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.marks = [t.content for t in added if t.content and not (plain_marks and t.special)]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 else "<u4"
         with open(path, encoding="utf-8") as f:
             spec = {k: v for k, v in json.load(f).items() if k in ("normalizer", "pre_tokenizer")}
@@ -121,11 +126,13 @@ class TextIds:
 
     def __call__(self, text: str | None) -> np.ndarray:
         """All ids of one whole text; none for a null."""
+        if self.marks and text and any(m in text or m.lower() in text.lower() for m in self.marks):
+            return np.frombuffer(self.words.packed(text), self.dtype)  # the library finds them in the whole text
         cuts = [text or ""] if self.kind == "other" else self._cuts(text or "")  # other kinds may merge across a blank
         return np.frombuffer(b"".join(x for cut in cuts for x in self._packed(cut)), self.dtype)
 
 
 @lru_cache(maxsize=4)
-def text_ids(path: str) -> TextIds:
+def text_ids(path: str, plain_marks: bool = True) -> TextIds:
     """One encoder per tokenizer file and Python worker, so that its table lives on from task to task."""
-    return TextIds(path)
+    return TextIds(path, plain_marks)

@@ -12,13 +12,18 @@ from quirespark.llm.elias_fano import EliasFano
 
 public = pytest.importorskip("public_tokenizers")
 BYTES, WORDS = public.path("byte_bpe_50k.json"), public.path("word_bpe_49k.json")
-TEXTS = st.one_of(st.text(max_size=80), st.text(alphabet="aB é.,'s\n\t ß中 12<|>", max_size=80))
-ODD = [" a  b\n\n\nc ", "x\n", "x\n\n", "\n\nx", "a\n\nb", " 's 't don't  I'll", "<|endoftext|> hi", "Σας ΣΑΣ", "é ́x", "", "   ", "İstanbul ﬁne", "a" * 70 + " " + "b" * 70]
+MARKS = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "a", " ", "\n", "b c", ".", "<|"]), max_size=12).map("".join)
+TEXTS = st.one_of(MARKS, st.text(max_size=80), st.text(alphabet="aB é.,'s\n\t ß中 12<|>", max_size=80))
+ODD = [" a  b\n\n\nc ", "x\n", "x\n\n", "\n\nx", "a\n\nb", " 's 't don't  I'll", "<|endoftext|> hi", "a<|endoftext|>b", "x <|startoftext|> y", "<|ENDOFTEXT|>", "Σας ΣΑΣ", "é ́x", "", "   ", "İstanbul ﬁne", "a" * 70 + " " + "b" * 70]
 
 
-@pytest.fixture(scope="module", params=[BYTES, WORDS])
+@pytest.fixture(scope="module", params=[(BYTES, True), (BYTES, False), (WORDS, True), (WORDS, False)])
 def encoder(request):
-    return tokens.TextIds(request.param)
+    return tokens.TextIds(*request.param)
+
+
+def test_marks_are_text_or_tokens():
+    assert tokens.TextIds(BYTES, False)("a<|endoftext|>").tolist()[-1] == 50256 != tokens.TextIds(BYTES)("a<|endoftext|>").tolist()[-1]
 
 
 @settings(max_examples=300, deadline=None)
