@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .blocks import heading_context, scoped
-
-#: Queries and texts that one group of a similarity search compares.
-QUERIES, TEXTS = 1000, 8000
+from .similar import similar_texts
 
 
 def top(scored: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -73,46 +66,6 @@ def plain_title(title: Column | str) -> Column:
     return F.lower(F.regexp_replace(title, r"(?U)^\s+|\s+$", ""))
 
 
-def letters(texts: list[str]) -> np.ndarray:
-    """How many characters of each text fall in each of 64 classes of characters."""
-    out = np.zeros((len(texts), 64), np.int16)
-    for i, t in enumerate(texts):
-        np.add.at(out[i], np.frombuffer(t.encode("utf-32-le"), "<u4") % 64, 1)
-    return out
-
-
-def similar_texts(texts: DataFrame, queries: DataFrame, least: float) -> DataFrame:
-    """(asked, plain, similarity) of all texts at least that similar to a query text; both tables have one column of distinct texts.
-
-    Both are dealt to blocks, and every pair of blocks is one group, of bounded size; nothing passes the driver. In a group pairs are first held against an upper bound of the
-    ratio, by lengths and by the characters two texts can share at most, for a query and all texts at once; it rules out none that qualifies. The work grows with queries times texts.
-    """
-    blocks = [max(1, math.ceil(d.count() / n)) for d, n in ((texts, TEXTS), (queries, QUERIES))]
-    hashed = lambda d, n: F.pmod(F.xxhash64(d.columns[0]), F.lit(n)).cast("int")
-    t = texts.select(F.col(texts.columns[0]).alias("plain"), hashed(texts, blocks[0]).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1] - 1))).alias("q"))
-    q = queries.select(F.col(queries.columns[0]).alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(blocks[0] - 1))).alias("t"), hashed(queries, blocks[1]).alias("q"))
-
-    def match(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        plain, asked, out = own["plain"].tolist(), other["asked"].tolist(), []
-        found: dict[int, list[int]] = {}
-        if plain and asked:
-            here, there = letters(plain), letters(asked)
-            sizes = np.fromiter(map(len, plain), np.int64)
-            for i, a in enumerate(asked):
-                common = np.minimum(here, there[i]).sum(1)
-                for j in np.flatnonzero(2 * common >= least * (sizes + len(a)) - 1e-9).tolist():
-                    found.setdefault(j, []).append(i)
-        for j, those in found.items():
-            matcher = difflib.SequenceMatcher(None, "", plain[j])
-            for i in those:
-                matcher.set_seq1(asked[i])
-                if matcher.quick_ratio() >= least and (s := matcher.ratio()) >= least:
-                    out.append((asked[i], plain[j], s))
-        return pd.DataFrame(out, columns=["asked", "plain", "similarity"])
-
-    return t.groupBy("t", "q").cogroup(q.groupBy("t", "q")).applyInPandas(match, "asked string, plain string, similarity double")
-
-
 def similar_titles(library: DataFrame, queries: DataFrame, key: str, titles: list[str], least: float = 0.6, most: int = 5) -> DataFrame:
     """(query, key, title, similarity): for each query the ``most`` most similar rows of the library, of those at least that similar; ties by key.
 
