@@ -18,6 +18,7 @@ from ..operators import library as L
 from ..operators import longdoc as D
 from ..operators import memory as M
 from ..operators import merge as G
+from ..operators import replay as R
 from ..operators import search as S
 from ..sources import files as X
 from ..streaming import feed as P
@@ -1089,3 +1090,17 @@ def stored_answers(spark, sf):
 select conv_id, 'sum ' || length(text) as summary, false as failed from old""")
 def model_summaries(spark, sf):
     return models.summaries(I.messages(spark, sf), "conv_id", Rules())
+
+
+def _summary(text: str) -> str | None:
+    """Of texts of even length; the others fail."""
+    return f"sum {len(text)}" if len(text) % 2 == 0 else None
+
+
+@query()
+def chat_replay(spark, sf):
+    """Every conversation compressed after each of its answers, with limits that its few turns reach; assistants' messages of every third conversation are results of tools."""
+    tool = (F.col("conv_id") % 3 == 0) & (F.col("role") == "assistant")
+    messages = I.messages(spark, sf).withColumn("role", F.when(tool, "tool").otherwise(F.col("role")))
+    sessions = messages.select("conv_id", F.when(F.col("conv_id") % 10 == 0, 3).otherwise(0).alias("compact_failures")).distinct()
+    return R.replayed(messages, sessions, "conv_id", _summary, R.Limits(snip=1, micro=1, fold=2, auto=3, emergency=4000, recent=1))
