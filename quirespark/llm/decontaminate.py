@@ -182,12 +182,26 @@ def windows(words: list[str], sizes: tuple[int, ...], bitmap: tuple[np.ndarray,
             yield t, i, size, j - i, h, [EDGE.sub("", w).lower() for w, s in zip(words[i:j], slot[i:j]) if s]
 
 
+#: What is known of a text's windows with one hash, in the order of their positions.
+GROUPED = "n_words int, template int, size int, hash long, positions array<int>, lengths array<int>, slots array<array<string>>"
+
+
+def grouped(found: Iterator[tuple[int, int, int, int, int, list[str]]]) -> list[tuple]:
+    """The windows (template, position, size, words, hash, slots) of one text with a row for each template, size and hash."""
+    by: dict[tuple[int, int, int], tuple[list, list, list]] = {}
+    for template, position, size, length, value, slots in found:
+        own = by.setdefault((template, size, value), ([], [], []))
+        for into, x in zip(own, (position, length, slots)):
+            into.append(x)
+    return [(*k, *v) for k, v in by.items()]
+
+
 def window_table(rows: DataFrame, key: list[str], sizes: tuple[int, ...], bitmap: tuple[np.ndarray, int] | None, least: int, numbers: tuple[str, ...] = (), units: tuple[str, ...] = ()) -> DataFrame:
-    """key columns, n_words, template, position, size, length, hash, slots of the windows of a column text. Without a bitmap a text is an item: one of under the largest size has only windows of all its words."""
+    """key columns and those of GROUPED of the windows of a column text: one row for each hash that a text has, however often. Without a bitmap a text is an item: one of under the largest size has only windows of all its words."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(bitmap)
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in key), "n_words int, template int, position int, size int, length int, hash long, slots array<string>"])
+    schema = ", ".join([*(f"{k} {types[k]}" for k in key), GROUPED])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = canonical(numbers, units)
@@ -196,13 +210,13 @@ def window_table(rows: DataFrame, key: list[str], sizes: tuple[int, ...], bitmap
             for r, text in enumerate(batch.column(len(key)).to_pylist()):
                 words = (text or "").split()
                 own = sizes if shared.value is not None else (min(len(words), max(sizes)),)
-                made = list(windows(words, own, shared.value, least, table))
+                made = grouped(windows(words, own, shared.value, least, table))
                 at += [r] * len(made)
                 out += [(len(words), *w) for w in made]
             if out:
                 taken = [batch.column(i).take(pa.array(at)) for i in range(len(key))]
-                kinds = [pa.int32()] * 5 + [pa.int64(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=[*key, "n_words", "template", "position", "size", "length", "hash", "slots"])
+                kinds = [*[pa.int32()] * 3, pa.int64(), *[pa.list_(pa.int32())] * 2, pa.list_(pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=[*key, *(c.split()[0] for c in GROUPED.split(", "))])
 
     return rows.select(*key, "text").mapInArrow(make, schema)
 
@@ -278,16 +292,67 @@ def judged(windows: list, table: Canonical) -> tuple[tuple[int, int, int], tuple
     return best[0], max(best[1:])
 
 
-def run_of(numbers: tuple[str, ...], units: tuple[str, ...]):
-    def run(w: pd.Series) -> pd.DataFrame:
-        """Of each diagonal: words, changed slots and first word of the verbatim run, and of the other one."""
+#: Words of a document that are held against an item at once, at least; parts overlap by the item's length, which no run exceeds.
+PART = 2048
+
+
+def stretches_of(met: list[dict], most: int) -> Iterator[tuple[tuple[int, int, int], list]]:
+    """Of the windows that an item and a document share (by hash: where they are in the item, and where in the document): the stretches on diagonals that follow one another without a gap.
+
+    Each with the best that its run could be (words, no changed slots, -first word), the best first, and its windows. The document is taken in parts; a part's stretches are made by numpy, as two texts that
+    repeat themselves meet in as many places as the product of their lengths.
+    """
+    firsts = [p for m in met for p in m["at"]]
+    part = max(PART, most)
+    for begin in range(min(firsts), max(firsts) + 1, part):
+        until = begin + part + most
+        p, q, of, here, there = [], [], [], [], []
+        for k, m in enumerate(met):
+            at, position = np.asarray(m["at"]), np.asarray(m["positions"])
+            inside = np.flatnonzero((at >= begin) & (at < until))
+            n = len(position)
+            p.append(np.repeat(at[inside], n))
+            q.append(np.tile(position, len(inside)))
+            of.append(np.full(n * len(inside), k))
+            here.append(np.repeat(inside, n))
+            there.append(np.tile(np.arange(n), len(inside)))
+        p, q, of, here, there = (np.concatenate(x) for x in (p, q, of, here, there))
+        if not len(p):
+            continue
+        ends = q + np.concatenate([np.asarray(m["lengths"]) for m in met])[np.concatenate([[0], np.cumsum([len(m["lengths"]) for m in met])])[of] + there]
+        order = np.lexsort((q, p - q))
+        p, q, of, here, there, ends = (x[order] for x in (p, q, of, here, there, ends))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(p - q) != 0) | (np.diff(q) > 1)]))
+        last = np.append(new[1:], len(q))
+        words = np.maximum.reduceat(ends, new) - q[new]
+        for g in np.lexsort((q[new], -words)):
+            a, b = int(new[g]), int(last[g])
+            yield (int(words[g]), 0, -int(q[a])), list(zip(of[a:b].tolist(), there[a:b].tolist(), here[a:b].tolist()))
+
+
+def best_run(met: list[dict], n_words: int, need: int, table: Canonical) -> tuple[int, int, int] | None:
+    """(words, -changed slots, -first word) of the best run of ``need`` words or more that an item of n_words words and a document share."""
+    best: tuple[int, int, int] | None = None
+    for most, own in stretches_of(met, n_words):
+        if most[0] < need or best is not None and best >= most:
+            continue
+        if best == (n_words, 0, 0):
+            break
+        same, other = judged([(m["template"], m["positions"][j], m["lengths"][j], m["slots"][j], m["doc_slots"][i]) for m, j, i in ((met[k], j, i) for k, j, i in own) if len(m["slots"][j]) == len(m["doc_slots"][i])], table)
+        told = [(w, changed, first) for w, changed, first in ((same[0], 0, same[2]), other) if w >= need]
+        best = max([*told, *([best] if best else [])], default=None)
+    return best
+
+
+def run_of(run: int, numbers: tuple[str, ...], units: tuple[str, ...]):
+    def find(w: pd.Series, n: pd.Series) -> pd.DataFrame:
+        """Of each document and item: words, -changed slots and -first word of the best run, or nulls."""
         table, out = canonical(numbers, units), []
-        for rows in w:
-            same, other = judged([(r["template"], r["position"], r["length"], r["slots"], r["doc_slots"]) for r in rows], table)
-            out.append((same[0], -same[2], other[0], -other[1], -other[2]))
-        return pd.DataFrame(out, columns=["same", "same_first", "other", "changed", "first"])
+        for rows, words in zip(w, n):
+            out.append(best_run(list(rows), int(words), min(run, int(words)), table) or (None, None, None))
+        return pd.DataFrame(out, columns=["run", "same", "first"], dtype="Int32")
 
-    return F.pandas_udf(run, "same int, same_first int, other int, changed int, first int")
+    return F.pandas_udf(find, "run int, same int, first int")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN, numbers: tuple[str, ...] = (), units: tuple[str, ...] = ()) -> DataFrame:
@@ -301,15 +366,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
     sizes = tuple(sorted(r.size for r in table.filter(F.col("template") != WHOLE).select("size").distinct().collect()))  # at most ``window`` of them
     rows = columns_of(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "text")
     hits = window_table(rows, ["doc_id", "text_key"], sizes or (window,), bitmap_of(table), least, numbers, units)
-    hits = hits.select("doc_id", "text_key", F.col("n_words").alias("doc_words"), F.col("position").alias("at"), "size", "hash", F.col("slots").alias("doc_slots"))
+    hits = hits.select("doc_id", "text_key", F.col("n_words").alias("doc_words"), F.col("positions").alias("at"), "size", "hash", F.col("slots").alias("doc_slots"))
     whole = (F.col("template") != WHOLE) | (F.col("n_words") == F.col("doc_words"))
-    met = hits.join(table, ["hash", "size"]).filter((F.size("slots") == F.size("doc_slots")) & whole)
-    diagonals = met.groupBy("doc_id", "text_key", "item", "n_words", "size", (F.col("at") - F.col("position")).alias("diagonal")).agg(F.collect_set(F.struct("template", "position", "length", "slots", "doc_slots")).alias("w"))
-    found = diagonals.withColumn("r", run_of(numbers, units)("w"))
-    need = F.least(F.lit(run), "n_words")
-    verbatim, other = F.col("r.same") >= need, F.col("r.other") >= need
-    told = lambda words, changed, first: F.struct(F.col(words).alias("run"), (-changed).alias("same"), (-F.col(first)).alias("first"))
-    found = found.filter(verbatim | other).withColumn("b", F.greatest(F.when(verbatim, told("r.same", F.lit(0), "r.same_first")), F.when(other, told("r.other", F.col("r.changed"), "r.first"))))
+    met = hits.join(table, ["hash", "size"]).filter(whole)
+    pairs = met.groupBy("doc_id", "text_key", "item", "n_words", "size").agg(F.collect_set(F.struct("template", "positions", "lengths", "slots", "at", "doc_slots")).alias("w"))
+    found = pairs.withColumn("b", run_of(run, numbers, units)("w", "n_words")).filter("b.run is not null")
     best = found.groupBy("doc_id", "text_key", "item").agg(F.max("b").alias("b"))
     named = best.join(items.select("item", "item_id"), "item")
     return named.select("doc_id", "text_key", "item_id", F.col("b.run").alias("run_words"), (-F.col("b.first")).alias("first_word"), (-F.col("b.same")).alias("changed_slots"), F.when(F.col("b.same") == 0, "verbatim").otherwise("reparameterised").alias("kind"))

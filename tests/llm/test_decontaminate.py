@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quirespark.llm import decontaminate as D
 
@@ -195,6 +198,37 @@ def test_recast_items_against_brute_force(spark):
     assert len(want) > 60 and got == want
 
 
+def test_texts_that_repeat_themselves(spark):
+    """As many windows meet as the product of both lengths; each pair is still one row, and what is best is found at once."""
+    line = "the tide came in at 7 and Ann went home by the old road at 9 again and "
+    items = [(1, "la " * 400), (2, line * 30), (3, "la di " * 9 + "end of it all now")]
+    rows = [(1, "la " * 20_000), (2, "so " + line.replace("7", "5").replace("9", "8").replace("Ann", "Bea") * 1500), (3, "la di " * 5000), (4, "la la la la la la la la di")]
+    took, began = [], time.time()
+    for r in rows:
+        took.append((found(spark, [r], items), time.time() - began))
+        began = time.time()
+    assert took[0][0] == {(1, 1): ("verbatim", 400, 0)} and took[0][1] < 30
+    assert set(took[1][0]) == {(2, 2)} and took[1][0][2, 2][:2] == ("reparameterised", 30 * 18) and took[1][1] < 30
+    assert took[2][0] == {(3, 3): ("verbatim", 18, 0)} and took[2][1] < 30
+    assert took[3][0] == {}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=1, max_size=60), st.lists(st.sampled_from("abc"), min_size=13, max_size=40), st.sampled_from([1, 7, 2048]))
+def test_best_run_against_every_pair_of_places(doc, item, part):
+    """Over short alphabets, so that windows come again and again."""
+    table, size = D.canonical(), 8
+    mine, theirs = (D.grouped(D.windows(list(t), (size,), None, 5, table)) for t in (item, doc))
+    met = [{"template": a[0], "positions": a[3], "lengths": a[4], "slots": a[5], "at": b[3], "doc_slots": b[5]} for a in mine for b in theirs if a[2] == b[2]]
+    want = max([k for i in range(len(item)) for j in range(len(doc)) for k in [next(n for n in range(99) if item[i + n : i + n + 1] != doc[j + n : j + n + 1] or i + n >= len(item))] if k >= 13], default=None)
+    old, D.PART = D.PART, part
+    try:
+        got = D.best_run(met, len(item), 13, table) if met else None
+    finally:
+        D.PART = old
+    assert (got and got[0]) == want and (not got or got[1] == 0)
+
+
 def test_drop_leaks(spark):
     docs = spark.createDataFrame([(1, ITEM, "a"), (1, "another text", "b"), (None, None, "c"), (2, "fine", "d")], "doc_id long, text string, __id string")
     kept = D.drop_leaks(docs, spark.createDataFrame([(1, ITEM)], BENCH))
