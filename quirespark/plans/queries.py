@@ -767,14 +767,45 @@ def content_list_markdown(spark, sf):
 
 @query("select l_returnflag, sum(l_quantity) as sum_qty, count(*) as n from lineitem group by l_returnflag having count(*) > 10 order by l_returnflag limit 100")
 def sql_front_door(spark, sf):
-    front_door.register(spark, {n: table(spark, sf, n) for n in ("lineitem", "orders", "nation")})
-    return front_door.query(spark, "SELECT l_returnflag, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem GROUP BY l_returnflag HAVING count(*) > 10 ORDER BY l_returnflag;")
+    tables = {n: table(spark, sf, n) for n in ("lineitem", "orders", "nation")}
+    return front_door.query(spark, "SELECT l_returnflag, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem GROUP BY l_returnflag HAVING count(*) > 10 ORDER BY l_returnflag;", tables)
 
 
 @query("select n_name, r_name, row_number() over (partition by r_name order by n_name)::int as k from nation join region on n_regionkey = r_regionkey order by r_name, n_name limit 100")
 def sql_front_door_join(spark, sf):
-    front_door.register(spark, {n: table(spark, sf, n) for n in ("region", "nation")})
-    return front_door.query(spark, "select n_name, r_name, row_number() over (partition by r_name order by n_name) as k from nation join region on n_regionkey = r_regionkey order by r_name, n_name")
+    tables = {n: table(spark, sf, n) for n in ("region", "nation")}
+    return front_door.query(spark, "select n_name, r_name, row_number() over (partition by r_name order by n_name) as k from nation join region on n_regionkey = r_regionkey order by r_name, n_name", tables)
+
+
+#: A statement for each difference between the door's dialect and the small database's, and the same for DuckDB.
+DIALECT = {
+    "group_concat": ("select c_mktsegment as k, group_concat(c_name) as v from customer where c_custkey < 40 group by c_mktsegment order by k", None),
+    "strftime": ("select cast(o_orderkey as string) as k, strftime('%Y-%m at %H:%M:%S', cast(o_orderdate as string)) as v from orders order by o_orderkey limit 50", "select o_orderkey::varchar as k, strftime(o_orderdate, '%Y-%m at %H:%M:%S') as v from orders order by o_orderkey limit 50"),
+    "json_extract": ("select cast(event_id as string) as k, json_extract(props, '$.k') as v from events order by event_id limit 50", "select event_id::varchar as k, props->>'$.k' as v from events order by event_id limit 50"),
+    "json_each": ("select cast(e.event_id as string) as k, concat(j.key, '=', j.value) as v from events e, lateral json_each(e.props) j order by e.event_id limit 50", "select event_id::varchar as k, 'k=' || (props->>'$.k') as v from events order by event_id limit 50"),
+    "like": ("select p_brand as k, cast(count(*) as string) as v from part where p_name ilike '%RING%' group by p_brand order by p_brand", "select p_brand as k, count(*)::varchar as v from part where p_name ilike '%RING%' group by p_brand order by p_brand"),
+    "nocase": ("select p_brand as k, cast(count(*) as string) as v from part where p_name like '%RiNg' group by p_brand order by p_brand", "select p_brand as k, count(*)::varchar as v from part where p_name ilike '%RiNg' group by p_brand order by p_brand"),
+    "whole division": ("select cast(p_partkey as string) as k, cast(p_size div 7 as string) as v from part order by p_partkey limit 50", "select p_partkey::varchar as k, (p_size // 7)::varchar as v from part order by p_partkey limit 50"),
+    "bare columns": ("select p_brand as k, any_value(p_brand) as v from part group by p_brand order by p_brand", "select p_brand as k, any_value(p_brand) as v from part group by p_brand order by p_brand"),
+    "lenient casts": ("select p_name as k, coalesce(cast(cast(p_name as int) as string), 'none') as v from part group by p_name order by p_name limit 50", "select p_name as k, coalesce(try_cast(p_name as int)::varchar, 'none') as v from part group by p_name order by p_name limit 50"),
+    "nulls first": ("select coalesce(cast(x as string), 'null') as k, cast(row_number() over (order by x) as string) as v from (select nullif(n_regionkey, 2) as x from nation) order by v", "select coalesce(x::varchar, 'null') as k, (row_number() over (order by x nulls first))::varchar as v from (select nullif(n_regionkey, 2) as x from nation)"),
+    "paging": ("select n_name as k, cast(n_nationkey as string) as v from nation order by n_nationkey limit 5 offset 3", "select n_name as k, n_nationkey::varchar as v from nation order by n_nationkey limit 5 offset 3"),
+    "set operations": ("select n_name as k, 'a' as v from nation except select n_name, 'a' from nation where n_nationkey > 9 order by k", "select n_name as k, 'a' as v from nation where n_nationkey <= 9"),
+}
+_CONCAT = "select c_mktsegment as k, length(string_agg(c_name, ','))::varchar as v from customer where c_custkey < 40 group by c_mktsegment"
+
+
+@query(" union all ".join(f"select '{name}' as topic, k, v from ({own or _CONCAT})" for name, (_, own) in DIALECT.items()))
+def sql_dialect(spark, sf):
+    """Each statement through the door; of group_concat, whose order is open, the length."""
+    tables = {n: table(spark, sf, n) for n in ("customer", "orders", "events", "part", "nation")}
+    made = None
+    for name, (statement, _) in DIALECT.items():
+        own = front_door.query(spark, statement, tables, nocase=name == "nocase")
+        v = F.length("v").cast("string") if name == "group_concat" else F.col("v")
+        row = own.select(F.lit(name).alias("topic"), F.collate("k", "UTF8_BINARY").alias("k"), F.collate(v, "UTF8_BINARY").alias("v"))
+        made = row if made is None else made.unionByName(row)
+    return made
 
 
 # --- single papers, terms, tags ------------------------------------------------------------------------------------------
@@ -1004,18 +1035,75 @@ def chat_snip_shapes(spark, sf):
     return C.snipped(told, "conv_id").filter("role = 'tool' and not was").select("conv_id", "turn", "content")
 
 
-@query("""select 'search_papers' as name, least(count(*), 10) as n, 0 as failed from part where contains(lower(p_name), 'e') union all select 'get_paper_metadata', count(*), 0 from part where p_partkey = 3
-union all select 'query_database', (select count(*) from region), 0 union all select 'edit_image', 1, 1 union all select 'nothing', 1, 1 union all select 'search_across_papers', 1, 1""")
+def _library(spark, sf) -> dict:
+    """Papers, results with their structure, annotations, sessions and messages from documents, benchmark items and conversations."""
+    lines = F.split("text", "\n")
+    docs = table(spark, sf, "documents").filter("text is not null")
+    papers = docs.select(F.col("doc_id").cast("string").alias("id"), F.get(lines, F.lit(0)).alias("title"), F.lit("").alias("title_zh"), F.get(lines, F.lit(1)).alias("abstract"), F.lit(None).cast("string").alias("abstract_zh"), F.array("lang").alias("keywords"), F.lit(2000).alias("year"), F.lit("").alias("domain"), F.col("source").alias("journal"), F.array("source").alias("authors"))
+    at = lambda i: i % 7
+    body = F.transform(lines, lambda x, i: F.struct(F.when(at(i) == 0, 1).when(at(i) == 3, 2).otherwise(0).alias("标题等级"), F.when(at(i) != 5, x).otherwise("").alias("文本"), F.lit("").alias("中文文本"), F.when(at(i) == 5, F.concat(F.lit("img/"), i.cast("string"))).otherwise("").alias("图片地址")))
+    structure = F.to_json(F.struct(F.get(lines, F.lit(0)).alias("标题"), F.lit("2000").alias("年份"), body.alias("正文"), F.array(F.lit("A. Ref"), F.lit("B. Ref")).alias("参考文献")))
+    results = docs.select(F.concat(F.lit("r"), "doc_id").alias("id"), F.col("doc_id").cast("string").alias("paper_id"), structure.alias("structure_json"), F.lit("2020-01-01").cast("timestamp_ntz").alias("created_at"))
+    annotations = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.concat(F.lit("r"), F.col("item_id") % 5).alias("result_id"), F.lit("paper").alias("scope"), F.col("text").alias("content"), F.lit("").alias("selected_text"), F.lit("").alias("block_id"))
+    talk = table(spark, sf, "conversations")
+    sessions = talk.select(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("talk "), "conv_id").alias("title")).distinct()
+    messages = talk.select(F.concat("conv_id", F.lit("-"), "turn").alias("id"), F.col("conv_id").cast("string").alias("session_id"), "role", F.col("text").alias("content"), F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn")).alias("created_at"))
+    return {"papers": papers, "results": results, "annotations": annotations, "sessions": sessions, "messages": messages}
+
+
+_FIND = "ion der thon ère"
+_ONE = "blocks b where doc_id = 3"
+
+
+@query(f"""with {I.BLOCKS}, papers as (select doc_id, {score_sql(_FIND, "concat_ws(' ', string_split(text, chr(10))[1], string_split(text, chr(10))[2], lang, '', source)")} as score from documents where text is not null),
+best as (select doc_id::varchar as id from papers where score > 0 order by score desc, doc_id::varchar limit 7),
+own as (select idx, level, coalesce(text, '') as text, image_url, {score_sql(_FIND)} as score from {_ONE}),
+hits as (select idx from own where image_url is null and score > 0 order by score desc, idx limit 4),
+section as (select * from own where image_url is null and idx > 3 and idx < coalesce((select min(idx) from own where level between 1 and 2 and idx > 3), 1000000) and text <> ''),
+notes as (select item_id, text from benchmark where item_id % 5 = 3),
+cross_hits as (select {score_sql(_FIND)} as score from blocks where image_url is null)
+select 'search_papers' as name, count(*) as n, string_agg(id, ',' order by id) as shown from best
+union all select 'get_paper_outline', (select count(*) from own where level >= 1), (select text from own where idx = 0)
+union all select 'search_in_paper', (select count(*) from hits), (select string_agg(idx::varchar, ',' order by idx) from hits) || '|' || (select count(*) from notes where contains(lower(text), 'ion') or contains(lower(text), 'der') or contains(lower(text), 'thon') or contains(lower(text), 'ère'))
+union all select 'get_paper_section', (select count(*) from section), (select string_agg(text, chr(10) order by idx) from section)
+union all select 'get_paper_section miss', (select least(20, count(*)) from own where level >= 1), 'no heading ' || chr(39) || 'no such heading' || chr(39)
+union all select 'get_references', 2, 'A. Ref'
+union all select 'get_annotations', (select count(*) from notes), (select string_agg(item_id::varchar, ',' order by item_id::varchar) from notes)
+union all select 'search_annotations', (select count(*) from benchmark where contains(lower(text), 'tion') or contains(lower(text), 'der')), ''
+union all select 'search_across_papers', (select least(6, count(*)) from cross_hits where score > 0), (select count(*)::varchar from cross_hits where score > 0)
+union all select 'get_paragraph_context', (select count(*) from own where idx between 0 and 4 and image_url is null), '2'
+union all select 'get_paper_metadata', 1, (select string_split(text, chr(10))[1] from documents where doc_id = 3)
+union all select 'search_chat_history', (select least(5, count(*)) from conversations where role = 'assistant' and contains(lower(text), 'ion')), ''
+union all select 'query_database', 1, (select count(*)::varchar from documents where text is not null)
+union all select 'generate_image', 1, 'no image service' union all select 'edit_image', 1, 'no image service' union all select 'nothing', 1, 'unknown operation: nothing' union all select 'search_in_paper missing', 1, 'no result of this paper'""")
 def named_operations(spark, sf):
-    """Operations by name; a service that isn't there, an unknown name and wrong arguments are errors as data."""
-    empty = lambda name: spark.createDataFrame([], getattr(schema, name))
-    papers = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), *[F.lit("").alias(c) for c in ("title_zh", "abstract", "keywords", "domain")])
-    ops = operations.library_operations(spark, {"papers": papers, "results": empty("RESULTS"), "annotations": empty("ANNOTATIONS"), "sessions": empty("CHAT_SESSIONS"), "messages": empty("CHAT_MESSAGES"), "region": table(spark, sf, "region")})
-    calls = {"search_papers": {"query": "e"}, "get_paper_metadata": {"paper_id": "3"}, "query_database": {"sql": "select * from region"}, "edit_image": {"image": "x"}, "nothing": {}, "search_across_papers": {"word": "x"}}
+    """Every operation as an assistant calls it, on paper 3 or all papers: how many rows or parts the answer has, and something of it."""
+    tables = _library(spark, sf)
+    ops = operations.library_operations(spark, tables)
+    heading = schema.blocks(tables["results"].filter("paper_id = '3'")).filter("block_idx = 3").first()
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(F.col(c).cast("string"))), ",")
+    one, many = F.lit(1).cast("long"), F.count("*")
+    calls = [
+        ("search_papers", "", {"query": _FIND, "limit": 7}, many, listed("paper_id")),
+        ("get_paper_outline", "", {"paper_id": "3"}, F.max(F.size("outline")), F.max("paper.title")),
+        ("search_in_paper", "", {"paper_id": "3", "query": _FIND, "limit": 4}, F.max(F.size("matches")), F.max(F.concat(F.array_join(F.array_sort(F.transform("matches", lambda m: m["block_idx"])).cast("array<string>"), ","), F.lit("|"), F.greatest(F.size(F.coalesce("annotations", F.array())), F.lit(0)).cast("string")))),
+        ("get_paper_section", "", {"paper_id": "3", "heading": heading.text_en if heading else "x"}, F.max("paragraph_count"), F.max("content_en")),
+        ("get_paper_section", " miss", {"paper_id": "3", "heading": "no such heading"}, F.max(F.size("available_headings")), F.max("error")),
+        ("get_references", "", {"paper_id": "3"}, many, F.min("text")),
+        ("get_annotations", "", {"paper_id": "3"}, many, listed("id")),
+        ("search_annotations", "", {"query": "tion der"}, many, F.lit("")),
+        ("search_across_papers", "", {"keyword": _FIND, "limit": 6}, many, F.max("total_found").cast("string")),
+        ("get_paragraph_context", "", {"paper_id": "3", "block_idx": 2, "window": 2}, many, F.max(F.when(F.col("is_target"), F.col("block_idx"))).cast("string")),
+        ("get_paper_metadata", "", {"paper_id": "3"}, many, F.max("title")),
+        ("search_chat_history", "", {"query": "ion"}, many, F.lit("")),
+        ("query_database", "", {"sql": "SELECT cast(count(*) as string) AS n FROM papers"}, many, F.max("n")),
+        *[(name, "", {}, one, F.max("error")) for name in ("generate_image", "edit_image", "nothing")],
+        ("search_in_paper", " missing", {"paper_id": "none", "query": "x"}, one, F.max("error")),
+    ]
     made = None
-    for name, arguments in calls.items():
+    for name, kind, arguments, n, shown in calls:
         found = ops.call(spark, name, **arguments)
-        row = found.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.lit(int(found.columns == ["error"])).alias("failed"))
+        row = found.agg(n.cast("long").alias("n"), shown.alias("shown")).select(F.lit(name + kind).alias("name"), "n", "shown")
         made = row if made is None else made.unionByName(row)
     return made
 
