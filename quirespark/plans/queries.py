@@ -21,7 +21,10 @@ from ..operators import merge as G
 from ..operators import replay as R
 from ..operators import search as S
 from ..sources import files as X
+from ..stored import shared_folder
+from ..streaming import expiry as E
 from ..streaming import feed as P
+from ..streaming import monitor as N
 from . import bindings as I
 from . import front_door, operations
 from .bindings import table
@@ -996,18 +999,29 @@ def job_feed(spark, sf):
     return P.batch_feed(_news(spark, sf)).select("job_id", "seq", "status", "progress", "result_id")
 
 
-@query(f"""with {NEWS}, states as (select *, job_id % 10 as parent from news qualify row_number() over (partition by job_id order by seq desc) = 1),
-touched as (select distinct job_id % 10 as parent from news where seq % 10 = 1 and job_id % 4 = 0)
-select parent as parent_job_id, case when count(*) filter (where status = 'completed') = count(*) then 'completed' else arg_min(status, job_id) filter (where status <> 'completed') end as status,
-case when count(*) filter (where status = 'completed') = count(*) then 100 else floor((count(*) filter (where status = 'completed') * 100 + arg_min(progress, job_id) filter (where status <> 'completed')) / count(*))::int end as progress
-from states where parent in (select parent from touched) group by 1""")
+@query(f"""with {NEWS}, states as (select i, job_id % 10 as parent, status, progress, job_id from news, (values (0), (1), (2)) v(i) where seq % 3 <= i qualify row_number() over (partition by i, job_id order by seq desc) = 1),
+rolled as (select i, parent, case when count(*) filter (where status = 'completed') = count(*) then 'completed' else arg_min(status, job_id) filter (where status <> 'completed') end as status,
+  case when count(*) filter (where status = 'completed') = count(*) then 100 else floor((count(*) filter (where status = 'completed') * 100 + arg_min(progress, job_id) filter (where status <> 'completed')) / count(*))::int end as progress
+from states group by i, parent)
+select parent::varchar as parent_job_id, status, progress from rolled qualify row_number() over (partition by parent order by case when status = 'completed' then i else 9 - i end) = 1""")
 def parents_after_news(spark, sf):
-    """A batch of news of some children, merged into the states of all; the parents it touches, judged by all their children."""
-    news = _news(spark, sf)
-    held: list = []
-    batch = (F.col("seq") % 10 == 1) & (F.col("job_id") % 4 == 0)
-    P.roll_up_each(news.filter(batch), news.filter(~batch), held.append)
-    return held[0]
+    """Three batches of news of children, one of them twice, each by a monitor that has just started: what all parents are."""
+    news, folder = _news(spark, sf), shared_folder(spark)
+    for number in (0, 1, 1, 2):
+        N.ParentMonitor(folder)(news.filter(F.col("seq") % 3 == number), number)
+    return N.ParentMonitor(folder).parents(spark)
+
+
+@query("""with e as (select user_id::varchar as key, case when event_type = 'click' then 'request' when event_type = 'view' then 'token' else 'operation' end as kind, epoch_us(ts) // 1000 as "at", value > 60 as closes from events),
+n as (select *, "at" + case kind when 'operation' then 7200000 else 900000 end as until, lead("at") over w as next_at, lead(closes) over w as next_closes from e window w as (partition by key order by "at", closes)),
+o as (select *, coalesce(next_at > until, epoch_ms(timestamp '2024-01-20 00:00:00') > until) as late from n where not closes)
+select key, kind, 'opened' as event, "at" from o union all select key, kind, 'expired', until from o where late union all select key, kind, 'closed', next_at from o where not late and next_closes""")
+def expired_terms(spark, sf):
+    """Events as openings and closings of requests, tokens and operations, and what has expired by a moment."""
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    kind = F.when(F.col("event_type") == "click", "request").when(F.col("event_type") == "view", "token").otherwise("operation")
+    events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), kind.alias("kind"), at.alias("at"), (F.col("value") > 60).alias("closes"))
+    return E.at_rest(events, F.unix_millis(F.lit("2024-01-20 00:00:00").cast("timestamp")))
 
 
 @query("""select l_orderkey, min(turn) as turn from (select l_orderkey, turn, l_returnflag <> 'A' and lag(l_returnflag) over w <> 'A' and lag(l_returnflag, 2) over w <> 'A' as third from (select *, (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey as turn from lineitem) window w as (partition by l_orderkey order by turn)) where third group by 1""")

@@ -78,12 +78,14 @@ def relinked_images(docs: DataFrame, links: DataFrame, key: str, text: str = "te
     Paths are exploded and joined by basename; only then text is rebuilt from its parts.
     """
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    pattern = F.lit(r"!\[[^\]]*\]\(([^)]+)\)")
-    paths = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, pattern, 1))).alias("old"))
+    image = r"(!\[[^\]]*\]\()([^)]+)\)"
+    heads, olds = (F.regexp_extract_all(text, F.lit(image), F.lit(k)) for k in (1, 2))
+    paths = docs.select(key, F.explode(F.array_distinct(olds)).alias("old"))
     best = paths.join(links.withColumnRenamed(key, "__k"), (F.col(key) == F.col("__k")) & (base("old") == base("name"))).groupBy(key, "old").agg(F.min_by("url", "pos").alias("url"))
     maps = best.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("old", "url"))).alias("urls"))
-    pieces = F.split(F.col(text), r"(?<=!\[[^\]]{0,200}\]\()|(?=\))")
-    return docs.join(maps, key, "left").withColumn(text, F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("urls", p), p)), "")).drop("urls")
+    own = docs.withColumns({"__heads": heads, "__olds": olds, "__between": F.split(text, image)}).join(maps, key, "left")
+    linked = F.transform("__between", lambda x, i: F.concat(x, F.coalesce(F.concat(F.get("__heads", i), F.coalesce(F.try_element_at("urls", F.get("__olds", i)), F.get("__olds", i)), F.lit(")")), F.lit(""))))
+    return own.withColumn(text, F.array_join(linked, "")).drop("urls", "__heads", "__olds", "__between")
 
 
 def bundle_files(wanted: DataFrame, there: DataFrame) -> DataFrame:

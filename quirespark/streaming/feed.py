@@ -70,16 +70,6 @@ def merged_states(states: DataFrame, batch: DataFrame) -> DataFrame:
     return latest(states.unionByName(batch.select(*states.columns)), "job_id", "seq")
 
 
-def roll_up_each(batch: DataFrame, states: DataFrame, write) -> DataFrame:
-    """For foreachBatch: merges a batch into the table of the latest states and hands ``write`` the parents that it touches, judged by all their children; returns the new table of states."""
-    from ..operators.longdoc import parent_status
-
-    now = merged_states(states, batch)
-    touched = batch.filter("parent_job_id is not null").select("parent_job_id").distinct()
-    write(parent_status(now.join(touched, "parent_job_id", "left_semi")))
-    return now
-
-
 def live(rows: DataFrame, now: str, expires: str = "expires_at") -> DataFrame:
     """Requests and tokens that haven't expired."""
     return rows.filter(F.col(expires) >= F.lit(now).cast("timestamp"))

@@ -283,14 +283,6 @@ def test_streaming_feed(spark, tmp_path):
     assert told == {("a", 1, None), ("a", 3, None), ("b", 1, "r")} == {(r.job_id, r.seq, r.result_id) for r in P.batch_feed(log).collect()}
 
 
-def test_parents_by_all_children(spark):
-    kind = "job_id string, seq long, parent_job_id string, chapter_index int, status string, progress int"
-    states = spark.createDataFrame([("a", 1, "p", 0, "completed", 100), ("b", 1, "p", 1, "translating", 10), ("c", 1, "q", 0, "completed", 100)], kind)
-    held = []
-    now = P.roll_up_each(spark.createDataFrame([("b", 2, "p", 1, "completed", 100)], kind), states, held.append)
-    assert [(r.parent_job_id, r.status, r.progress) for r in held[0].collect()] == [("p", "completed", 100)] and now.count() == 3
-
-
 def test_tables_are_restored(spark, tmp_path):
     path = str(tmp_path / "t")
     X.replace_table(spark.range(3), path, 1)
@@ -352,6 +344,8 @@ def test_files(spark, tmp_path):
     links = spark.createDataFrame([(1, 0, "papers/9/i.png", "/u/i.png")], "k int, pos int, name string, url string")
     docs = spark.createDataFrame([(1, "a ![x](images/i.png) b (c)")], "k int, text string")
     assert X.relinked_images(docs, links, "k").first().text == "a ![x](/u/i.png) b (c)"
+    long = spark.createDataFrame([(1, f"![{'t' * 2500}](images/i.png)(images/i.png) ![](other.png)![]() images/i.png"), (2, "![x](images/i.png)"), (3, None)], "k int, text string")
+    assert {r.k: r.text for r in X.relinked_images(long, links, "k").collect()} == {1: f"![{'t' * 2500}](/u/i.png)(images/i.png) ![](other.png)![]() images/i.png", 2: "![x](images/i.png)", 3: None}
 
 
 def test_models(spark):
