@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,7 @@ from ..operators import memory as M
 from ..operators import merge as G
 from ..operators import replay as R
 from ..operators import search as S
+from ..sources import bundle, large
 from ..sources import files as X
 from ..stored import shared_folder
 from ..streaming import expiry as E
@@ -1206,3 +1209,43 @@ def chat_replay(spark, sf):
     messages = I.messages(spark, sf).withColumn("role", F.when(tool, "tool").otherwise(F.col("role")))
     sessions = messages.select("conv_id", F.when(F.col("conv_id") % 10 == 0, 3).otherwise(0).alias("compact_failures")).distinct()
     return R.replayed(messages, sessions, "conv_id", _summary, R.Limits(snip=1, micro=1, fold=2, auto=3, emergency=4000, recent=1))
+
+
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+def _archives(rows: DataFrame, folder: str) -> None:
+    """A zip file for each part of the table (doc_id, text), with a member for each row."""
+
+    def pack(frames):
+        import pandas as pd
+
+        fs, path = large.opened(folder)
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(f"{path}/{uuid.uuid4().hex}.zip") as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            for frame in frames:
+                for doc, text in zip(frame["doc_id"], frame["text"]):
+                    z.writestr(f"{doc}.md", text)
+        yield pd.DataFrame({"n": [1]})
+
+    rows.mapInPandas(pack, "n int").count()
+
+
+@query("""select doc_id, octet_length(encode(text))::bigint as size, sha256(text) as sha256, ceil(octet_length(encode(text)) / 1000.0)::bigint as pieces from documents where text <> ''""")
+def archived_texts(spark, sf):
+    """Documents packed into zip files by the tasks and read back in pieces of 1000 bytes."""
+    folder = f"{shared_folder(spark)}/archives"
+    _archives(table(spark, sf, "documents").select("doc_id", "text").filter("text <> ''"), folder)
+    pieces = large.archive_pieces(spark, folder, piece=1000)
+    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", F.hex("content").alias("h")))), lambda x: x["h"]), ""))
+    read = pieces.groupBy("path", "name").agg(whole.alias("content"), F.count("*").alias("pieces"))
+    return read.select(F.regexp_extract("name", r"^\d+", 0).cast("long").alias("doc_id"), F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "pieces")
+
+
+@query("""select c_nationkey as nation, count(*) as n, sum(c_custkey)::bigint as total from customer group by 1""")
+def bundled_rows(spark, sf):
+    """Customers written as a bundle, and read back by its manifest."""
+    folder = f"{shared_folder(spark)}/bundle"
+    bundle.write_bundle({"customer": table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "region": table(spark, sf, "region")}, folder)
+    rows = bundle.read_bundle(spark, folder, "customer")
+    return rows.groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"), F.sum("c_custkey").alias("total"))

@@ -2,63 +2,38 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..stored import drop
+from . import large
+from .bundle import numbered
 
 CONTENT = "array<struct<type:string,text:string,text_level:int,img_path:string,table_body:string>>"
 
 
 def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """path, size and sha256 of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.lit(True).alias("is_file"))
+    """path, size and sha256 of every file below a folder, however large."""
+    return large.hashed_files(spark, folder, glob).withColumn("is_file", F.lit(True))
 
 
 IMAGES = ("png", "jpg", "jpeg", "webp", "gif")
 
 
-def _members(spark: SparkSession, folder: str, schema: str, read) -> DataFrame:
-    """Rows that ``read`` makes of each zip file below a folder, a file and a few rows at a time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(folder).select("path", "content")
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for row in read(path, z):
-                        yield pd.DataFrame([row], columns=names)
-
-    return files.mapInPandas(run, schema)
-
-
 def parsed_archives(spark: SparkSession, folder: str) -> DataFrame:
     """path, markdown and content_list of zip files of parsed documents: the first *.md is the text. Their images are a table of their own, ``archive_images``."""
-
-    def read(path: str, z: zipfile.ZipFile) -> Iterator[tuple]:
-        first = lambda end: next((z.read(n).decode("utf-8", "replace") for n in z.namelist() if n.endswith(end)), None)
-        yield path, first(".md"), first("_content_list.json")
-
-    return _members(spark, folder, "path string, markdown string, content_list string", read)
+    texts = large.archive_texts(spark, folder, "*.md,*_content_list.json")
+    first = lambda end: F.min_by("text", F.when(F.endswith("name", F.lit(end)), F.col("name")))
+    return texts.groupBy("path").agg(first(".md").alias("markdown"), first("_content_list.json").alias("content_list"))
 
 
 def archive_images(spark: SparkSession, folder: str) -> DataFrame:
     """path, name and content of every image in zip files of parsed documents."""
-
-    def read(path: str, z: zipfile.ZipFile) -> Iterator[tuple]:
-        for n in z.namelist():
-            if n.lower().rpartition(".")[2] in IMAGES:
-                yield path, n, z.read(n)
-
-    return _members(spark, folder, "path string, name string, content binary", read)
+    rows = large.archive_pieces(spark, folder)
+    image = F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*IMAGES)
+    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", F.hex("content").alias("h")))), lambda x: x["h"]), ""))
+    return rows.filter(image).groupBy("path", "name").agg(whole.alias("content"))
 
 
 def content_list_markdown(docs: DataFrame, key: str, content: str = "content_list") -> DataFrame:
@@ -89,20 +64,9 @@ def relinked_images(docs: DataFrame, links: DataFrame, key: str, text: str = "te
 
 
 def bundle_files(wanted: DataFrame, there: DataFrame) -> DataFrame:
-    """path, archive_path, size, sha256 and missing of the files that a bundle takes: each path once, numbered in the order of paths; those that aren't ``there`` (path, size, sha256) are told as missing.
-
-    Numbers run over the whole list of a bundle's files, which is short beside the files themselves: one task sees the list.
-    """
+    """path, archive_path, size, sha256 and missing of the files that a bundle takes: each path once, numbered in the order of paths; those that aren't ``there`` (path, size, sha256) are told as missing."""
     once = wanted.select("path").distinct().join(there.select("path", "size", "sha256"), "path", "left")
-    number = F.row_number().over(W.orderBy("path")) - 1
-    return once.select("path", T.bundle_path(number, F.col("path")).alias("archive_path"), "size", "sha256", F.col("sha256").isNull().alias("missing"))
-
-
-def write_bundle(tables: dict[str, DataFrame], manifest: DataFrame, folder: str) -> None:
-    """The changed rows of each table, and the manifest, as Parquet below a folder."""
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/table={name}")
-    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    return numbered(once, "path").select("path", T.bundle_path(F.col("number"), F.col("path")).alias("archive_path"), "size", "sha256", F.col("sha256").isNull().alias("missing"))
 
 
 def replace_table(rows: DataFrame, path: str, version: int) -> str:
@@ -116,10 +80,13 @@ def restored_table(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version}")
 
 
-def replaced_or_restored(rows: DataFrame, path: str, version: int) -> tuple[DataFrame, int]:
-    """Writes the next version and returns it with its number; where that fails, the version before it as it is."""
+def replaced_or_restored(rows: DataFrame, path: str, version: int) -> tuple[DataFrame, int, str | None]:
+    """Writes the next version and returns it with its number; where rows can't be made or written, the version before it as it is, and what went wrong. That there is a next version already is no such thing: someone else has written it, and the error is raised."""
     try:
         replace_table(rows, path, version + 1)
-    except Exception:  # noqa: BLE001 - whatever went wrong, the library goes on with what it had
-        return restored_table(rows.sparkSession, path, version), version
-    return restored_table(rows.sparkSession, path, version + 1), version + 1
+    except Exception as e:  # noqa: BLE001 - whatever went wrong, the library goes on with what it had
+        if "PATH_ALREADY_EXISTS" in str(e):
+            raise
+        drop(rows.sparkSession, f"{path}/version={version + 1}")
+        return restored_table(rows.sparkSession, path, version), version, str(e)[:500]
+    return restored_table(rows.sparkSession, path, version + 1), version + 1, None

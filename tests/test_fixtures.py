@@ -286,11 +286,14 @@ def test_streaming_feed(spark, tmp_path):
 def test_tables_are_restored(spark, tmp_path):
     path = str(tmp_path / "t")
     X.replace_table(spark.range(3), path, 1)
-    now, version = X.replaced_or_restored(spark.range(5), path, 1)
-    assert (now.count(), version) == (5, 2)
+    now, version, wrong = X.replaced_or_restored(spark.range(5), path, 1)
+    assert (now.count(), version, wrong) == (5, 2, None)
     bad = spark.range(1).select(F.raise_error(F.lit("no")).cast("bigint").alias("id"))
-    now, version = X.replaced_or_restored(bad, path, 2)
-    assert (now.count(), version) == (5, 2)
+    now, version, wrong = X.replaced_or_restored(bad, path, 2)
+    assert (now.count(), version) == (5, 2) and "no" in wrong
+    with pytest.raises(Exception, match="EXISTS"):
+        X.replaced_or_restored(spark.range(7), path, 1)
+    assert X.restored_table(spark, path, 2).count() == 5
 
 
 def test_pages_are_clamped_once(spark):
