@@ -91,7 +91,8 @@ shown as (
     s.text || '{END}' as body
   from said s join speakers p on s.conv_id is not distinct from p.conv_id),
 placed as (
-  select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, perspective order by turn, role, text, id rows between unbounded preceding and 1 preceding), 0)::bigint as pos
+  select *, row_number() over (partition by conv_id, perspective order by turn, role, text, id) - 1 as number,
+    coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, perspective order by turn, role, text, id rows between unbounded preceding and 1 preceding), 0)::bigint as pos
   from shown)
 select conv_id, perspective, count(*)::bigint as n_messages,
   string_agg(head || body || chr(10), '' order by turn, role, text, id) as rendered,
@@ -99,3 +100,14 @@ select conv_id, perspective, count(*)::bigint as n_messages,
   coalesce(sum(case when own then length(body) end), 0)::bigint as n_trained
 from placed group by conv_id, perspective
 """
+
+
+def parts_sql(size: int = PART) -> str:
+    """``parts`` in DuckDB."""
+    head, _, _ = ROTATED_SQL.partition("select conv_id, perspective, count(*)::bigint as n_messages")
+    return f"""{head}
+select conv_id, perspective, (number // {size})::bigint as part, min(pos)::bigint as begin, count(*)::bigint as n_messages,
+  string_agg(head || body || chr(10), '' order by number) as rendered,
+  coalesce(string_agg(case when own then (pos + length(head))::varchar || '-' || (pos + length(head) + length(body))::varchar end, ',' order by number), '') as mask,
+  coalesce(sum(case when own then length(body) end), 0)::bigint as n_trained
+from placed group by conv_id, perspective, number // {size}"""

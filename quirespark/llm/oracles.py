@@ -80,4 +80,7 @@ heads as (select *, min(page_id) over (partition by address) as first from hashe
 select page_id, octet_length(encode(html))::bigint as payload_bytes, """ + _DIGEST.replace("(('0x'", "((('0x'") + """ as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from heads"""
 
-ORACLES = {"op1_jump_hash_shards": SHARDS, "op2_quality_rules": _quality(), "op6_perspective_rotation": chat_format.ROTATED_SQL, "op7_content_addressed_warc": WARC, "op12_prefix_trie": prefix_trie.trie_sql(CRC, crc32), "op13_merkle_manifest": merkle.audited_sql(CRC, crc32)}
+#: Messages of a part in the query of parts: few, so that short dialogues have several.
+FEW = 4
+
+ORACLES = {"op1_jump_hash_shards": SHARDS, "op2_quality_rules": _quality(), "op6_perspective_rotation": chat_format.ROTATED_SQL, "perspective_parts": chat_format.parts_sql(FEW), "op7_content_addressed_warc": WARC, "op12_prefix_trie": prefix_trie.trie_sql(CRC, crc32), "op13_merkle_manifest": merkle.audited_sql(CRC, crc32)}

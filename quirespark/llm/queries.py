@@ -50,6 +50,11 @@ def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rotated(table(spark, sf_dir, "conversations"))
 
 
+def perspective_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The renderings of op6 in parts of a few messages: for dialogues too long for a row."""
+    return chat_format.parts(table(spark, sf_dir, "conversations"), oracles.FEW)
+
+
 def op7_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, heads = warc.write_archives(table(spark, sf_dir, "pages"), least=0)
     found = warc.originals(written(warc.read_archives(manifest), "read"), heads)
@@ -89,7 +94,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_jump_hash_shards, op2_quality_rules, op3_simhash_near_dedup, op4_template_decontamination, op5_token_files, op6_perspective_rotation, op7_content_addressed_warc, op8_ordinal_quality, op9_block_tree_extraction, op10_best_fit_packing, op11_attention_scores, op12_prefix_trie, op13_merkle_manifest]
+    own = [op1_jump_hash_shards, op2_quality_rules, op3_simhash_near_dedup, op4_template_decontamination, op5_token_files, op6_perspective_rotation, op7_content_addressed_warc, op8_ordinal_quality, op9_block_tree_extraction, op10_best_fit_packing, op11_attention_scores, op12_prefix_trie, op13_merkle_manifest, perspective_parts]
     return {f.__name__: f for f in own}
 
 

@@ -50,6 +50,7 @@ def test_long_conversation_is_whole(spark):
 
 def test_long_conversation_as_its_sql(spark, tmp_path):
     import duckdb
+import pytest
 
     spark.createDataFrame(long_talk() + ROWS, KIND).coalesce(1).write.parquet(str(tmp_path / "c"))
     con = duckdb.connect()
@@ -74,8 +75,14 @@ def test_very_long_text(spark):
     assert found(C.rotated(spark.createDataFrame(rows, KIND))) == brute(rows)
 
 
-def test_same_as_sql(spark, small):
-    name = "op6_perspective_rotation"
+def test_many_messages_without_a_conversation(spark):
+    rows = [(None, i % 3000, "a" if i % 2 else "b", f"t{i}") for i in range(6000)] + [(1, 0, "a", "x")]
+    got = C.parts(spark.createDataFrame(rows, KIND), 64).collect()
+    assert max(r.n_messages for r in got) == 64 and sum(r.n_messages for r in got if r.conv_id is None and r.perspective == "a") == 6000
+
+
+@pytest.mark.parametrize("name", ["op6_perspective_rotation", "perspective_parts"])
+def test_same_as_sql(spark, small, name):
     oracle.same(queries.queries()[name](spark, small), oracle.connect(small), queries.oracle_sql()[name])
 
 
