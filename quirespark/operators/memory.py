@@ -103,22 +103,20 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PHRASE_WORD), 0)
 
 
-def runs(w: str, plain: str, size: int) -> Column:
-    """(size, pos, phrase) of the runs of ``size`` neighbours in the array ``w`` whose flags in ``plain`` all hold; pos from 1."""
-    whole = F.filter(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.forall(F.slice(plain, i, size), lambda x: x))
-    found = F.transform(whole, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.array_join(F.slice(w, i, size), " ").alias("phrase")))
-    return F.when(F.size(w) >= size, found).otherwise(F.array().cast("array<struct<size:int,pos:int,phrase:string>>"))
-
-
 def phrases(docs: DataFrame, key: str, text: str = "text", k: int = 60) -> DataFrame:
     """key, phrase and n: two- and three-word phrases without stop words that come twice or more, as first written; the k most frequent.
 
-    Runs go across lines. Counted per document by lower-case phrase; ties go to the phrase that came first (pairs before triples). Both sizes come from
-    one reading of the text, and runs with a stop word are left out before rows are made of them.
+    Runs go across lines. Counted per document by lower-case phrase; ties go to the phrase that came first (pairs before triples). Each word is a row with its two neighbours, and rows are counted as they are
+    written before those of one phrase meet, so that neither step sorts words.
     """
-    own = docs.select(key, words(F.col(text)).alias("w")).withColumn("plain", F.transform("w", lambda x: ~F.lower(x).isin(T.PHRASE_STOP_WORDS)))
-    kept = own.select(key, F.explode(F.concat(runs("w", "plain", 2), runs("w", "plain", 3))).alias("g"))
-    counted = kept.groupBy(key, F.lower("g.phrase").alias("low")).agg(F.count("*").alias("n"), F.min("g").alias("first"))
+    own = docs.select(key, words(F.col(text)).alias("w"))
+    after = lambda n: F.slice("w", n, F.greatest(F.size("w"), F.lit(0)))
+    rows = own.select(key, F.posexplode(F.arrays_zip(F.col("w").alias("a"), after(2).alias("b"), after(3).alias("c"))).alias("pos", "x")).select(key, "pos", "x.a", "x.b", "x.c")
+    plain = lambda c: F.col(c).isNotNull() & ~F.lower(c).isin(T.PHRASE_STOP_WORDS)
+    pair, triple = F.struct(F.lit(2).alias("size"), F.concat_ws(" ", "a", "b").alias("phrase")), F.struct(F.lit(3).alias("size"), F.concat_ws(" ", "a", "b", "c").alias("phrase"))
+    kept = rows.filter(plain("a") & plain("b")).select(key, "pos", F.explode(F.array(pair, F.when(plain("c"), triple))).alias("g")).filter("g is not null")
+    written = kept.groupBy(key, F.lower("g.phrase").alias("low"), "g.phrase", "g.size").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    counted = written.groupBy(key, "low").agg(F.sum("n").alias("n"), F.min(F.struct("size", "pos", "phrase")).alias("first"))
     order = W.partitionBy(key).orderBy(F.desc("n"), "first.size", "first.pos")
     return counted.filter("n >= 2").withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= k).select(key, F.col("first.phrase").alias("phrase"), "n")
 
