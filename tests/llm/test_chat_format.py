@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from quirespark.llm import chat_format as C
 from quirespark.llm import queries
 
@@ -50,7 +52,6 @@ def test_long_conversation_is_whole(spark):
 
 def test_long_conversation_as_its_sql(spark, tmp_path):
     import duckdb
-import pytest
 
     spark.createDataFrame(long_talk() + ROWS, KIND).coalesce(1).write.parquet(str(tmp_path / "c"))
     con = duckdb.connect()
