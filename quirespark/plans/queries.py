@@ -333,10 +333,13 @@ def settings_merge(spark, sf):
     return L.settings(env, stored).select(F.col("key").alias("n_nationkey"), "value")
 
 
-@query("select 'missing-one' as key")
+@query("select n_name as key from nation where n_nationkey % 4 = 0 union all select r_name from region union all select 'missing-one'")
 def missing_settings(spark, sf):
-    found = table(spark, sf, "nation").select(F.col("n_name").alias("key"), F.lit("x").alias("value"))
-    return L.missing_settings(found, [table(spark, sf, "nation").first().n_name, "missing-one"])
+    """Of nations, regions and one more as settings that are needed: nations are set, every fourth to nothing."""
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    found = nation.select(F.col("n_name").alias("key"), F.when(F.col("n_nationkey") % 4 == 0, "").otherwise("x").alias("value"))
+    needed = nation.select("n_name").union(region.select("r_name")).orderBy("n_name").collect()
+    return L.missing_settings(found, [*(r[0] for r in needed), "missing-one"])
 
 
 @query("""with gone as (select o_orderkey from orders where o_custkey % 50 = 1) select (select count(*) from orders where o_orderkey not in (select * from gone) and o_custkey % 50 <> 1) as papers,
