@@ -86,7 +86,8 @@ class TextIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_marks
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.marks = [t.content for t in added if t.content and not (plain_marks and t.special)]
+        # each with the signs that it begins with, which are quickly looked for
+        self.marks = [(t.content, re.match(r"[^\w\s]*", t.content)[0]) for t in added if t.content and not (plain_marks and t.special)]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65_536 else "<u4"
         with open(path, encoding="utf-8") as f:
             spec = {k: v for k, v in json.load(f).items() if k in ("normalizer", "pre_tokenizer")}
@@ -126,7 +127,7 @@ class TextIds:
 
     def __call__(self, text: str | None) -> np.ndarray:
         """All ids of one whole text; none for a null."""
-        if self.marks and text and any(m in text or m.lower() in text.lower() for m in self.marks):
+        if text and any(head in text and (m in text or m.lower() in text.lower()) for m, head in self.marks):
             return np.frombuffer(self.words.packed(text), self.dtype)  # the library finds them in the whole text
         cuts = [text or ""] if self.kind == "other" else self._cuts(text or "")  # other kinds may merge across a blank
         return np.frombuffer(b"".join(x for cut in cuts for x in self._packed(cut)), self.dtype)
