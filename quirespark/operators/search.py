@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import bodies
 from .blocks import heading_context, scoped
 from .similar import similar_texts
 
@@ -30,6 +31,12 @@ def search_document(blocks: DataFrame, key: str, query: str, section: str | None
     return top(shown.withColumn("score", T.word_score(F.col("text"), query)), k, key, "idx")
 
 
+def search_bodies(docs: DataFrame, key: str, query: str, section: str | None = None, k: int = 8, body: str = "body") -> DataFrame:
+    """The same over documents that are one row each, without a shuffle of blocks."""
+    shown = bodies.scoped(docs, key, section, body).filter(F.col("image_url").isNull())
+    return top(shown.withColumn("score", T.word_score(F.col("text"), query)), k, key, "idx")
+
+
 def search_all(blocks: DataFrame, key: str, query: str, k: int = 10) -> DataFrame:
     """The best blocks of all documents with heading context, and ``total``, the number of blocks that match.
 

@@ -17,6 +17,13 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "idx", F.when(at == 0, 1).when(at == 3, 2).otherwise(0).alias("level"), F.when(at != 5, F.col("line")).alias("text"), F.when(at == 5, F.concat(F.lit("img/"), "idx", F.lit(".png"))).alias("image_url"))
 
 
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same blocks as an array ``body`` in each document's row."""
+    at = lambda i: i % 7
+    block = lambda x, i: F.struct(F.when(at(i) == 0, 1).when(at(i) == 3, 2).otherwise(0).alias("level"), F.when(at(i) != 5, x).alias("text"), F.when(at(i) == 5, F.concat(F.lit("img/"), i.cast("string"), F.lit(".png"))).alias("image_url"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), block).alias("body"))
+
+
 BLOCKS = """blocks as (
   select doc_id, (i - 1)::int as idx, case (i - 1) % 7 when 0 then 1 when 3 then 2 else 0 end::int as level,
     case when (i - 1) % 7 <> 5 then line end as text, case when (i - 1) % 7 = 5 then 'img/' || (i - 1) || '.png' end as image_url

@@ -15,6 +15,7 @@ from .. import models, schema
 from ..functions import arrow as A
 from ..functions import text as T
 from ..operators import blocks as B
+from ..operators import bodies as Y
 from ..operators import chat as C
 from ..operators import library as L
 from ..operators import longdoc as D
@@ -76,7 +77,7 @@ framed as (select *, coalesce(last_value(case when level >= 1 then coalesce(text
 select f.doc_id, f.idx, f.score, f.context from framed f left join ends e on e.doc_id = f.doc_id
 where image_url is null and score > 0 and (e.doc_id is null or (f.idx >= e.start and (e.stop is null or f.idx < e.stop))) order by score desc, f.doc_id, f.idx limit 60""")
 def search_in_document(spark, sf):
-    return S.search_document(I.blocks(spark, sf), "doc_id", "and the", "the", 60).select("doc_id", "idx", "score", "context")
+    return S.search_bodies(I.bodies(spark, sf), "doc_id", "and the", "the", 60).select("doc_id", "idx", "score", "context")
 
 
 @query("""select b.item_id as id, coalesce(d.doc_id, -1) as doc_id, coalesce(d.source, 'unknown') as source from benchmark b left join documents d on d.doc_id = b.item_id * 7
@@ -125,7 +126,7 @@ def citation_collection(spark, sf):
 
 @query(f"""with {I.BLOCKS} select doc_id, idx, coalesce(last_value(case when level >= 1 then coalesce(text, '') end ignore nulls) over (partition by doc_id order by idx rows between unbounded preceding and 1 preceding), '') as context from blocks""")
 def heading_context(spark, sf):
-    return B.heading_context(I.blocks(spark, sf), "doc_id").select("doc_id", "idx", "context")
+    return Y.heading_context(I.bodies(spark, sf), "doc_id").select("doc_id", "idx", "context")
 
 
 @query(f"with {I.BLOCKS} select doc_id, idx, level, text from blocks where level >= 1")
@@ -136,7 +137,7 @@ def document_outline(spark, sf):
 @query(f"""with {I.BLOCKS}, n as (select doc_id, max(idx) + 1 as n from blocks group by doc_id)
 select doc_id, idx as start_index, coalesce(lead(idx) over (partition by doc_id order by idx), n) - 1 as end_index, level, text as heading from blocks join n using (doc_id) where level >= 1""")
 def section_ends(spark, sf):
-    return B.section_ends(I.blocks(spark, sf), "doc_id")
+    return Y.section_ends(I.bodies(spark, sf), "doc_id")
 
 
 @query(f"""with recursive {I.BLOCKS}, heads as (select doc_id, idx, level, trim(text) as heading, row_number() over (partition by doc_id order by idx) as k from blocks where level >= 1),
@@ -155,20 +156,19 @@ inside as (select b.*, e.start from blocks b join ends e on e.doc_id = b.doc_id
 
 @query(SECTION + " select doc_id, idx, level from inside")
 def section_scope(spark, sf):
-    return B.section_scope(I.blocks(spark, sf), "doc_id", "on").select("doc_id", "idx", "level")
+    return Y.section_scope(I.bodies(spark, sf), "doc_id", "on").select("doc_id", "idx", "level")
 
 
 @query(SECTION + """, rows as (select *, row_number() over (partition by doc_id order by idx) as k, count(*) over (partition by doc_id) as total from inside where idx > start and coalesce(text, '') <> '' and image_url is null)
 select doc_id, any_value(total) as paragraph_count, any_value(total) > 4 as has_more, string_agg(text, chr(10) order by idx) as content from rows where k > 1 and k <= 4 group by doc_id""")
 def section_text(spark, sf):
-    return B.section_text(I.blocks(spark, sf), "doc_id", "on", offset=1, page=3)
+    return Y.section_text(I.bodies(spark, sf), "doc_id", "on", offset=1, page=3)
 
 
 @query(f"""with {I.BLOCKS}, framed as (select *, coalesce(last_value(case when level >= 1 then coalesce(text, '') end ignore nulls) over (partition by doc_id order by idx rows between unbounded preceding and 1 preceding), '') as context from blocks)
 select f.doc_id, 4 as target, f.idx, f.text, f.context, f.idx = 4 as is_target from framed f where f.idx between 2 and 6 and f.image_url is null""")
 def paragraph_context(spark, sf):
-    targets = table(spark, sf, "documents").select("doc_id", F.lit(4).alias("target"))
-    return B.paragraph_context(I.blocks(spark, sf), "doc_id", targets)
+    return Y.paragraph_context(I.bodies(spark, sf), "doc_id", F.lit(4))
 
 
 CLIP = "case when length({t}) <= {n} then {t} else regexp_replace(({t})[:{n}], ' [^ ]*$', '') || '...' end"
