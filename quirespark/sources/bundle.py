@@ -33,6 +33,8 @@ def written_at_once(folder: str, name: str, what: dict) -> None:
     draft = f"{path}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(draft) as f:
         f.write(json.dumps(what, sort_keys=True).encode())
+    if fs.get_file_info(f"{path}/{name}").is_file and fs.type_name != "local":
+        fs.delete_file(f"{path}/{name}")  # stores other than a local one don't move onto a file
     fs.move(draft, f"{path}/{name}")
 
 

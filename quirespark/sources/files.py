@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..stored import drop
 from . import large
-from .bundle import numbered
+from .bundle import numbered, told, written_at_once
+from .large import opened
 
 CONTENT = "array<struct<type:string,text:string,text_level:int,img_path:string,table_body:string>>"
 
@@ -70,8 +71,9 @@ def bundle_files(wanted: DataFrame, there: DataFrame) -> DataFrame:
 
 
 def replace_table(rows: DataFrame, path: str, version: int) -> str:
-    """Writes a new version beside the old one, which stays for going back; returns its path."""
+    """Writes a new version beside the old one, which stays for going back, and makes it the current one; returns its path. The pointer is written when all rows are there, so readers see a whole version."""
     rows.write.mode("errorifexists").parquet(f"{path}/version={version}")
+    written_at_once(path, "current.json", {"version": version})
     return f"{path}/version={version}"
 
 
@@ -80,6 +82,20 @@ def restored_table(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version}")
 
 
+def current_table(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The version that the pointer names, and its number."""
+    if (now := told(path, "current.json")) is None:
+        raise FileNotFoundError(f"{path} has no version")
+    return restored_table(spark, path, now["version"]), now["version"]
+
+
+def roll_back(path: str, version: int) -> None:
+    """Makes an earlier version the current one; later ones stay."""
+    if not opened(path)[0].get_file_info(f"{opened(path)[1]}/version={version}/_SUCCESS").is_file:
+        raise FileNotFoundError(f"{path} has no version {version}")
+    written_at_once(path, "current.json", {"version": version})
+
+
 def replaced_or_restored(rows: DataFrame, path: str, version: int) -> tuple[DataFrame, int, str | None]:
     """Writes the next version and returns it with its number; where rows can't be made or written, the version before it as it is, and what went wrong. That there is a next version already is no such thing: someone else has written it, and the error is raised."""
     try:

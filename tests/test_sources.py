@@ -90,3 +90,18 @@ def test_numbers_without_gaps(spark):
     rows = spark.range(500).selectExpr("id", "concat('p', lpad(cast(id * 7 % 500 as string), 3, '0')) as path").repartition(6)
     got = bundle.numbered(rows, "path").orderBy("path").collect()
     assert [r.number for r in got] == list(range(500)) and bundle.numbered(rows.limit(0), "path").count() == 0
+
+
+def test_the_current_version_is_a_whole_one(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        X.current_table(spark, path)
+    for v in (1, 2):
+        X.replace_table(spark.range(v * 10), path, v)
+    os.makedirs(f"{path}/version=3")  # begun and never ended
+    rows, version = X.current_table(spark, path)
+    assert (rows.count(), version) == (20, 2)
+    with pytest.raises(FileNotFoundError):
+        X.roll_back(path, 3)
+    X.roll_back(path, 1)
+    assert X.current_table(spark, path)[1] == 1 and X.current_table(spark, path)[0].count() == 10
