@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -97,6 +98,18 @@ def per_slice(make: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 1000
     return run
 
 
+_held: list[tuple[str, Callable[[], object]]] = []
+
+
+def holds(name: str = "", let_go: Callable[[], object] = lambda: None) -> None:
+    """Says which table of words (or none) this worker holds from now on. What another operator has left in it is let go, so that a worker that serves one stage after another holds one such table at a time."""
+    if _held and _held[0][0] != name:
+        _held.pop()[1]()
+        gc.collect()
+    if name and not _held:
+        _held.append((name, let_go))
+
+
 def text_key() -> F.Column:
     """Stands for the whole text of a row, beside its doc_id, where rows are told apart. A null text has a key of its own."""
     return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())

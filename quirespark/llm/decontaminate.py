@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, pieces, shielded, text_key, written
+from .common import columns_of, holds, pieces, shielded, text_key, written
 
 WINDOW, RUN, MIN_WORDS = 8, 13, 5
 #: How much longer than ``window`` a window may get where slots are dense.
@@ -204,6 +204,7 @@ def window_table(rows: DataFrame, key: list[str], sizes: tuple[int, ...], bitmap
     schema = ", ".join([*(f"{k} {types[k]}" for k in key), GROUPED])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("canonical", canonical.cache_clear)
         table = canonical(numbers, units)
         for batch in (x for b in batches for x in pieces(b, 500)):
             at, out = [], []

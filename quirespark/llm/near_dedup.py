@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, per_slice, shielded, text_key, utf8, written
+from .common import columns_of, holds, per_slice, shielded, text_key, utf8, written
 
 #: Fingerprints that a comparison in full takes at once, on either side.
 FULL = 512
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, text_key and fp (the fingerprint's bits as a signed long) of every row."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        holds()
         fps = np.array([fingerprint(t, shingle) for t in utf8(batch, "text")], np.uint64)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, written
+from .common import columns_of, holds, written
 from .common import pieces as slices
 from .tokens import text_ids
 
@@ -33,6 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: in
     """Every row's ids and the end id, cut into pieces of ``length`` where they are longer. ids: little-endian unsigned 32-bit; row tells rows apart. plain_marks: see ``TextIds``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("text ids", text_ids.cache_clear)
         encode = text_ids(tokenizer, plain_marks)
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for batch in (x for b in batches for x in slices(b, 500)):

@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, pieces, shielded, written
+from .common import columns_of, holds, pieces, shielded, written
 
 BITS = 24
 GRADES = 3
@@ -232,6 +232,7 @@ def scored(docs: DataFrame, model: Model | None, keep_rows: bool = False) -> Dat
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds()
         score = shared.value.scorer() if shared.value else None
         for batch in (x for b in batches for x in pieces(b, 1000)):
             own = [batch.column(batch.schema.get_field_index(c)) for c in kept]

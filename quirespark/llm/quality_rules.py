@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_of, per_slice, shielded, utf8, written
+from .common import columns_of, holds, per_slice, shielded, utf8, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -98,6 +98,7 @@ def with_counts(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
     prefix = "__" if keep_rows else ""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        holds()
         found = [counts(t) for t in utf8(batch, "text")]
         columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
         columns += [pa.array([f[i] for f in found], pa.int64()) for i in range(len(own))]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import columns_of, filesystem, pieces, shared_dir, text_key, written
+from .common import columns_of, filesystem, holds, pieces, shared_dir, text_key, written
 from .elias_fano import EliasFano
 from .tokens import text_ids
 
@@ -71,6 +71,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
     dealt = rows.repartitionByRange(*([files] if files else []), *by).sortWithinPartitions(*by)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("text ids", text_ids.cache_clear)
         ids = text_ids(tokenizer, plain_marks)
         fs, path = filesystem(folder)
         name, first, doc_ids, ends, total, n, out, idx, places = f"part-{uuid.uuid4().hex}", None, [], [], 0, 0, None, None, []

@@ -43,3 +43,12 @@ def test_shield_gives_names_back(spark):
     df = spark.createDataFrame([(1, 2, 3)], "`a.b` int, text int, __col0 int")
     inner, back = common.shielded(df, ("text",))
     assert inner.columns == ["__col0", "text", "__col2"] and back(inner).columns == df.columns and tuple(back(inner).first()) == (1, 2, 3)
+
+
+def test_a_worker_holds_one_table_of_words():
+    let_go = []
+    common._held.clear()
+    for name in ("a", "a", "b", "", "a"):
+        common.holds(name, lambda name=name: let_go.append(name)) if name else common.holds()
+    assert let_go == ["a", "b"]
+    common._held.clear()
