@@ -26,6 +26,13 @@ from .large import opened
 MANIFEST = "manifest.json"
 
 
+def put(fs: pafs.FileSystem, draft: str, name: str) -> None:
+    """Gives a whole draft its name, in the place of a file that has it."""
+    if fs.get_file_info(name).is_file and fs.type_name != "local":
+        fs.delete_file(name)  # stores other than a local one don't move onto a file
+    fs.move(draft, name)
+
+
 def written_at_once(folder: str, name: str, what: dict) -> None:
     """A small JSON file that is there whole or not at all."""
     fs, path = opened(folder)
@@ -33,9 +40,7 @@ def written_at_once(folder: str, name: str, what: dict) -> None:
     draft = f"{path}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(draft) as f:
         f.write(json.dumps(what, sort_keys=True).encode())
-    if fs.get_file_info(f"{path}/{name}").is_file and fs.type_name != "local":
-        fs.delete_file(f"{path}/{name}")  # stores other than a local one don't move onto a file
-    fs.move(draft, f"{path}/{name}")
+    put(fs, draft, f"{path}/{name}")
 
 
 def told(folder: str, name: str = MANIFEST) -> dict | None:
