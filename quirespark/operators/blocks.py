@@ -94,10 +94,10 @@ def outline_paths(blocks: DataFrame, key: str) -> DataFrame:
     return heads.select(key, F.inline(F.expr(fold))).select(key, F.col("idx"), "level", F.col("text").alias("heading"), "path")
 
 
-def section_scope(blocks: DataFrame, key: str, heading: str) -> DataFrame:
-    """Blocks from each document's first heading that contains ``heading`` up to the next one of its level or above; none where it is missing."""
+def section_scope(blocks: DataFrame, key: str, heading: str, start: int = 0) -> DataFrame:
+    """Blocks from each document's first heading at ``start`` or later that contains ``heading`` up to the next one of its level or above; none where it is missing."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    starts = blocks.filter((F.col("level") >= 1) & F.contains(low, F.lit(heading.lower()))).groupBy(key).agg(F.min(F.struct("idx", "level")).alias("__s"))
+    starts = blocks.filter((F.col("level") >= 1) & (F.col("idx") >= start) & F.contains(low, F.lit(heading.lower()))).groupBy(key).agg(F.min(F.struct("idx", "level")).alias("__s"))
     inside = blocks.join(starts, key).filter(F.col("idx") >= F.col("__s.idx"))
     stop = F.min(F.when((F.col("level") >= 1) & (F.col("level") <= F.col("__s.level")) & (F.col("idx") > F.col("__s.idx")), F.col("idx"))).over(W.partitionBy(key))
     return inside.withColumn("__stop", stop).filter(F.col("__stop").isNull() | (F.col("idx") < F.col("__stop"))).drop("__s", "__stop")

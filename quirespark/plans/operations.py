@@ -85,10 +85,11 @@ def library_operations(spark: SparkSession, tables: dict[str, DataFrame]) -> Ope
         words = query.lower().split() + (section.lower().split() if section else [])
         return with_notes(own.select("paper_id").join(matches, "paper_id", "left"), notes(own, lambda said: T.relevant(said, words)))
 
-    def get_paper_section(paper_id: str, heading: str, offset: int = 0, page: int = 50) -> DataFrame:
+    def get_paper_section(paper_id: str, heading: str, offset: int = 0, page: int = 50, start: int = 0) -> DataFrame:
+        """``start``: headings before this block aren't meant, where several hold the words."""
         own = newest(paper_id)
         rows = blocks(own)
-        scope = B.section_scope(rows, "paper_id", heading)
+        scope = B.section_scope(rows, "paper_id", heading, start)
         if scope.isEmpty():
             heads = rows.filter("level >= 1").orderBy("idx").limit(OFFERED).groupBy("paper_id").agg(F.transform(rows_of("text_en", order="idx"), lambda x: x["text_en"]).alias("available_headings"))
             return own.select("paper_id", F.lit(f"no heading '{heading}'").alias("error")).join(heads, "paper_id", "left")
