@@ -10,3 +10,11 @@ def test_deleting_jobs_gathers_no_ids(spark):
     after, results = L.delete_by_status(jobs, jobs.select(jobs.id.alias("job_id")), ["P"])
     assert "Aggregate" not in plan(after) + plan(results)
     assert {r.id for r in after.collect()} == {"c", "d", None} and {r.job_id for r in results.collect()} == {"c", "d", None}
+
+
+def test_a_job_that_starts_as_child_and_as_parent_is_one_row(spark):
+    jobs = spark.createDataFrame([("p", None, "failed", 5), ("c", "p", "failed", 5), ("g", "c", "failed", 5), ("x", None, "completed", 100)], "id string, parent_job_id string, status string, progress int")
+    ids = spark.createDataFrame([("p",), ("c",)], "id string")
+    after, results = L.restart_failed(jobs, jobs.select(jobs.id.alias("job_id")), ids)
+    assert {r.id: (r.status, r.progress) for r in after.collect()} == {"p": ("pending", 0), "c": ("pending", 0), "g": ("pending", 0), "x": ("completed", 100)}
+    assert after.count() == 4 and {r.job_id for r in results.collect()} == {"x"}
