@@ -1,7 +1,7 @@
 """Trees that are kept as links to parents, of any depth, by doubling the links.
 
 Every row begins with a link to its parent; in each round it takes over the link of the row that its own one leads to, so links grow twice as long, and after log2(depth) rounds all lead past the
-top. Each round is one join and a written table. Links that are longer than the table has rows go round in a cycle.
+top. Each round is one join by sorting, since a broadcast would send the table through the driver in every round, and a written table. Links that are longer than the table has rows go round in a cycle.
 
 Defined results: a parent that the table doesn't have counts as none. Of several rows with one id the one with the smallest parent counts. A null id is dropped.
 """
@@ -17,7 +17,7 @@ from ..stored import drop, stored
 def linked(rows: DataFrame, key: str, parent: str) -> DataFrame:
     """id and up: each row's parent, where the table has it."""
     own = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(parent).alias("up"))
-    there = own.select(F.col("id").alias("up"), F.lit(True).alias("__there"))
+    there = own.select(F.col("id").alias("up"), F.lit(True).alias("__there")).hint("merge")
     return own.join(there, "up", "left").select("id", F.when(F.col("__there"), F.col("up")).alias("up"))
 
 
@@ -26,7 +26,7 @@ def doubled(state: DataFrame, taken: dict[str, Column]) -> DataFrame:
     spark, now, length = state.sparkSession, stored(state, "links"), 1
     n = now.count()
     while length <= n and not now.filter("up is not null").isEmpty():
-        going, there = now.filter("up is not null").alias("s"), now.alias("t")
+        going, there = now.filter("up is not null").alias("s"), now.alias("t").hint("merge")
         far = going.join(there, F.col("s.up") == F.col("t.id"), "left").select("s.id", *[c.alias(k) for k, c in taken.items()])
         before, length = now, length * 2
         now = stored(now.filter("up is null").unionByName(far), "links")

@@ -1,3 +1,4 @@
+from quirespark.operators import closure
 from quirespark.operators import library as L
 
 
@@ -18,3 +19,9 @@ def test_a_job_that_starts_as_child_and_as_parent_is_one_row(spark):
     after, results = L.restart_failed(jobs, jobs.select(jobs.id.alias("job_id")), ids)
     assert {r.id: (r.status, r.progress) for r in after.collect()} == {"p": ("pending", 0), "c": ("pending", 0), "g": ("pending", 0), "x": ("completed", 100)}
     assert after.count() == 4 and {r.job_id for r in results.collect()} == {"x"}
+
+
+def test_links_of_trees_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 9)], "id long, parent_id long")
+    assert "Broadcast" not in plan(closure.linked(rows, "id", "parent_id"))
+    assert {(r.id, r.depth) for r in L.subtree(rows, 1).collect()} == {(1, 1), (2, 2), (3, 3)}
