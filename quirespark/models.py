@@ -127,8 +127,11 @@ class Answers:
         return known.unionByName(asked)
 
 
-def _stage(rows: DataFrame, key: list[str], columns: list[str], out: str, client: Client, task: str, finish: Callable[[str, str], str | None], question: Column | None = None, store: Answers | None = None) -> DataFrame:
-    """key and a column ``out`` made by ``finish`` from the text and its answer. columns: the text, and what goes along as a hint. Where ``question`` (by default the text) is null nothing is asked."""
+def _stage(rows: DataFrame, key: list[str], columns: list[str], out: str, client: Client, task: str, finish: Callable[[str, str], str | None], question: Column | None = None, store: Answers | None = None, of_text: bool = True) -> DataFrame:
+    """key and a column ``out`` made by ``finish`` from the text and its answer. columns: the text, and what goes along as a hint. Where ``question`` (by default the text) is null nothing is asked.
+
+    ``of_text``: whether ``finish`` needs the text; where it doesn't, texts don't meet their answers and ``finish`` gets an empty one.
+    """
     kinds = dict(rows.dtypes)
     hint = F.concat_ws("\n", *[F.nullif(F.col(c).cast("string"), F.lit("")) for c in columns[1:]]) if columns[1:] else F.lit("")
     texts = rows.select(*key, F.coalesce(columns[0], F.lit("")).alias("__text"), hint.alias("__hint"))
@@ -136,7 +139,7 @@ def _stage(rows: DataFrame, key: list[str], columns: list[str], out: str, client
     named = asked.withColumn("__key", F.when(F.col("__asked").isNotNull(), F.sha2(F.concat(F.length("__asked").cast("string"), F.lit(":"), "__asked", "__hint"), 256)))
     questions = named.filter("__key is not null").select(F.col("__key").alias("key"), F.col("__asked").alias("text"), F.col("__hint").alias("hint"))
     found = (store or Answers()).to(questions, client, task)
-    joined = named.join(found.select(F.col("key").alias("__key"), "answer"), "__key", "left").select(*key, "__text", "answer")
+    joined = named.join(found.select(F.col("key").alias("__key"), "answer"), "__key", "left").select(*key, F.col("__text") if of_text else F.lit("").alias("__text"), "answer")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -185,7 +188,7 @@ def repaired_headings(docs: DataFrame, key: str, client: Client, text: str = "te
         return json.dumps([{o: n} for x in _listed(answer) if isinstance(x, dict) for o, n in x.items() if isinstance(n, str)], ensure_ascii=False)
 
     heads = F.array_join(F.filter(F.split("__text", r"\R"), lambda x: F.rlike(x, F.lit(r"^#{1,6}\s"))), "\n")
-    asked = _stage(docs, [key], [text, title], "changes", client, "headings", finish, F.nullif(heads, F.lit("")), store)
+    asked = _stage(docs, [key], [text, title], "changes", client, "headings", finish, F.nullif(heads, F.lit("")), store, of_text=False)
     each = asked.select(key, F.posexplode(F.from_json("changes", "array<map<string,string>>")).alias("pos", "m")).select(key, "pos", F.explode("m").alias("old", "new"))
     return B.replaced_lines(docs, key, each, text)
 

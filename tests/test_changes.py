@@ -1,3 +1,4 @@
+from quirespark import models
 from quirespark.operators import closure
 from quirespark.operators import library as L
 
@@ -25,3 +26,9 @@ def test_links_of_trees_are_not_broadcast(spark):
     rows = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 9)], "id long, parent_id long")
     assert "Broadcast" not in plan(closure.linked(rows, "id", "parent_id"))
     assert {(r.id, r.depth) for r in L.subtree(rows, 1).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_texts_stay_out_of_tasks_that_need_none(spark):
+    rows = spark.createDataFrame([(1, "# a\nlong text")], "d long, text string")
+    made = models._stage(rows, ["d"], ["text"], "n", models.Stub(), "headings", lambda t, a: f"{len(t)} {a}", of_text=False)
+    assert [tuple(r) for r in made.collect()] == [(1, "0 []")]
