@@ -2,34 +2,55 @@
 
 quality_rules and quality_classifier drop the documents they reject, near_dedup keeps one document of each group of near-duplicates,
 decontamination drops documents that hold a benchmark item, packing returns the token pieces and their places in sequences.
+Each stage sends whole texts to Python, and so has light batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quirespark.llm import decontaminate, near_dedup, quality_classifier, quality_rules
-from quirespark.llm.common import passing, written
+from quirespark.llm.common import light_batches, passing, written
 from quirespark.llm.queries import pack_documents, table
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def light(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        light_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@light
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+@light
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fitted on rated documents of the whole table, since the rules have dropped most of low quality; scores what is left."""
     return quality_classifier.keep_clean(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@light
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_duplicates(docs)
 
 
+@light
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+@light
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, holds, pieces, shielded, text_key, written
+from .common import columns_of, holds, pieces, shielded, strings, text_key, written
 
 WINDOW, RUN, MIN_WORDS = 8, 13, 5
 #: How much longer than ``window`` a window may get where slots are dense.
@@ -208,7 +208,7 @@ def window_table(rows: DataFrame, key: list[str], sizes: tuple[int, ...], bitmap
         table = canonical(numbers, units)
         for batch in (x for b in batches for x in pieces(b, 500)):
             at, out = [], []
-            for r, text in enumerate(batch.column(len(key)).to_pylist()):
+            for r, text in enumerate(strings(batch.column(len(key)))):
                 words = (text or "").split()
                 own = sizes if shared.value is not None else (min(len(words), max(sizes)),)
                 made = grouped(windows(words, own, shared.value, least, table))

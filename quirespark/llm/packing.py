@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, holds, written
+from .common import columns_of, holds, strings, written
 from .common import pieces as slices
 from .tokens import text_ids
 
@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: in
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for batch in (x for b in batches for x in slices(b, 500)):
             out = []
-            for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2))):
                 ids = np.append(encode(text), np.array([end_id], encode.dtype))
                 for k, at in enumerate(range(0, len(ids), length)):
                     own = ids[at : at + length]

@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, holds, pieces, shielded, written
+from .common import columns_of, holds, light_batches, pieces, shielded, strings, written
 
 BITS = 24
 GRADES = 3
@@ -155,6 +155,7 @@ def grades(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, skip: str | None = None) -> Model | None:
     """Fits the model on a bounded sample; ``skip``: an SQL condition on doc_id for ratings that are held out."""
+    light_batches(docs.sparkSession)
     rated = grades(labels)
     if skip:
         rated = rated.filter(f"not ({skip})")
@@ -169,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, skip: str |
     few = docs.sparkSession.createDataFrame(ids, "doc_id long, grade int")
     own = columns_of(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(few), "doc_id")
     one = own.groupBy("doc_id", "grade").agg(F.min(F.struct(F.coalesce(F.xxhash64("text"), F.lit(0)).alias("hash"), "text")).alias("first"))
-    texts = written(one.select("doc_id", "grade", (F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(HELD_OUT)) == 0).alias("out"), F.col("first.text").alias("text")), "rated")
+    texts = written(one.select("doc_id", "grade", (F.pmod(F.xxhash64(F.try_add("doc_id", F.lit(1))), F.lit(HELD_OUT)) == 0).alias("out"), F.col("first.text").alias("text")), "rated")
     sizes = {r.grade: r.n for r in texts.groupBy("grade").agg(F.count_if(~F.col("out")).alias("n")).collect() if r.n}
     if len(sizes) < 2:
         texts, sizes = texts.withColumn("out", F.lit(False)), {r.grade: r.n for r in texts.groupBy("grade").agg(F.count("*").alias("n")).collect()}
@@ -180,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, skip: str |
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b, 100)):
-            found = [np.array(text_features(t), np.int64) for t in batch.column(2).to_pylist()]
+            found = [np.array(text_features(t), np.int64) for t in strings(batch.column(2))]
             inside = [np.searchsorted(shared.value, f[np.isin(f, shared.value, assume_unique=True)]).astype(np.int32) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inside, pa.list_(pa.int32()))], names=["grade", "out", "features"])
 
@@ -211,7 +212,7 @@ def chosen_features(texts: DataFrame, sizes: dict[int, int], keep: int = FEATURE
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in pieces(b, 100)):
             for g in set(batch.column(0).to_pylist()):
-                own = batch.filter(pa.compute.equal(batch.column(0), g)).column(1).to_pylist()
+                own = strings(batch.filter(pa.compute.equal(batch.column(0), g)).column(1))
                 values, n = np.unique(np.fromiter((f for t in own for f in text_features(t)), np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), g), pa.int32()), pa.array(values), pa.array(n)], names=["grade", "feature", "n"])
 
@@ -226,6 +227,7 @@ def chosen_features(texts: DataFrame, sizes: dict[int, int], keep: int = FEATURE
 
 def scored(docs: DataFrame, model: Model | None, keep_rows: bool = False) -> DataFrame:
     """doc_id (or, with ``keep_rows``, all columns of ``docs``) with __expected_grade, __p_top (best grade) and __p_1 (at least grade 1)."""
+    light_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs if keep_rows else columns_of(docs, ["doc_id", "text"])
     kept = rows.columns if keep_rows else ["doc_id"]
@@ -239,7 +241,7 @@ def scored(docs: DataFrame, model: Model | None, keep_rows: bool = False) -> Dat
             if score is None:
                 tails = np.ones((batch.num_rows, GRADES - 1))
             else:
-                tails = shared.value.tails(np.array([score(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]))
+                tails = shared.value.tails(np.array([score(t) for t in strings(batch.column(batch.schema.get_field_index("text")))]))
             yield pa.RecordBatch.from_arrays([*own, pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, 0])], names=[*kept, "__expected_grade", "__p_top", "__p_1"])
 
     return rows.mapInArrow(make, ", ".join([*fields, "`__expected_grade` double, `__p_top` double, `__p_1` double"]))

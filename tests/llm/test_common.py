@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 import pytest
 
 from quirespark.llm import common
@@ -52,3 +53,10 @@ def test_a_worker_holds_one_table_of_words():
         common.holds(name, lambda name=name: let_go.append(name)) if name else common.holds()
     assert let_go == ["a", "b"]
     common._held.clear()
+
+
+@pytest.mark.parametrize("kind", [(pa.string(), pa.binary()), (pa.large_string(), pa.large_binary())])
+def test_strings_of_broken_bytes(kind):
+    given = pa.array([b"a\xc3 b", None, "\u00e9".encode(), b""], kind[1]).view(kind[0])
+    assert common.strings(given) == ["a\ufffd b", None, "\u00e9", ""]
+    assert common.strings(given[1:]) == [None, "\u00e9", ""]

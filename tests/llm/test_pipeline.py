@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quirespark.llm import near_dedup, quality_classifier, quality_rules
+from quirespark.llm import common, near_dedup, quality_classifier, quality_rules
 
 from .test_decontaminate import brute as brute_leaks
 from .test_near_dedup import brute_fingerprint
@@ -88,3 +90,39 @@ def test_odd_rows(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     odd_tables(spark, tmp_path, [])
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_broken_texts_and_the_greatest_id(spark, small, tmp_path):
+    """Bytes that are no UTF-8 and a rated document whose id has no successor pass all stages, as they are."""
+    docs, ratings = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    one = ratings.filter("quality = 1 and toxic = 0").agg(F.min("doc_id")).first()[0]
+    moved = lambda t: t.withColumn("doc_id", F.when(F.col("doc_id") == one, F.lit(2**63 - 1)).otherwise(F.col("doc_id")))
+    broken = F.when(F.col("doc_id") % 20 == 0, F.expr("cast(concat(cast(text as binary), X'20C320FF') as string)")).otherwise(F.col("text"))
+    moved(docs.withColumn("text", broken)).write.parquet(f"{tmp_path}/documents.parquet")
+    moved(ratings).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{small}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        stage(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        assert kept.filter("doc_id % 20 = 0").count() > 0, name
+        assert name == "packing" or kept.filter("doc_id % 20 = 0 and right(hex(text), 8) <> '20C320FF'").isEmpty(), name
+    assert spark.read.parquet(f"{tmp_path}/quality_classifier").filter(f"doc_id = {2**63 - 1}").count() == 1
+
+
+def test_stages_send_texts_in_light_batches(spark, small):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('some words ', 300) text")
+    for name, stage in pipeline.STAGES:
+        spark.conf.unset(limit)
+        stage(spark, documents, small)
+        assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 1.1 * common.BATCH, name
+    spark.conf.set(limit, "1m")
+    common.light_batches(spark)
+    assert spark.conf.get(limit) == "1m"
+    spark.conf.unset(limit)

@@ -123,3 +123,12 @@ def test_without_two_grades_all_stay(spark, ratings):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert Q.graded(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_broken_texts_count_as_replaced(spark):
+    rows = [(i, f"plain words number {i % 9} in a row of good text") for i in range(40)] + [(100 + i, f"awful### text!! idiot {i % 9} ###") for i in range(40)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 100), 0) for r in rows], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    broken, replaced = (docs.selectExpr("doc_id", f"if(doc_id % 5 = 0, cast(concat(cast(text as binary), X'{x}') as string), text) text") for x in ("20C320FF", "20EFBFBD20EFBFBD"))
+    found = [{r.doc_id: r.p_clean for r in Q.graded(d, labels).collect()} for d in (broken, replaced)]
+    assert len(found[0]) == 80 and found[0].keys() == found[1].keys() and sum(abs(found[0][d] - found[1][d]) < 0.01 for d in found[0]) == 80
